@@ -1,0 +1 @@
+"""Intentionally empty: the computations rebuilt here are batch only."""
