@@ -35,9 +35,10 @@ def list_diff(values: Column) -> Column:
 def pad_right(values: Column, n: int | Column, pad: int) -> Column:
     """Cut to ``n`` elements and fill up with ``pad`` on the right; null lists and elements count as pads."""
     width = F.lit(n) if isinstance(n, int) else n
-    cut = F.slice(F.coalesce(values, F.array().cast("array<bigint>")), 1, width)
-    known = F.transform(cut, lambda x: F.coalesce(x, F.lit(pad).cast("bigint")))
-    return F.concat(known, F.array_repeat(F.lit(pad).cast("bigint"), (width - F.size(known)).cast("int")))
+    filler = F.lit(pad).cast("bigint")
+    whole = F.transform(F.coalesce(values, F.array().cast("array<bigint>")), lambda x: F.coalesce(x, filler))
+    cut = F.slice(whole, 1, width)
+    return F.concat(cut, F.array_repeat(filler, (width - F.size(cut)).cast("int")))
 
 
 def pad_left(values: Column, n: int, pad: int) -> Column:

@@ -116,13 +116,36 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same runs as the JSON documents a run folder holds, parsed with the declared schemas."""
     flat = runs(spark, sf_dir)
-    keys = ["epochs", "npratio"]
-    fields = [F.col(k).alias(k) for k in keys] + [
+    constants = {
+        "DEBUG": False,
+        "DATASPLIT": "small",
+        "DATA_PATH": "data",
+        "DOCUMENT_EMBEDDINGS": "vectors.parquet",
+        "BS_TRAIN": 128,
+        "BS_TEST": 128,
+        "BATCH_SIZE_TEST_WO_B": 128,
+        "BATCH_SIZE_TEST_W_B": 8,
+        "FRACTION_TEST": 1.0,
+        "N_CHUNKS_TEST": 10,
+        "CHUNKS_DONE": 0,
+        "TRAIN_FRACTION": 1,
+        "ATTENTION_HIDDEN_DIM": 200,
+        "TITLE_SIZE": 768,
+        "LEARNING_RATE": 0.0001,
+        "NEWSENCODER_L2_REGULARIZATION": 0.0001,
+        "OPTIMIZER": "adam",
+        "DROPOUT": 0.2,
+        "SEED": 123,
+        "head_num": 16,
+        "head_dim": 16,
+        "nrms_loader": "pretransformed",
+    }
+    fields = [F.lit(v).alias(k) for k, v in constants.items()] + [
+        F.array(F.lit(512), F.lit(512), F.lit(512)).alias("NEWSENCODER_UNITS_PER_LAYER"),
         F.col("loss").alias("LOSS"),
-        F.lit(123).alias("SEED"),
-        F.lit(0.2).alias("DROPOUT"),
-        F.array(F.lit(512), F.lit(512)).alias("NEWSENCODER_UNITS_PER_LAYER"),
-        F.lit(False).alias("DEBUG"),
+        F.col("epochs"),
+        F.col("npratio"),
+        (F.col("npratio") * 5).alias("history_size"),
         *[F.col(flag) for flag, _ in schemas.ABLATION_FLAGS],
     ]
     config_text = F.to_json(F.struct(F.col("run id").alias("run_id"), F.struct(*fields).alias("parameters")))
