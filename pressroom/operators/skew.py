@@ -33,15 +33,18 @@ def skew_join(
     how: str = "inner",
     salts: int = 64,
     min_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that splits the hot keys of ``big`` over ``salts`` tasks.
 
     Rows of a hot key get a salt from a hash of ``spread_by``; only the hot keys of ``small`` are
     repeated once per salt. All other keys keep salt 0, so the join costs one shuffle of each side.
+    Pass ``hot`` when the hot keys are already known, or cheaper to count elsewhere.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
-    hot = hot_keys(big.select(*keys), keys, min_rows)
+    if hot is None:
+        hot = hot_keys(big.select(*keys), keys, min_rows)
     salted_big = flag_hot(big, hot, keys).withColumn(
         "_salt",
         F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)),

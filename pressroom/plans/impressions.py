@@ -27,12 +27,16 @@ def history_lists(recent: DataFrame, n: int = HISTORY_SIZE) -> DataFrame:
     return recent.where(F.col("lag") < n).groupBy("user_id", "split").agg(ids.alias("article_id_fixed"))
 
 
+def padded_history(recent: DataFrame, n: int = HISTORY_SIZE) -> DataFrame:
+    """The same lists filled up to ``n`` on the left, so the most recent article stays last."""
+    return history_lists(recent, n).withColumn("article_id_fixed", pad_left(F.col("article_id_fixed"), n, PAD))
+
+
 def with_history(
     behaviors: DataFrame, recent: DataFrame, n: int = HISTORY_SIZE, min_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Inner join of impressions with their user's history of the same split, padded on the left to ``n``."""
-    padded = history_lists(recent, n).withColumn("article_id_fixed", pad_left(F.col("article_id_fixed"), n, PAD))
-    return skew_join(behaviors, padded, ["user_id", "split"], ["impression_id"], min_rows=min_rows)
+    return skew_join(behaviors, padded_history(recent, n), ["user_id", "split"], ["impression_id"], min_rows=min_rows)
 
 
 def sample(df: DataFrame, fraction: float, key: str = "impression_id", seed: int = SEED) -> DataFrame:
@@ -40,16 +44,19 @@ def sample(df: DataFrame, fraction: float, key: str = "impression_id", seed: int
     return df.where(id_hash(F.col(key), seed) < F.lit(int(fraction * 2**32)))
 
 
+def _unclicked() -> Column:
+    return F.array_except("article_ids_inview", "article_ids_clicked")
+
+
 def negative_samples(behaviors: DataFrame, per_click: int = NEGATIVES_PER_CLICK, seed: int = SEED) -> DataFrame:
     """One row per click: the clicked article and ``per_click`` unclicked in-view articles, shuffled.
 
     Draws are with replacement; an impression without an unclicked article gives no row. Everything
     happens inside the row, so there is no shuffle.
     """
-    clicks = behaviors.withColumn(
-        "_unclicked", F.array_except("article_ids_inview", "article_ids_clicked")
-    ).where(F.size("_unclicked") > 0)
-    clicks = clicks.withColumn("clicked_article_id", F.explode("article_ids_clicked"))
+    clicks = behaviors.withColumn("_unclicked", _unclicked()).withColumn(
+        "clicked_article_id", F.explode(F.when(F.size("_unclicked") > 0, F.col("article_ids_clicked")))
+    )
 
     def drawn(i: Column) -> Column:
         pick = id_hash(F.col("impression_id"), F.col("clicked_article_id"), i, seed) % F.size("_unclicked")
@@ -68,7 +75,7 @@ def negative_samples(behaviors: DataFrame, per_click: int = NEGATIVES_PER_CLICK,
         F.sequence(F.lit(0), F.lit(per_click - 1)), lambda i: candidate(i, drawn(i), 0)
     )
     positive = F.array(candidate(F.lit(-1), F.col("clicked_article_id"), 1))
-    shuffled = F.array_sort(F.concat(positive, negatives))
+    shuffled = F.sort_array(F.concat(positive, negatives))
     return (
         clicks.withColumn("_candidates", shuffled)
         .withColumn("article_ids_inview", F.transform("_candidates", lambda c: c["article_id"]))
@@ -112,23 +119,27 @@ def training_impressions(
     n: int = HISTORY_SIZE,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Sampled, labelled impressions with history and user features, split by the last day."""
-    user_features = features[0]
-    for table in features[1:]:
-        user_features = user_features.join(table, "user_id")
-    sampled = (
+    """Sampled, labelled impressions with history and user features, split by the last day.
+
+    Histories and features are joined to each other first, so the impressions move once; candidates
+    are drawn after that, from the rows that are left.
+    """
+    users = padded_history(recent, n)
+    for table in features:
+        users = users.join(table, "user_id")
+    chosen = (
         behaviors.select(
             "impression_id", "user_id", "split", "impression_time", "article_ids_inview", "article_ids_clicked"
         )
+        .where(F.size("article_ids_clicked") > 0)
         .transform(sample, fraction=fraction, seed=seed)
-        .transform(negative_samples, per_click=per_click, seed=seed)
     )
-    # The cut only needs the dates of the impressions that have features, not the draws or histories.
-    dated = sampled.select("user_id", "impression_time").join(user_features.select("user_id"), "user_id", "left_semi")
+    # The cut needs only the dates of the impressions that stay, not their lists.
+    dated = chosen.where(F.size(_unclicked()) > 0).join(users.select("user_id", "split"), ["user_id", "split"], "left_semi")
     early = F.to_date("impression_time") < last_day_cut(dated)
     return (
-        sampled.transform(with_history, recent=recent, n=n, min_rows=min_rows)
-        .transform(with_user_features, features=user_features, min_rows=min_rows)
+        skew_join(chosen, users, ["user_id", "split"], ["impression_id"], min_rows=min_rows)
+        .transform(negative_samples, per_click=per_click, seed=seed)
         .withColumn("part", F.when(early, "train").otherwise("validation"))
     )
 
@@ -148,10 +159,10 @@ def test_impressions(
         .select("impression_id", "user_id", "split", "impression_time", "article_ids_inview")
         .transform(sample, fraction=fraction, seed=seed)
         .withColumn("article_ids_clicked", F.array().cast("array<bigint>"))
+        .transform(skew_join, padded_history(recent, n).join(engagement, "user_id"), ["user_id", "split"],
+                   ["impression_id"], min_rows=min_rows)
         .withColumn("premium_propensity", F.lit(0))
         .transform(binary_labels)
-        .transform(with_history, recent=recent, n=n, min_rows=min_rows)
-        .transform(with_user_features, features=engagement, min_rows=min_rows)
     )
 
 

@@ -11,8 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.operators.skew import HOT_ROWS, skew_join
-from pressroom.plans.scoring import with_scores
+from pressroom.operators.skew import HOT_ROWS
+from pressroom.plans.scoring import join_per_pair, pair_scores
 
 FEATURES = ["match", "premium", "premium_propensity", "reading_engagement"]
 
@@ -26,11 +26,13 @@ def click_features(
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Candidate rows with the feature columns; unknown articles count as free, users without features drop out."""
-    scored = with_scores(rows, profile, docvec).withColumnRenamed("score", "match")
-    flagged = scored.join(premium, "article_id", "left").withColumn(
-        "premium", F.coalesce(F.col("premium").cast("double"), F.lit(0.0))
-    )
-    return skew_join(flagged, user_features, ["user_id"], ["impression_id", "pos"], min_rows=min_rows)
+
+    def attach(pairs: DataFrame) -> DataFrame:
+        scored = pair_scores(pairs.join(user_features, "user_id"), profile, docvec).withColumnRenamed("score", "match")
+        flagged = scored.join(premium, "article_id", "left")
+        return flagged.withColumn("premium", F.coalesce(F.col("premium").cast("double"), F.lit(0.0)))
+
+    return join_per_pair(rows, attach, min_rows)
 
 
 def sampled_candidates(samples: DataFrame) -> DataFrame:

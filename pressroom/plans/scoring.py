@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.functions.arrays import dot
+from pressroom.operators.skew import HOT_ROWS, skew_join
 
 DECAY = 0.05
+PAIR = ["user_id", "split", "article_id"]
 
 
 def time_decay_profile(recent: DataFrame, docvec: DataFrame, alpha: float = DECAY) -> DataFrame:
@@ -36,23 +40,28 @@ def candidates(behaviors: DataFrame) -> DataFrame:
 
 
 def pair_scores(pairs: DataFrame, profile: DataFrame, docvec: DataFrame) -> DataFrame:
-    """Profile times article vector for distinct ``user_id, split, article_id``; 0 where either is unknown."""
+    """Add ``score``, profile times article vector, to ``user_id, split, article_id``; 0 where either is unknown."""
     matched = pairs.join(profile, ["user_id", "split"], "left").join(docvec, "article_id", "left")
     score = F.coalesce(dot(F.col("profile"), F.col("contrastive_vector")), F.lit(0.0))
-    return matched.select("user_id", "split", "article_id", score.alias("score"))
+    return matched.withColumn("score", score).drop("profile", "contrastive_vector")
 
 
-def with_scores(rows: DataFrame, profile: DataFrame, docvec: DataFrame) -> DataFrame:
-    """Add ``score`` to candidate rows.
+def join_per_pair(
+    rows: DataFrame, attach: Callable[[DataFrame], DataFrame], min_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Join candidate rows with what ``attach`` adds to their user, split and article.
 
-    A score depends on user, split and article only. The rows are reduced to the distinct triples
-    before any vector is joined, so a user or article that fills the log is scored once per triple,
-    and the vectors never travel with the impressions.
+    ``attach`` sees the distinct triples only, so a user or article that fills the log is worked out
+    once per triple, and vectors never travel with the impressions. The count of each triple also
+    tells which ones to split when the result is joined back.
     """
-    key = ["user_id", "split", "article_id"]
-    return rows.join(pair_scores(rows.select(*key).distinct(), profile, docvec), key)
+    counted = rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counted.where(F.col("_rows") > min_rows).select(*PAIR)
+    return skew_join(rows, attach(counted.drop("_rows")), PAIR, ["impression_id", "pos"], hot=hot)
 
 
-def candidate_scores(behaviors: DataFrame, profile: DataFrame, docvec: DataFrame) -> DataFrame:
+def candidate_scores(
+    behaviors: DataFrame, profile: DataFrame, docvec: DataFrame, min_rows: int = HOT_ROWS
+) -> DataFrame:
     """``impression_id, user_id, split, pos, article_id, label, score`` for every in-view article."""
-    return with_scores(candidates(behaviors), profile, docvec)
+    return join_per_pair(candidates(behaviors), lambda pairs: pair_scores(pairs, profile, docvec), min_rows)
