@@ -113,7 +113,7 @@ SELECT user_id,
        count(*) FILTER (label = 'Negative') / count(*) AS negative_sentiment_articles_rate
 FROM sentiment_rows GROUP BY user_id""",
     "numbered": """
-SELECT *, sum(fresh) OVER (PARTITION BY user_id, split ORDER BY ts, event_id) AS session_no
+SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY split, ts, event_id) AS session_no
 FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, split ORDER BY ts, event_id) <= INTERVAL 1 HOUR
                      THEN 0 ELSE 1 END AS fresh
       FROM entries WHERE split <> 'test')""",

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroom.operators.skew import HOT_ROWS, flag_hot, hot_keys
+from pressroom.operators.skew import HOT_ROWS, hot_keys
 
 MEDIAN_RANKS = {
     "lower": lambda n: F.floor((n + 1) / 2),
@@ -99,8 +99,7 @@ def grouped_median(
     """
     rows = df.select(key, value)
     hot = hot_keys(rows, [key], min_rows)
-    marked = flag_hot(rows, hot, [key])
-    usual = marked.where(~F.col("_hot")).groupBy(key).agg(F.median(value).cast("double").alias(alias))
-    ends = ranked_values(marked.where("_hot"), [key], value, MEDIAN_RANKS)
+    usual = rows.join(F.broadcast(hot), key, "left_anti").groupBy(key).agg(F.median(value).cast("double").alias(alias))
+    ends = ranked_values(rows.join(F.broadcast(hot), key, "left_semi"), [key], value, MEDIAN_RANKS)
     large = hot.join(ends, key, "left").select(key, ((F.col("lower") + F.col("upper")) / 2).alias(alias))
     return usual.unionByName(large)

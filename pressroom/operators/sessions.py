@@ -19,8 +19,15 @@ def _hour_of(micros: Column) -> Column:
     return F.hour(F.timestamp_micros(micros)).cast("int")
 
 
-def _starts_session(first: Column, previous: Column, gap: int) -> Column:
-    return (previous.isNull() | (first - previous > gap)).cast("int")
+def _numbered(rows: DataFrame, first: str, last: str, position: str, gap_micros: int) -> DataFrame:
+    """Add ``session_no``, counted per user. A new split, an unknown instant or a long gap starts a session.
+
+    The window is by user alone, so that everything later grouped by user needs no further shuffle.
+    """
+    ordered = Window.partitionBy("user_id").orderBy("split", position)
+    gap = F.when(F.lag("split").over(ordered) == F.col("split"), F.col(first) - F.lag(last).over(ordered))
+    fresh = rows.withColumn("_new", (gap.isNull() | (gap > gap_micros)).cast("int"))
+    return fresh.withColumn("session_no", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def user_sessions(history: DataFrame, gap_micros: int = GAP_MICROS) -> DataFrame:
@@ -42,10 +49,7 @@ def user_sessions(history: DataFrame, gap_micros: int = GAP_MICROS) -> DataFrame
             F.sum(F.col("_us") - F.col("_cell") * gap_micros).alias("_offset"),
         )
     )
-    ordered = Window.partitionBy("user_id", "split").orderBy("_cell")
-    numbered = cells.withColumn(
-        "_new", _starts_session(F.col("_first"), F.lag("_last").over(ordered), gap_micros)
-    ).withColumn("session_no", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = _numbered(cells, "_first", "_last", "_cell", gap_micros)
     # Exact sum of microseconds: cell starts times counts exceed 64 bits.
     wide = (F.col("_cell") * gap_micros).cast("decimal(20,0)") * F.col("_n").cast("decimal(18,0)")
     sessions = numbered.groupBy("user_id", "split", "session_no").agg(
@@ -66,11 +70,7 @@ def user_sessions_from_lists(history: DataFrame, gap_micros: int = GAP_MICROS) -
     entries = history.select(
         "user_id", "split", F.posexplode_outer("impression_time_fixed").alias("_pos", "_at")
     ).withColumn("_us", F.unix_micros("_at"))
-    ordered = Window.partitionBy("user_id", "split").orderBy("_pos")
-    gap = F.col("_us") - F.lag("_us").over(ordered)
-    numbered = entries.withColumn("_new", (gap.isNull() | (gap > gap_micros)).cast("int")).withColumn(
-        "session_no", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    numbered = _numbered(entries, "_us", "_us", "_pos", gap_micros)
     sessions = numbered.groupBy("user_id", "split", "session_no").agg(
         F.count(F.lit(1)).alias("n_impressions"),
         F.min("_us").alias("start_us"),

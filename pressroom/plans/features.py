@@ -14,7 +14,7 @@ from pressroom.functions.arrays import list_mean, list_tail
 from pressroom.functions.scalars import two_level
 from pressroom.operators.quantiles import grouped_median
 from pressroom.operators.skew import HOT_ROWS, first_rows
-from pressroom.sources.tables import LIST_COLUMNS
+from pressroom.sources.tables import entry_fields, zipped_lists
 
 HISTORY_SIZE = 20
 TRAIN = ("train",)
@@ -47,7 +47,7 @@ def recent_entries(history: DataFrame, n: int = HISTORY_SIZE) -> DataFrame:
 
 def recent_entries_from_lists(history: DataFrame, n: int = HISTORY_SIZE) -> DataFrame:
     """The same from a list history: the lists are cut inside the row, without a shuffle."""
-    zipped = list_tail(F.arrays_zip(*[F.col(c) for c in LIST_COLUMNS]), n)
+    zipped = list_tail(zipped_lists(), n)
     entries = history.select(
         "user_id", "split", F.size(zipped).alias("_n"), F.posexplode_outer(zipped).alias("pos", "_e")
     )
@@ -55,7 +55,7 @@ def recent_entries_from_lists(history: DataFrame, n: int = HISTORY_SIZE) -> Data
         "user_id",
         "split",
         "pos",
-        *[F.col(f"_e.{c}").alias(name) for c, name in LIST_COLUMNS.items()],
+        *entry_fields("_e"),
         F.coalesce(F.col("_n") - F.col("pos") - 1, F.lit(0)).alias("lag"),
     )
 

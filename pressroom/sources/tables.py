@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom import schemas
@@ -55,13 +55,20 @@ def read_history(spark: SparkSession, root: str, splits: Sequence[str]) -> DataF
     return _read_splits(spark, root, splits, "history", schemas.HISTORY)
 
 
+def zipped_lists() -> Column:
+    """The aligned lists as one list of entries; a missing list gives null fields."""
+    empty = {f.name: F.array().cast(f.dataType) for f in schemas.HISTORY.fields if f.name in LIST_COLUMNS}
+    return F.arrays_zip(*[F.coalesce(F.col(c), empty[c]).alias(c) for c in LIST_COLUMNS])
+
+
+def entry_fields(entry: str) -> list[Column]:
+    return [F.col(f"{entry}.{c}").alias(name) for c, name in LIST_COLUMNS.items()]
+
+
 def long_history(history: DataFrame) -> DataFrame:
     """Long form of a list history. Empty and null lists keep one row with a null ``pos``."""
-    zipped = F.arrays_zip(*[F.col(c) for c in LIST_COLUMNS])
-    entries = history.select("user_id", "split", F.posexplode_outer(zipped).alias("pos", "_e"))
-    return entries.select(
-        "user_id", "split", "pos", *[F.col(f"_e.{c}").alias(name) for c, name in LIST_COLUMNS.items()]
-    )
+    entries = history.select("user_id", "split", F.posexplode_outer(zipped_lists()).alias("pos", "_e"))
+    return entries.select("user_id", "split", "pos", *entry_fields("_e"))
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
