@@ -1,0 +1,259 @@
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from conftest import tuples
+from pyspark.sql import functions as F
+from test_sessions import HISTORY
+
+from pressroom.plans import features
+from pressroom.sources.tables import long_history
+
+DAY = datetime(2023, 5, 10, 8, 0, 0, tzinfo=timezone.utc)
+ARTICLES = "article_id bigint, body string, premium boolean, sentiment_label string, sentiment_score double"
+BEHAVIORS = """impression_id bigint, user_id bigint, impression_time timestamp, device_type int, is_subscriber boolean,
+next_read_time double, article_ids_inview array<bigint>, article_ids_clicked array<bigint>, split string"""
+
+
+def history(spark, *rows):
+    """Rows of (user, split, ids, times, reads, scrolls)."""
+    return spark.createDataFrame([tuple(r) for r in rows], HISTORY)
+
+
+def behaviors(spark, rows):
+    """Rows of dictionaries with any of the impression columns."""
+    names = [part.split()[0] for part in BEHAVIORS.split(",")]
+    base = {"split": "train", "article_ids_inview": [], "article_ids_clicked": []}
+    data = [tuple({**base, "impression_id": i, **row}.get(n) for n in names) for i, row in enumerate(rows)]
+    return spark.createDataFrame(data, BEHAVIORS)
+
+
+def articles(spark, rows):
+    return spark.createDataFrame(rows, ARTICLES)
+
+
+def times(*days):
+    return [DAY + timedelta(days=d) for d in days]
+
+
+# Articles
+
+
+def test_length_counts_code_points(spark):
+    table = articles(spark, [(1, "naïve 😀", None, None, None), (2, None, None, None, None), (3, "", None, None, None)])
+    assert tuples(features.article_length(table)) == [(1, 7), (2, None), (3, 0)]
+
+
+def test_article_features_need_both(spark):
+    vectors = spark.createDataFrame([(1, [0.5]), (2, [0.5])], "article_id bigint, contrastive_vector array<float>")
+    table = articles(spark, [(1, "abc", True, None, None), (3, "x", False, None, None)])
+    joined = features.article_features(vectors, features.premium_articles(table), features.article_length(table))
+    assert tuples(joined, "article_id", "premium", "article_length") == [(1, 1.0, 3)]
+
+
+# Devices, flags, times
+
+
+def test_device_is_the_truncated_median(spark):
+    rows = [{"user_id": 1, "device_type": d} for d in (1, 2)]
+    rows += [{"user_id": 2, "device_type": d} for d in (2, 3, 3, None)]
+    rows += [{"user_id": 3}]
+    rows += [{"user_id": 4, "device_type": 3, "split": "test"}]
+    assert tuples(features.favourite_device(behaviors(spark, rows))) == [(1, 1), (2, 3), (3, None)]
+
+
+def test_subscription_skips_unknown_flags(spark):
+    flags = {1: [None, None], 2: [True, None], 3: [True, False], 4: [False]}
+    rows = [{"user_id": u, "is_subscriber": f} for u, fs in flags.items() for f in fs]
+    table = behaviors(spark, rows)
+    assert tuples(features.subscription_status(table)) == [(1, 1.0), (2, 1.0), (3, 0.0), (4, 0.0)]
+    assert tuples(features.subscription_consistency(table)) == [(1, 1), (2, 2), (3, 2), (4, 1)]
+
+
+def test_median_next_read_time_uses_both_splits(spark):
+    rows = [{"user_id": 1, "next_read_time": t, "split": s} for t, s in ((1.0, "train"), (5.0, "validation"), (99.0, "test"))]
+    assert tuples(features.median_next_read_time(behaviors(spark, rows))) == [(1, 3.0)]
+
+
+# Premium propensity
+
+
+def test_premium_cuts(spark):
+    table = articles(spark, [(1, None, True, None, None), (2, None, False, None, None), (3, None, None, None, None)])
+    clicks = {
+        1: [[]],  # no click
+        2: [None],  # no list
+        3: [[2, 2], [1, 2, 2]],  # 0.2
+        4: [[1, 2]],  # 0.5
+        5: [[2, 3, 77]],  # none premium
+        6: [[1], [1]],
+        7: [[1, None, None, 2, 2, 2]],  # null elements count as clicks
+    }
+    rows = [{"user_id": u, "article_ids_clicked": c} for u, lists in clicks.items() for c in lists]
+    rows += [{"user_id": 5, "article_ids_clicked": [1, 1, 1], "split": "validation"}]
+    log = behaviors(spark, rows)
+    assert tuples(features.premium_propensity(log, table)) == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 1), (6, 3), (7, 1)]
+    counts = {r["user_id"]: r for r in features.premium_click_counts(log, table).collect()}
+    assert (counts[7]["clicked_articles"], counts[7]["premium_clicked_articles"]) == (6, 1)
+    assert (counts[1]["clicked_articles"], counts[1]["premium_clicked_articles"]) == (0, 0)
+
+
+def test_premium_clicks_keep_every_click(spark):
+    table = articles(spark, [(1, None, True, None, None), (1, None, True, None, None), (2, None, False, None, None)])
+    log = behaviors(spark, [{"user_id": 1, "article_ids_clicked": [1, 2, 1]}])
+    assert tuples(features.premium_clicks(log, table), "article_id") == [(1,), (1,)]
+
+
+# Histories
+
+
+def engagement_cases(spark):
+    return history(
+        spark,
+        (1, "train", [1] * 3, times(0, 0, 0), [50.0] * 3, None),  # one day: unbounded rate
+        (2, "train", [1] * 2, times(0, 1), [45.0, None], None),  # at both limits' low side
+        (3, "train", [1] * 10, times(*range(10)), [46.0] * 10, None),
+        (4, "train", [1] * 6, times(0, 0, 0, 0, 0, 1), [10.0] * 6, None),
+        (5, "train", [], [], [], None),
+        (6, "train", None, None, None, None),
+        (7, "validation", [1], times(0), [1.0], None),
+    )
+
+
+def test_reading_engagement(spark):
+    lists = engagement_cases(spark)
+    expected = [(1, 4), (2, 1), (3, 3), (4, 2), (5, 4), (6, 4)]
+    assert tuples(features.reading_engagement(long_history(lists))) == expected
+    assert tuples(features.reading_engagement_from_lists(lists)) == expected
+
+
+def test_engagement_across_the_year(spark):
+    # 31 December to 2 January: day of year goes back, calendar days go on.
+    end = [datetime(2023, 12, 31, tzinfo=timezone.utc)] + [datetime(2024, 1, 2, tzinfo=timezone.utc)] * 19
+    lists = history(spark, (1, "train", [1] * 20, end, [10.0] * 20, None))
+    for build, table in (
+        (features.reading_engagement, long_history(lists)),
+        (features.reading_engagement_from_lists, lists),
+    ):
+        assert tuples(build(table)) == [(1, 1)]
+        assert tuples(build(table, span="calendar")) == [(1, 2)]
+        with pytest.raises(ValueError):
+            build(table, span="weeks")
+
+
+@pytest.mark.parametrize("length", [0, 1, 19, 20, 21, 45])
+def test_recent_entries(spark, length):
+    ids = list(range(length))
+    lists = history(spark, (1, "train", ids, [DAY + timedelta(minutes=i) for i in ids], None, None))
+    expected = [(i, length - 1 - i) for i in ids[-20:]] or [(None, 0)]
+    for recent in (features.recent_entries(long_history(lists)), features.recent_entries_from_lists(lists)):
+        assert tuples(recent, "article_id", "lag") == sorted(expected, key=repr)
+
+
+def propensity(spark, lists, table):
+    by_row = features.article_length_propensity(features.recent_entries_from_lists(lists), table)
+    by_entry = features.article_length_propensity(features.recent_entries(long_history(lists)), table)
+    assert tuples(by_row) == tuples(by_entry)
+    return tuples(by_row)
+
+
+def test_article_length_propensity(spark):
+    table = articles(
+        spark, [(1, "x" * 2000, None, None, None), (2, "x" * 2001, None, None, None), (3, None, None, None, None)]
+    )
+    t = times(0, 1, 2)
+    lists = history(
+        spark,
+        (1, "train", [1, 1, 1], t, None, [60.0, 60.0, 60.0]),
+        (2, "train", [1, 1, 1], t, None, [61.0, 61.0, None]),
+        (3, "train", [2, 2, 2], t, None, [10.0, 10.0, 100.0]),
+        (4, "train", [2, 2, 2], t, None, [90.0, 90.0, 90.0]),
+        (5, "train", [], [], None, []),  # no medians
+        (6, "train", [99, 99, 2], t, None, [1.0] * 3),  # unknown articles are 0 long
+        (7, "train", [3, 3, 2], t, None, [1.0] * 3),  # bodyless articles are skipped
+        (8, "train", [3, 3, 3], t, None, [1.0] * 3),  # nothing but those: the length test fails
+        (9, "train", [None, None, 2], t, None, [1.0] * 3),  # unknown ids are 0 long
+        (10, "train", [1, 1, 1], t, None, [None] * 3),
+    )
+    assert propensity(spark, lists, table) == [
+        (1, 1), (10, 2), (2, 2), (3, 3), (4, 4), (5, 4), (6, 1), (7, 3), (8, 3), (9, 1)
+    ]
+
+
+def test_sentiment_stats(spark):
+    table = articles(
+        spark,
+        [(1, None, None, "Positive", 0.5), (2, None, None, "Positive", None), (3, None, None, "Neutral", 0.25),
+         (4, None, None, None, 0.9)],
+    )
+    lists = history(
+        spark,
+        (1, "train", [1, 2, 3], times(0, 1, 2), None, None),
+        (1, "validation", [4, 99], times(3, 4), None, None),
+        (2, "train", [], [], None, None),
+        (2, "validation", [1], times(0), None, None),
+        (3, "train", None, None, None, None),
+        (1, "test", [1], times(9), None, None),
+    )
+    for recent in (features.recent_entries(long_history(lists)), features.recent_entries_from_lists(lists)):
+        got = {r["user_id"]: tuple(r)[1:] for r in features.sentiment_stats(recent, table).collect()}
+        assert got == {
+            1: (0.5, 0.25, 0.0, 0.4, 0.2, 0.0),
+            2: (0.5, 0.0, 0.0, 0.5, 0.0, 0.0),  # the empty history counts as one entry
+            3: (0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+        }
+        assert tuples(features.sentiment_article_lists(recent, table)) == [
+            (1, [1, 2], [3], []), (2, [1], [], []), (3, [], [], [])
+        ]
+
+
+def test_only_the_last_twenty_count(spark):
+    table = articles(spark, [(1, None, None, "Positive", 1.0), (2, None, None, "Negative", 1.0)])
+    ids = [1] * 30 + [2] * 20
+    lists = history(spark, (1, "train", ids, [DAY + timedelta(minutes=i) for i in range(50)], None, None))
+    stats = features.sentiment_stats(features.recent_entries(long_history(lists).repartition(3)), table).first()
+    assert stats["negative_sentiment_articles_rate"] == 1.0
+
+
+def test_users_are_kept_per_split_unless_deduplicated(spark):
+    lists = history(
+        spark,
+        (1, "train", [1, 2], times(0, 1), None, None),
+        (1, "validation", [1], times(0), None, None),
+        (2, "train", [1], times(0), None, None),
+    )
+    users = features.history_users(long_history(lists))
+    assert tuples(users) == [(1,), (1,), (2,)]
+    assert tuples(features.history_users(long_history(lists), dedupe=True)) == [(1,), (2,)]
+    feature = spark.createDataFrame([(1, 5)], "user_id bigint, x int")
+    assert tuples(features.user_profile(users, [feature])) == [(1, 5), (1, 5)]
+
+
+def test_lists_and_entries_agree_on_random_histories(spark):
+    rng = random.Random(6)
+
+    def values(n, high):
+        return [rng.choice([None, float(rng.randrange(high))]) for _ in range(n)]
+
+    rows = []
+    for user in range(40):
+        n = rng.choice([0, 1, 5, 20, 21, 60])
+        minutes = sorted(rng.randrange(60 * 24 * 40) for _ in range(n))
+        rows.append(
+            (user, "train", [rng.randrange(12) for _ in range(n)], [DAY + timedelta(minutes=m) for m in minutes],
+             values(n, 90), values(n, 120))
+        )
+    lists = history(spark, *rows)
+    table = articles(
+        spark,
+        [(i, "x" * (i * 400), None, rng.choice(["Positive", "Neutral", "Negative", None]), i / 10) for i in range(10)],
+    )
+    entries = long_history(lists).repartition(5)
+    assert tuples(features.reading_engagement(entries)) == tuples(features.reading_engagement_from_lists(lists))
+    assert len(propensity(spark, lists, table)) == 40
+    by_entry = features.sentiment_stats(features.recent_entries(entries), table)
+    by_row = features.sentiment_stats(features.recent_entries_from_lists(lists), table)
+    rounded = [F.round(c, 9).alias(c) for c in by_row.columns]
+    assert tuples(by_entry.select(rounded)) == tuples(by_row.select(rounded))
