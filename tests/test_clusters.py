@@ -1,0 +1,217 @@
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import tuples
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from pressroom import schemas
+from pressroom.plans import clustering, summaries
+from pressroom.session import cut_lineage
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    rng = np.random.default_rng(12)
+    centres = np.array([[0, 0, 0, 0], [12, 0, 12, 0], [0, 15, 0, 15]], float)
+    points = np.concatenate([rng.normal(c, 1.0, size=(100, 4)) for c in centres])
+    rows = [(i, *map(float, p)) for i, p in enumerate(points)]
+    return points, spark.createDataFrame(rows, "user_id int, a double, b double, c double, d double")
+
+
+def test_standardising_skips_missing_values(spark):
+    rows = [(1, 1.0, 5.0, None), (2, 3.0, 5.0, float("nan")), (3, None, 5.0, None), (4, float("nan"), 5.0, None)]
+    table = spark.createDataFrame(rows, "user_id int, x double, same double, empty double")
+    got = tuples(clustering.standardised(table, ["x", "same", "empty"]))
+    assert got == [(1, -1.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, 0.0, 0.0, 0.0), (4, 0.0, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("keep", [0.5, 0.8, 0.999])
+def test_components_match_the_eigenvectors(blobs, keep):
+    points, table = blobs
+    features = ["a", "b", "c", "d"]
+    scaled = (points - points.mean(0)) / points.std(0)
+    values, vectors = np.linalg.eigh(np.cov(scaled.T))
+    order = np.argsort(values)[::-1]
+    shares = np.cumsum(values[order]) / values.sum()
+    k = int((shares <= keep).sum()) + 1
+    projected = scaled @ vectors[:, order[:k]]
+    frame = clustering.principal_components(clustering.standardised(table, features), features, keep)
+    got = {r["user_id"]: r["v"] for r in frame.select("user_id", vector_to_array("components").alias("v")).collect()}
+    mine = np.array([got[i] for i in range(len(points))])
+    assert mine.shape == projected.shape
+    assert np.abs(mine) == pytest.approx(np.abs(projected), abs=1e-6)
+
+
+def test_planted_clusters_are_found(blobs):
+    points, table = blobs
+    features = ["a", "b", "c", "d"]
+    frame = cut_lineage(clustering.principal_components(clustering.standardised(table, features), features, 0.9))
+    choice = clustering.choose_mixture(frame, cluster_counts=(2, 3, 4), restarts=(1, 2), max_iter=50)
+    assert choice.k == 3
+    assert sum(choice.model.weights) == pytest.approx(1)
+    assert choice.bic == min(b for _, _, b in choice.grid)
+    # More restarts never give a worse fit.
+    by_k = {}
+    for k, restarts, bic in choice.grid:
+        by_k.setdefault(k, {})[restarts] = bic
+    assert all(bics[2] <= bics[1] for bics in by_k.values() if len(bics) == 2)
+    rows = clustering.labelled(frame, choice).collect()
+    groups = [{r["label"] for r in rows if r["user_id"] // 100 == g} for g in range(3)]
+    assert all(len(g) == 1 for g in groups) and set().union(*groups) == {0, 1, 2}
+
+    # The criterion from the model's own densities.
+    got = {r["user_id"]: r["v"] for r in frame.select("user_id", vector_to_array("components").alias("v")).collect()}
+    x = np.array([got[i] for i in range(300)])
+    d = x.shape[1]
+    density = np.zeros(300)
+    for weight, gaussian in zip(choice.model.weights, choice.model.gaussiansDF.collect()):
+        centred = x - gaussian["mean"].toArray()
+        cov = gaussian["cov"].toArray()
+        power = -0.5 * np.einsum("ij,jk,ik->i", centred, np.linalg.inv(cov), centred)
+        density += weight * np.exp(power) / math.sqrt((2 * math.pi) ** d * np.linalg.det(cov))
+    free = 2 + 3 * d + 3 * d * (d + 1) // 2
+    assert choice.bic == pytest.approx(-2 * np.log(density).sum() + free * math.log(300), rel=1e-3)
+
+
+def test_mixtures_of_single_rows_are_rejected(blobs):
+    _, table = blobs
+    features = ["a", "b", "c", "d"]
+    few = cut_lineage(clustering.principal_components(clustering.standardised(table.limit(12), features), features))
+    choice = clustering.choose_mixture(few, cluster_counts=(8, 9), restarts=(1,), max_iter=5)
+    assert choice.model is None and choice.grid == []
+    assert {r["label"] for r in clustering.labelled(few, choice).collect()} == {0}
+
+
+def test_default_grid():
+    assert clustering.CLUSTER_COUNTS == (8, 9, 10, 11, 12, 13, 14)
+    assert clustering.parameter_count(3, 2) == 2 + 6 + 9
+
+
+# Summaries
+
+FEATURES = {"x": "numerical", "same": "numerical", "none": "numerical", "kind": "categorical", "flag": "binary"}
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(90):
+        label = i % 3
+        x = None if i % 11 == 0 else float(rng.gamma(2.0) + label)
+        kind = None if label == 1 and i % 4 == 0 else int(rng.integers(1, 4))
+        rows.append((label, x, 2.5, None, kind, 1.0 if label == 2 else float(i % 2)))
+    rows += [(3, 1.0, 2.5, None, 1, 0.0), (3, 2.0, 2.5, None, 2, 0.0)]  # a tied mode, a single value
+    return rows, spark.createDataFrame(rows, "label int, x double, same double, none double, kind int, flag double")
+
+
+def brute_numerical(values):
+    x = np.sort(np.array([v for v in values if v is not None]))
+    n = len(x)
+    if n == 0:
+        return [None] * 7
+    c = x - x.mean()
+    m2 = (c**2).mean()
+    nearest = [x[int(np.floor(q * (n - 1) + 0.5))] for q in (0.25, 0.75)]
+    skew = (c**3).mean() / m2**1.5 if m2 else None
+    kurtosis = (c**4).mean() / m2**2 - 3 if m2 else None
+    return [x.mean(), np.median(x), x.std(ddof=1), *nearest, skew, kurtosis]
+
+
+def brute_categorical(values):
+    known = Counter(v for v in values if v is not None)
+    total, h = sum(known.values()), len(known)
+    shares = [n / total for n in known.values()]
+    top = max(known.values())
+    return [
+        min(v for v, n in known.items() if n == top),
+        top / total,
+        h + (None in values),
+        h * (1 - sum(f * f for f in shares)) / (h - 1) if h > 1 else 0.0,
+        -sum(f * math.log2(f) for f in shares) / math.log2(h) if h > 1 else 0.0,
+    ]
+
+
+def close(expected):
+    return [None if v is None else pytest.approx(v, abs=1e-9) for v in expected]
+
+
+def test_summary_matches_brute_force(labelled):
+    rows, table = labelled
+    names = ["label", *FEATURES]
+    got = {(r["scope"], r["feature"]): r for r in summaries.cluster_summary(table, FEATURES).collect()}
+    scopes = {**{str(label): [r for r in rows if r[0] == label] for label in range(4)}, "global": rows}
+    assert set(got) == {(s, f) for s in scopes for f in FEATURES}
+    for scope, members in scopes.items():
+        for feature, kind in FEATURES.items():
+            values = [r[names.index(feature)] for r in members]
+            row = list(got[scope, feature])
+            assert row[2] == kind
+            if kind == "numerical":
+                assert row[3:10] == close(brute_numerical(values)), (scope, feature)
+                assert row[10:] == [None] * 5
+            else:
+                assert row[3:10] == [None] * 7
+                assert row[10:] == close(brute_categorical(values)), (scope, feature)
+
+
+def test_summary_schema(labelled):
+    _, table = labelled
+    assert summaries.cluster_summary(table, FEATURES).drop("scope").schema.simpleString() == schemas.SUMMARY.simpleString()
+
+
+def test_labels(labelled):
+    assert [r["label"] for r in summaries.cluster_labels(labelled[1]).collect()] == [0, 1, 2, 3]
+
+
+def summary_row(scope, feature, kind, mean=None, std=None, rate=None, gini=None, entropy=None):
+    return (scope, feature, kind, mean, None, std, None, None, None, None, None, rate, None, gini, entropy)
+
+
+def test_discriminating_features(spark):
+    columns = "scope string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.SUMMARY.fields)
+    whole = {
+        "far": summary_row("global", "far", "numerical", 10.0, 1.0),
+        "near": summary_row("global", "near", "numerical", 10.0, 100.0),
+        "negative": summary_row("global", "negative", "numerical", -1.0, 0.1),
+        "zero": summary_row("global", "zero", "numerical", 0.0, 1.0),
+        "rate": summary_row("global", "rate", "categorical", rate=0.5, gini=0.5, entropy=0.5),
+        "both": summary_row("global", "both", "binary", rate=0.5, gini=0.5, entropy=0.5),
+        "one": summary_row("global", "one", "binary", rate=0.5, gini=0.5, entropy=0.5),
+        "nan": summary_row("global", "nan", "binary", rate=0.5, gini=0.5, entropy=0.5),
+    }
+    own = [
+        summary_row("0", "far", "numerical", 12.0, 1.0),
+        summary_row("0", "near", "numerical", 12.0, 1.0),
+        summary_row("0", "negative", "numerical", 5.0, 1.0),
+        summary_row("0", "zero", "numerical", 5.0, 1.0),
+        summary_row("0", "rate", "categorical", rate=0.6, gini=0.5, entropy=0.5),
+        summary_row("0", "both", "binary", rate=0.5, gini=0.6, entropy=0.4),
+        summary_row("0", "one", "binary", rate=0.5, gini=0.6, entropy=0.5),
+        summary_row("0", "nan", "binary", rate=0.5, gini=float("nan"), entropy=float("nan")),
+    ]
+    table = spark.createDataFrame(own + list(whole.values()), columns)
+    got = {r["feature"]: r for r in summaries.discriminating_features(table).collect()}
+    flags = {f: r["is_discriminating"] for f, r in got.items()}
+    assert flags == {
+        "far": True, "near": False, "negative": False, "zero": False, "rate": True, "both": True, "one": False, "nan": True
+    }
+    assert got["far"]["means_relative_difference"] == pytest.approx(0.2)
+    assert got["far"]["statistical_relevance"] == pytest.approx(2.0)
+    assert got["zero"]["means_relative_difference"] is None
+    assert got["nan"]["n_gini_index_relative_difference"] == pytest.approx(1.0)
+
+
+def test_result_does_not_depend_on_partitions(labelled):
+    _, table = labelled
+    rounded = lambda df: df.select(
+        *[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    )
+    assert tuples(rounded(summaries.cluster_summary(table.repartition(1), FEATURES))) == tuples(
+        rounded(summaries.cluster_summary(table.repartition(6), FEATURES))
+    )
