@@ -117,7 +117,8 @@ def premium_ids(articles: DataFrame) -> DataFrame:
 
 def premium_clicks(behaviors: DataFrame, articles: DataFrame) -> DataFrame:
     """Clicks on premium articles, one row per click."""
-    clicks = behaviors.select("impression_id", "user_id", "split", F.explode("article_ids_clicked").alias("article_id"))
+    article = F.explode_outer("article_ids_clicked").alias("article_id")
+    clicks = behaviors.select("impression_id", "user_id", "split", article)
     return clicks.join(premium_ids(articles), "article_id", "left_semi").select(
         "impression_id", "user_id", "split", "article_id"
     )

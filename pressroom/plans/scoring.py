@@ -28,14 +28,13 @@ def time_decay_profile(recent: DataFrame, docvec: DataFrame, alpha: float = DECA
 
 def candidates(behaviors: DataFrame) -> DataFrame:
     """One row per impression and in-view article with its click label."""
-    inview = F.coalesce("article_ids_inview", F.array().cast("array<bigint>"))
     shown = behaviors.select(
         "impression_id",
         "user_id",
         "split",
         "article_ids_clicked",
-        F.posexplode(inview).alias("pos", "article_id"),
-    )
+        F.posexplode_outer("article_ids_inview").alias("pos", "article_id"),
+    ).where(F.col("pos").isNotNull())
     label = F.coalesce(F.array_contains("article_ids_clicked", F.col("article_id")), F.lit(False))
     return shown.withColumn("label", label.cast("tinyint")).drop("article_ids_clicked")
 
