@@ -13,6 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 200_000
+BROADCAST_BYTES = 512 * 2**20
+
+
+def broadcast_below(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Ask for a broadcast of ``df`` when its measured size is at most ``limit`` bytes, else leave it to shuffle.
+
+    For tables whose joined rows are wide, where Spark's own threshold is far below what pays off. The
+    size is summed over the whole table, so it holds for this run's data whatever the statistics say.
+    """
+    measured = df.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if measured <= limit else df
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:

@@ -297,21 +297,18 @@ def test_impressions(spark, sf):
 # Scores and ranking quality
 
 
-def _user_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.time_decay_profile(_recent(spark, sf), derived.docvec(spark, sf))
-
-
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.candidate_scores(
-        derived.behaviors(spark, sf), _user_vectors(spark, sf), derived.docvec(spark, sf)
-    )
+    vectors = scoring.vectors_for_join(derived.docvec(spark, sf))
+    profile = scoring.time_decay_profile(_recent(spark, sf), vectors)
+    return scoring.candidate_scores(derived.behaviors(spark, sf), profile, vectors)
 
 
 @query
 def time_decay_profile(spark, sf):
     vector = F.col("profile")
     total = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x)
-    return _user_vectors(spark, sf).select(
+    profile = scoring.time_decay_profile(_recent(spark, sf), scoring.vectors_for_join(derived.docvec(spark, sf)))
+    return profile.select(
         "user_id",
         "split",
         F.size(vector).alias("n_dims"),
@@ -352,7 +349,8 @@ def click_ranker(spark, sf):
         derived.behaviors(spark, sf),
         derived.history(spark, sf),
     )
-    vectors, profile = derived.docvec(spark, sf), _user_vectors(spark, sf)
+    vectors = scoring.vectors_for_join(derived.docvec(spark, sf))
+    profile = scoring.time_decay_profile(features.recent_entries(history), vectors)
     premium = features.premium_articles(articles)
     users = features.premium_propensity(behaviors, articles).join(features.reading_engagement(history), "user_id")
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.functions.arrays import pad_left, pad_right
 from pressroom.functions.scalars import id_hash
 from pressroom.operators.skew import HOT_ROWS, skew_join
 from pressroom.plans.features import HISTORY_SIZE
+from pressroom.sources.tables import read_behaviors, read_history
 
 PAD = 0
 SEED = 123
@@ -32,6 +33,11 @@ def padded_history(recent: DataFrame, n: int = HISTORY_SIZE) -> DataFrame:
     return history_lists(recent, n).withColumn("article_id_fixed", pad_left(F.col("article_id_fixed"), n, PAD))
 
 
+def padded_history_from_lists(history: DataFrame, n: int = HISTORY_SIZE) -> DataFrame:
+    """The same from list histories, inside the row."""
+    return history.select("user_id", "split", pad_left(F.col("article_id_fixed"), n, PAD).alias("article_id_fixed"))
+
+
 def with_history(
     behaviors: DataFrame, recent: DataFrame, n: int = HISTORY_SIZE, min_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -44,6 +50,16 @@ def sample(df: DataFrame, fraction: float, key: str = "impression_id", seed: int
     return df.where(id_hash(F.col(key), seed) < F.lit(int(fraction * 2**32)))
 
 
+def load_split(
+    spark: SparkSession, root: str, splits: Sequence[str], n: int = HISTORY_SIZE, min_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Impressions of the named split folders, each with its user's padded history."""
+    histories = padded_history_from_lists(read_history(spark, root, splits), n)
+    return skew_join(
+        read_behaviors(spark, root, splits), histories, ["user_id", "split"], ["impression_id"], min_rows=min_rows
+    )
+
+
 def _unclicked() -> Column:
     return F.array_except("article_ids_inview", "article_ids_clicked")
 

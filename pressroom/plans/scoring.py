@@ -10,12 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.functions.arrays import dot
-from pressroom.operators.skew import HOT_ROWS, skew_join
+from pressroom.operators.skew import BROADCAST_BYTES, HOT_ROWS, broadcast_below, skew_join
 
 DECAY = 0.05
 PAIR = ["user_id", "split", "article_id"]
 
 
+def vectors_for_join(docvec: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Article vectors, broadcast while they fit the limit.
+
+    Without a broadcast every entry or pair has to be shuffled together with a vector; with it, only
+    ids are. Measured once per call, so pass the result to both the profile and the scores.
+    """
+    return broadcast_below(docvec, 16 + 4 * F.coalesce(F.size("contrastive_vector"), F.lit(0)), limit)
+
+
 def time_decay_profile(recent: DataFrame, docvec: DataFrame, alpha: float = DECAY) -> DataFrame:
     """Mean vector of each user's recent articles, weighted by ``exp(-alpha * lag)``.
 

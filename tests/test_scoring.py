@@ -5,7 +5,7 @@ from datetime import timedelta
 
 import numpy as np
 import pytest
-from conftest import tuples
+from conftest import plan_of, tuples
 from pyspark.sql import functions as F
 from test_features import DAY, behaviors, history
 
@@ -66,6 +66,23 @@ def test_scores_match_brute_force(data, min_rows):
             assert got[i, pos]["article_id"] == article
 
 
+def test_vectors_are_broadcast_only_below_the_limit(spark, data):
+    _, docvec, _, recent, log, _ = data
+    assert "BroadcastHashJoin" in plan_of(scoring.time_decay_profile(recent, scoring.vectors_for_join(docvec)))
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = scoring.vectors_for_join(docvec, limit=100)
+        profile = scoring.time_decay_profile(recent, wide)
+        assert "BroadcastHashJoin" not in plan_of(profile)
+        shuffled = tuples(scoring.candidate_scores(log, profile, wide).withColumn("s", F.round("score", 9)), "impression_id", "pos", "s")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+    profile = scoring.time_decay_profile(recent, docvec)
+    scores = scoring.candidate_scores(log, profile, docvec).withColumn("s", F.round("score", 9))
+    assert tuples(scores, "impression_id", "pos", "s") == shuffled
+
+
 def test_ranker_finds_a_planted_signal(spark):
     rng = np.random.default_rng(10)
     n = 3000

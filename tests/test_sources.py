@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_features import DAY, articles, behaviors, history, times
 
 from pressroom import schemas
-from pressroom.plans import features
+from pressroom.plans import features, impressions
 from pressroom.session import cut_lineage
 from pressroom.sources import tables
 
@@ -31,6 +31,19 @@ def test_split_folders(spark, tmp_path):
     assert tuples(entries, "user_id", "pos", "article_id", "read_time") == [(2, 0, 1, 1.0), (2, 1, 2, None)]
 
 
+def test_load_split(spark, tmp_path):
+    for split in ("train", "validation"):
+        folder = tmp_path / split
+        log = behaviors(spark, [{"impression_id": 1, "user_id": 1}, {"impression_id": 2, "user_id": 5}])
+        tables.write_table(log.drop("split"), str(folder / "behaviors.parquet"))
+        ids = [7, 8, 9] if split == "train" else None
+        tables.write_table(history(spark, (1, split, ids, None, None, None)).drop("split"), str(folder / "history.parquet"))
+    got = impressions.load_split(spark, str(tmp_path), ["train", "validation"], n=4)
+    assert tuples(got, "split", "impression_id", "article_id_fixed") == [
+        ("train", 1, [0, 7, 8, 9]), ("validation", 1, [0, 0, 0, 0])
+    ]
+
+
 def test_round_trip_and_pruned_scan(spark, tmp_path):
     path = str(tmp_path / "articles")
     tables.write_table(articles(spark, [(1, "text", True, "Positive", 0.5), (2, None, None, None, None)]), path)
