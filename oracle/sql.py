@@ -276,7 +276,8 @@ CORRELATIONS = " UNION ALL ".join(
 
 BODIES = {
     "premium_articles": f"SELECT article_id, {r6('premium', 'premium')} FROM articles",
-    "premium_articles_test": f"SELECT article_id, {r6('premium', 'premium')} FROM articles WHERE article_id % 5 = 0",
+    "premium_articles_test": f"""
+SELECT doc_id AS article_id, {r6('doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)', 'premium')} FROM documents""",
     "article_length": "SELECT article_id, CAST(length(body) AS INTEGER) AS article_length FROM articles",
     "article_features": f"""
 SELECT v.article_id, {r6('a.premium', 'premium')}, CAST(length(a.body) AS INTEGER) AS article_length,

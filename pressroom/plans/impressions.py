@@ -150,9 +150,17 @@ def training_impressions(
         .where(F.size("article_ids_clicked") > 0)
         .transform(sample, fraction=fraction, seed=seed)
     )
-    # The cut needs only the dates of the impressions that stay, not their lists.
-    dated = chosen.where(F.size(_unclicked()) > 0).join(users.select("user_id", "split"), ["user_id", "split"], "left_semi")
-    early = F.to_date("impression_time") < last_day_cut(dated)
+    # The cut needs one date per user of the impressions that stay, not their lists.
+    kept = recent.where(F.col("lag") == 0).select("user_id", "split")
+    for table in features:
+        kept = kept.join(table.select("user_id"), "user_id")
+    latest = (
+        chosen.where(F.size(_unclicked()) > 0)
+        .groupBy("user_id", "split")
+        .agg(F.max(F.to_date("impression_time")).alias("_day"))
+        .join(kept, ["user_id", "split"], "left_semi")
+    )
+    early = F.to_date("impression_time") < latest.agg(F.date_sub(F.max("_day"), 1)).scalar()
     return (
         skew_join(chosen, users, ["user_id", "split"], ["impression_id"], min_rows=min_rows)
         .transform(negative_samples, per_click=per_click, seed=seed)
