@@ -77,22 +77,22 @@ def article_features(spark, sf):
 
 @query
 def favourite_device(spark, sf):
-    return features.favourite_device(derived.behaviors(spark, sf))
+    return features.favourite_device(derived.visits(spark, sf))
 
 
 @query
 def median_next_read_time(spark, sf):
-    return features.median_next_read_time(derived.behaviors(spark, sf))
+    return features.median_next_read_time(derived.visits(spark, sf))
 
 
 @query
 def subscription_status(spark, sf):
-    return features.subscription_status(derived.behaviors(spark, sf))
+    return features.subscription_status(derived.visits(spark, sf))
 
 
 @query
 def subscription_consistency(spark, sf):
-    return features.subscription_consistency(derived.behaviors(spark, sf))
+    return features.subscription_consistency(derived.visits(spark, sf))
 
 
 @query
@@ -172,21 +172,18 @@ def time_profile(spark, sf):
 
 
 def _profile(spark: SparkSession, sf: str) -> DataFrame:
-    articles, behaviors, history = (
-        derived.articles(spark, sf),
-        derived.behaviors(spark, sf),
-        derived.history(spark, sf),
-    )
+    articles, history = derived.articles(spark, sf), derived.history(spark, sf)
+    visits, behaviors = derived.visits(spark, sf), derived.behaviors(spark, sf)
     return features.user_profile(
         features.history_users(history),
         [
             features.sentiment_stats(features.recent_entries(history), articles),
-            features.favourite_device(behaviors),
+            features.favourite_device(visits),
             sessions.time_profile(_sessions(spark, sf)),
-            features.median_next_read_time(behaviors),
+            features.median_next_read_time(visits),
             features.premium_propensity(behaviors, articles),
             features.reading_engagement(history),
-            features.subscription_status(behaviors),
+            features.subscription_status(visits),
         ],
     )
 
@@ -214,7 +211,7 @@ def impressions_with_history(spark, sf):
 
 @query
 def sampled_impressions(spark, sf):
-    return impressions.sample(derived.behaviors(spark, sf), 0.3).select("impression_id", "user_id", "split")
+    return impressions.sample(derived.visits(spark, sf), 0.3).select("impression_id", "user_id", "split")
 
 
 @query
@@ -231,7 +228,7 @@ def binary_labels(spark, sf):
 
 @query
 def temporal_split(spark, sf):
-    return impressions.temporal_split(derived.behaviors(spark, sf)).select("impression_id", "part")
+    return impressions.temporal_split(derived.visits(spark, sf)).select("impression_id", "part")
 
 
 @query

@@ -74,28 +74,27 @@ def negative_samples(behaviors: DataFrame, per_click: int = NEGATIVES_PER_CLICK,
         "clicked_article_id", F.explode(F.when(F.size("_unclicked") > 0, F.col("article_ids_clicked")))
     )
 
-    def drawn(i: Column) -> Column:
-        pick = id_hash(F.col("impression_id"), F.col("clicked_article_id"), i, seed) % F.size("_unclicked")
-        return F.get(F.col("_unclicked"), pick.cast("int"))
+    def hashed(draw: int, *extra: str) -> Column:
+        return id_hash(F.col("impression_id"), F.col("clicked_article_id"), draw, *extra, seed)
 
-    def candidate(i: Column, article: Column, label: int) -> Column:
-        order = id_hash(F.col("impression_id"), F.col("clicked_article_id"), i, "order", seed)
+    def candidate(draw: int, article: Column) -> Column:
         return F.struct(
-            order.alias("order"),
-            i.alias("draw"),
+            hashed(draw, "order").alias("order"),
+            F.lit(draw).alias("draw"),
             article.alias("article_id"),
-            F.lit(label).cast("tinyint").alias("label"),
+            F.lit(1 if draw < 0 else 0).cast("tinyint").alias("label"),
         )
 
-    negatives = F.transform(
-        F.sequence(F.lit(0), F.lit(per_click - 1)), lambda i: candidate(i, drawn(i), 0)
-    )
-    positive = F.array(candidate(F.lit(-1), F.col("clicked_article_id"), 1))
-    shuffled = F.sort_array(F.concat(positive, negatives))
+    def drawn(draw: int) -> Column:
+        return F.get(F.col("_unclicked"), (hashed(draw) % F.size("_unclicked")).cast("int"))
+
+    # Written out per draw rather than as a function over the draw numbers, so that it is compiled.
+    negatives = [candidate(draw, drawn(draw)) for draw in range(per_click)]
+    shuffled = F.sort_array(F.array(candidate(-1, F.col("clicked_article_id")), *negatives))
     return (
         clicks.withColumn("_candidates", shuffled)
-        .withColumn("article_ids_inview", F.transform("_candidates", lambda c: c["article_id"]))
-        .withColumn("labels", F.transform("_candidates", lambda c: c["label"]))
+        .withColumn("article_ids_inview", F.col("_candidates.article_id"))
+        .withColumn("labels", F.col("_candidates.label"))
         .drop("_candidates", "_unclicked", "article_ids_clicked")
     )
 

@@ -22,15 +22,13 @@ def _article_id(k: Column) -> Column:
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     ts = F.col("ts").cast("timestamp")
-    # props is {"k": <number>}. Filters on the lists built from k repeat this expression, so it is kept cheap.
-    k = F.substring_index(F.substring_index("props", ": ", -1), "}", 1).cast("bigint")
     return events.select(
         "event_id",
         "user_id",
         ts.alias("ts"),
         "event_type",
         "value",
-        k.alias("k"),
+        "props",
         F.when(ts < F.lit("2024-01-22").cast("timestamp"), "train")
         .when(ts < F.lit("2024-01-29").cast("timestamp"), "validation")
         .otherwise("test")
@@ -38,6 +36,11 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _k() -> Column:
+    """The number in ``{"k": <number>}``."""
+    return F.substring_index(F.substring_index("props", ": ", -1), "}", 1).cast("bigint")
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("_labelled"))
@@ -61,17 +64,32 @@ def articles_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("premium", F.coalesce("quality", F.lit(0)) == 1).drop("quality")
 
 
-def behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = [_article_id((F.col("k") + 17 * i) % 100) for i in range(5)]
-    none = F.array().cast("array<bigint>")
-    return _log(spark, sf_dir).select(
+def _visit_columns() -> list[Column]:
+    return [
         F.col("event_id").alias("impression_id"),
-        "user_id",
+        F.col("user_id"),
         F.col("ts").alias("impression_time"),
-        "split",
+        F.col("split"),
         (F.col("event_id") % 3 + 1).cast("int").alias("device_type"),
         (F.col("user_id") % 4 == 0).alias("is_subscriber"),
         F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("next_read_time"),
+    ]
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impressions without their article lists."""
+    return _log(spark, sf_dir).select(*_visit_columns())
+
+
+def behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impressions with the in-view and clicked lists, five articles each in view."""
+    # The lists are columns of a real log. Here they are computed, and a filter on them would repeat the
+    # computation below it; a one-element explode of k keeps such filters above.
+    log = _log(spark, sf_dir).withColumn("k", F.explode(F.array(_k())))
+    shown = [_article_id((F.col("k") + 17 * i) % 100) for i in range(5)]
+    none = F.array().cast("array<bigint>")
+    return log.select(
+        *_visit_columns(),
         F.array(*shown).alias("article_ids_inview"),
         F.when(F.col("event_type").isin("click", "purchase"), F.array(shown[0]))
         .when(F.col("event_type") == "signup", F.array(shown[0], shown[1]))
@@ -86,7 +104,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "split",
         F.struct("ts", "event_id").alias("pos"),
-        _article_id(F.col("k")).alias("article_id"),
+        _article_id(_k()).alias("article_id"),
         F.col("ts").alias("impression_time"),
         F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("read_time"),
         F.when(F.col("event_id") % 7 != 0, F.least(F.col("value"), F.lit(100.0))).alias("scroll_percentage"),
