@@ -41,6 +41,14 @@ def _recent(spark: SparkSession, sf: str) -> DataFrame:
     return features.recent_entries(derived.history(spark, sf))
 
 
+def _reading(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return _recent(spark, sf), derived.articles(spark, sf)
+
+
+def _hot_articles(spark: SparkSession, sf: str) -> DataFrame:
+    return features.hot_articles(derived.history(spark, sf))
+
+
 # Articles
 
 
@@ -137,17 +145,17 @@ def history_tail(spark, sf):
 
 @query
 def article_length_propensity(spark, sf):
-    return features.article_length_propensity(_recent(spark, sf), derived.articles(spark, sf))
+    return features.article_length_propensity(*_reading(spark, sf), hot=_hot_articles(spark, sf))
 
 
 @query
 def sentiment_stats(spark, sf):
-    return features.sentiment_stats(_recent(spark, sf), derived.articles(spark, sf))
+    return features.sentiment_stats(*_reading(spark, sf), hot=_hot_articles(spark, sf))
 
 
 @query
 def sentiment_article_lists(spark, sf):
-    lists = features.sentiment_article_lists(_recent(spark, sf), derived.articles(spark, sf))
+    lists = features.sentiment_article_lists(*_reading(spark, sf), hot=_hot_articles(spark, sf))
     return lists.select("user_id", *[joined(c) for c in lists.columns if c != "user_id"])
 
 
@@ -177,7 +185,7 @@ def _profile(spark: SparkSession, sf: str) -> DataFrame:
     return features.user_profile(
         features.history_users(history),
         [
-            features.sentiment_stats(features.recent_entries(history), articles),
+            features.sentiment_stats(features.recent_entries(history), articles, hot=features.hot_articles(history)),
             features.favourite_device(visits),
             sessions.time_profile(_sessions(spark, sf)),
             features.median_next_read_time(visits),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pressroom.functions.arrays import list_mean, list_tail
 from pressroom.functions.scalars import two_level
 from pressroom.operators.quantiles import grouped_median
-from pressroom.operators.skew import HOT_ROWS, first_rows
+from pressroom.operators.skew import HOT_ROWS, first_rows, hot_keys, skew_join
 from pressroom.sources.tables import entry_fields, zipped_lists
 
 HISTORY_SIZE = 20
@@ -115,17 +115,18 @@ def premium_ids(articles: DataFrame) -> DataFrame:
     return articles.where("premium").select("article_id").distinct()
 
 
-def premium_clicks(behaviors: DataFrame, articles: DataFrame) -> DataFrame:
+def premium_clicks(behaviors: DataFrame, articles: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
     """Clicks on premium articles, one row per click."""
     article = F.explode_outer("article_ids_clicked").alias("article_id")
     clicks = behaviors.select("impression_id", "user_id", "split", article)
-    return clicks.join(premium_ids(articles), "article_id", "left_semi").select(
+    # The ids are distinct, so the join keeps each click once.
+    return skew_join(clicks, premium_ids(articles), ["article_id"], ["impression_id"], min_rows=min_rows).select(
         "impression_id", "user_id", "split", "article_id"
     )
 
 
 def premium_click_counts(
-    behaviors: DataFrame, articles: DataFrame, splits: Sequence[str] = TRAIN
+    behaviors: DataFrame, articles: DataFrame, splits: Sequence[str] = TRAIN, min_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``user_id, clicked_articles, premium_clicked_articles``; users without clicks are kept with zeros.
 
@@ -135,7 +136,10 @@ def premium_click_counts(
         "user_id", F.posexplode_outer("article_ids_clicked").alias("_pos", "article_id")
     )
     per_article = clicks.groupBy("user_id", "article_id").agg(F.count("_pos").alias("_n"))
-    flagged = per_article.join(premium_ids(articles).withColumn("_premium", F.lit(True)), "article_id", "left")
+    flags = premium_ids(articles).withColumn("_premium", F.lit(True))
+    # An article has no more users than clicks, so the articles with many clicks cover those with many users.
+    hot = hot_keys(clicks.select("article_id"), ["article_id"], min_rows)
+    flagged = skew_join(per_article, flags, ["article_id"], ["user_id"], "left", hot=hot)
     return flagged.groupBy("user_id").agg(
         F.sum("_n").alias("clicked_articles"),
         F.sum(F.when(F.col("_premium"), F.col("_n")).otherwise(0)).alias("premium_clicked_articles"),
@@ -198,14 +202,29 @@ def reading_engagement_from_lists(
     )
 
 
-def article_length_propensity(recent: DataFrame, articles: DataFrame, splits: Sequence[str] = TRAIN) -> DataFrame:
+def hot_articles(history: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+    """Articles with many entries in a long history.
+
+    They cover the ones with many recent entries, and counting them needs no window.
+    """
+    return hot_keys(history.select("article_id"), ["article_id"], min_rows)
+
+
+def _lookup(recent: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    return skew_join(recent, table, ["article_id"], ["user_id", "split", "lag"], "left", hot=hot)
+
+
+def article_length_propensity(
+    recent: DataFrame, articles: DataFrame, splits: Sequence[str] = TRAIN, hot: DataFrame | None = None
+) -> DataFrame:
     """1 not interested, 2 short-article reader, 3 skimmer, 4 long-article reader.
 
     ``recent`` are the entries of ``recent_entries``, so a group holds at most the history size. An
-    unknown article has length 0; an article without a body is skipped.
+    unknown article has length 0; an article without a body is skipped. ``hot`` may hold the articles
+    to split over tasks (``hot_articles``); by default they are counted among the recent entries.
     """
     lengths = article_length(articles).withColumn("_known", F.lit(True))
-    entries = of_splits(recent, splits).join(lengths, "article_id", "left")
+    entries = _lookup(of_splits(recent, splits), lengths, hot)
     length = F.when(F.col("_known"), F.col("article_length")).when(F.col("pos").isNotNull(), 0)
     medians = entries.groupBy("user_id", "split").agg(
         F.median(length).alias("_length"), F.median("scroll_percentage").alias("_scroll")
@@ -216,18 +235,23 @@ def article_length_propensity(recent: DataFrame, articles: DataFrame, splits: Se
     return medians.select("user_id", code.alias("article_length_propensity"))
 
 
-def _with_sentiment(recent: DataFrame, articles: DataFrame, splits: Sequence[str]) -> DataFrame:
+def _with_sentiment(
+    recent: DataFrame, articles: DataFrame, splits: Sequence[str], hot: DataFrame | None
+) -> DataFrame:
     sentiments = articles.select("article_id", "sentiment_label", "sentiment_score")
-    return of_splits(recent, splits).join(sentiments, "article_id", "left")
+    return _lookup(of_splits(recent, splits), sentiments, hot)
 
 
 def sentiment_stats(
-    recent: DataFrame, articles: DataFrame, splits: Sequence[str] = TRAIN_VALIDATION
+    recent: DataFrame,
+    articles: DataFrame,
+    splits: Sequence[str] = TRAIN_VALIDATION,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Mean score and share of the recent articles per sentiment.
 
     The mean is over the articles of that sentiment (none: 0); the share is over all entries, with an
-    empty history counting as one entry.
+    empty history counting as one entry. ``hot`` is as for ``article_length_propensity``.
     """
     label = F.col("sentiment_label")
     total = F.count(F.lit(1))
@@ -239,11 +263,14 @@ def sentiment_stats(
         (F.count_if(label == value) / total).alias(f"{name}_sentiment_articles_rate")
         for value, name in SENTIMENTS.items()
     ]
-    return _with_sentiment(recent, articles, splits).groupBy("user_id").agg(*means, *rates)
+    return _with_sentiment(recent, articles, splits, hot).groupBy("user_id").agg(*means, *rates)
 
 
 def sentiment_article_lists(
-    recent: DataFrame, articles: DataFrame, splits: Sequence[str] = TRAIN_VALIDATION
+    recent: DataFrame,
+    articles: DataFrame,
+    splits: Sequence[str] = TRAIN_VALIDATION,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Recent article ids per sentiment, ascending. At most one history size per split and user."""
     lists = [
@@ -252,7 +279,7 @@ def sentiment_article_lists(
         )
         for value, name in SENTIMENTS.items()
     ]
-    return _with_sentiment(recent, articles, splits).groupBy("user_id").agg(*lists)
+    return _with_sentiment(recent, articles, splits, hot).groupBy("user_id").agg(*lists)
 
 
 # All user features together

@@ -197,10 +197,13 @@ def padded_inview(behaviors: DataFrame) -> DataFrame:
     )
 
 
-def mapped_inview(behaviors: DataFrame, mapping: DataFrame, value: str, default: float = 0.0) -> DataFrame:
+def mapped_inview(
+    behaviors: DataFrame, mapping: DataFrame, value: str, default: float = 0.0, min_rows: int = HOT_ROWS
+) -> DataFrame:
     """In-view list with each article replaced by its ``value``, unknown articles by ``default``."""
     shown = behaviors.select("impression_id", F.posexplode_outer("article_ids_inview").alias("_pos", "article_id"))
-    found = shown.join(mapping.select("article_id", F.col(value).alias("_value")), "article_id", "left")
+    values = mapping.select("article_id", F.col(value).alias("_value"))
+    found = skew_join(shown, values, ["article_id"], ["impression_id"], "left", min_rows=min_rows)
     entry = F.when(
         F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_value", F.lit(default)).alias("_value"))
     )

@@ -209,6 +209,23 @@ def test_sentiment_stats(spark):
         ]
 
 
+@pytest.mark.parametrize("min_rows", [0, 3])
+def test_splitting_hot_articles_changes_nothing(spark, min_rows):
+    table = articles(spark, [(1, "x" * 3000, True, "Positive", 0.5), (2, "y", False, "Negative", 0.25)])
+    lists = history(spark, *[(u, "train", [1, 1, 2, 9, None], times(0, 1, 2, 3, 4), None, [70.0] * 5) for u in range(9)])
+    entries = long_history(lists)
+    recent, hot = features.recent_entries(entries), features.hot_articles(entries, min_rows)
+    assert hot.count() >= 3
+    for build in (features.sentiment_stats, features.sentiment_article_lists):
+        assert tuples(build(recent, table, hot=hot)) == tuples(build(recent, table))
+    length = features.article_length_propensity
+    assert tuples(length(recent, table, hot=hot)) == tuples(length(recent, table))
+    log = behaviors(spark, [{"user_id": i % 4, "article_ids_clicked": [1, 2, None][: i % 4]} for i in range(40)])
+    counts, clicks = features.premium_click_counts, features.premium_clicks
+    assert tuples(counts(log, table, min_rows=min_rows)) == tuples(counts(log, table))
+    assert tuples(clicks(log, table, min_rows=min_rows)) == tuples(clicks(log, table))
+
+
 def test_only_the_last_twenty_count(spark):
     table = articles(spark, [(1, None, None, "Positive", 1.0), (2, None, None, "Negative", 1.0)])
     ids = [1] * 30 + [2] * 20
