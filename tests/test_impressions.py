@@ -98,12 +98,13 @@ def test_padded_inview(log):
     assert got[3] == [10, 0, 0, 0] and got[2] == [10, 20, 30, 40]
 
 
-def test_mapped_inview(spark, log):
+@pytest.mark.parametrize("min_rows", [0, 10**6])
+def test_mapped_inview(spark, log, min_rows):
     mapping = spark.createDataFrame([(10, 1.0), (30, None)], "article_id bigint, premium float")
     empty = behaviors(spark, [{"impression_id": 9, "user_id": 1}])
     got = {
         r["impression_id"]: r["premium"]
-        for r in impressions.mapped_inview(log.unionByName(empty), mapping, "premium").collect()
+        for r in impressions.mapped_inview(log.unionByName(empty), mapping, "premium", min_rows=min_rows).collect()
     }
     assert got == {0: [1, 0, 0], 1: [1, 0], 2: [1, 0, 0, 0], 3: [1], 4: [1], 9: []}
 
