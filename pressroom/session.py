@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,20 +29,31 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one named in ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a temporary one, once, and names it in its own settings.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    folder = spark.conf.get("pressroom.local.folder", None) or tempfile.mkdtemp(prefix="pressroom-shared-")
+    spark.conf.set("pressroom.local.folder", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+    """Write ``df`` as Parquet in the shared folder and continue from the files.
 
-    Used where several passes read one expensive intermediate (model fits, column summaries): the
-    passes then survive lost executors without recomputing the joins behind it. The folder is the
-    one named in ``spark.checkpoint.dir``; only a local session without one gets a temporary folder.
+    Used where several passes read one expensive intermediate: the passes then survive lost executors
+    without recomputing what is behind it, and the table's size is known to the optimizer. The files
+    are removed when the application ends.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="pressroom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    place = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(place)
