@@ -54,11 +54,17 @@ LABELLED = (
     (1, 0.0, 1, 0.0, 30, 0.0, 1, 0, 0, 1), (8, 0.0, 12, 0.0, 60, 0.0, 1, 0, 1, 1), (5, 0.0, 0, 0.0, 3, 0.0, 1, 0, 1, 1),
     (14, 0.5, 40, 0.0, 35, 0.0, 1, 0, 0, 1), (6, 1.0, 50, 0.0, 60, 0.0, 1, 0, 0, 1), (3, 1.0, 2, 1.0, 40, 0.0, 1, 0, 0, 1),
     (40, 0.1, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (300, 0.0, 20, 0.0, 4, 1.0, 1, 0, 0, 1),
+    (5, 0.0, 2, 0.0, 2, 0.5, 1, 0, 0, 1), (4, 0.0, 3, 1.0, 2, 1.0, 1, 0, 0, 1), (2, 0.5, 5, 0.0, 2, 0.0, 1, 0, 0, 1),
+    (9, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1), (2, 1.0, 9, 0.0, 7, 0.0, 1, 0, 0, 1), (3, 0.0, 2, 0.0, 12, 0.0, 1, 0, 0, 1),
+    (20, 0.8, 25, 0.9, 15, 0.7, 1, 0, 0, 1), (60, 0.9, 30, 0.0, 45, 0.0, 1, 0, 0, 1), (2, 0.0, 1, 1.0, 6, 0.0, 1, 0, 1, 1),
+    (3, 0.0, 4, 0.0, 0, 0.0, 1, 0, 1, 1), (7, 0.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1), (16, 0.3, 2, 0.0, 4, 0.0, 1, 0, 0, 1),
     # furniture inside and outside of articles
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0), (12, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0, 0),
     (45, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0), (60, 0.1, 5, 0.0, 2, 1.0, 0, 1, 0, 0), (10, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0),
     (4, 0.0, 1, 1.0, 9, 0.0, 0, 1, 1, 0), (30, 0.0, 90, 0.0, 4, 0.0, 1, 1, 0, 0), (6, 0.5, 70, 0.0, 60, 0.0, 1, 1, 0, 0),
     (120, 0.0, 5, 0.0, 100, 0.0, 0, 1, 0, 0), (25, 0.0, 3, 0.0, 25, 0.0, 1, 1, 0, 0), (2, 0.0, 40, 0.0, 30, 0.0, 1, 1, 1, 0),
+    (70, 0.0, 80, 0.0, 75, 0.0, 0, 1, 0, 0), (18, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0, 0), (90, 0.0, 12, 0.0, 60, 0.0, 1, 1, 0, 0),
+    (8, 0.0, 60, 0.0, 5, 0.0, 0, 1, 1, 0), (50, 0.0, 7, 0.0, 7, 0.0, 0, 1, 0, 0), (14, 0.1, 14, 0.0, 0, 0.0, 0, 1, 0, 0),
     # pages without an article element: running text with neighbours like it, and its headings
     (60, 0.0, 70, 0.0, 65, 0.0, 0, 0, 0, 1), (35, 0.0, 40, 0.0, 12, 0.0, 0, 0, 0, 1), (90, 0.05, 3, 1.0, 70, 0.0, 0, 0, 0, 1),
     (12, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 1), (4, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1),
@@ -67,6 +73,8 @@ LABELLED = (
     (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (5, 0.8, 2, 1.0, 60, 0.0, 0, 0, 0, 0), (20, 0.7, 10, 0.8, 15, 0.9, 0, 0, 0, 0),
     (3, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0), (6, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
     (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0), (3, 0.0, 2, 1.0, 3, 0.5, 0, 0, 1, 0), (60, 0.9, 70, 0.9, 50, 0.9, 0, 0, 0, 0),
+    (1, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 3, 1.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0),
+    (4, 1.0, 70, 0.0, 80, 0.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 55, 0.0, 0, 0, 0, 0), (8, 0.6, 45, 0.0, 2, 1.0, 0, 0, 0, 0),
 )
 
 

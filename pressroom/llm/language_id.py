@@ -105,7 +105,8 @@ def build(counts: pd.DataFrame, smoothing: float = 0.5, script_share: float = 0.
     languages = tuple(sorted(counts["lang"].unique()))
     table = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(languages)))
     place = {lang: i for i, lang in enumerate(languages)}
-    table[counts["feature"].to_numpy(), counts["lang"].map(place).to_numpy()] = counts["n"].to_numpy()
+    at = counts["feature"].to_numpy(dtype=np.int64), counts["lang"].map(place).to_numpy(dtype=np.int64)
+    table[at] = counts["n"].to_numpy(dtype=np.float64)
     grams, scripts = table[:BUCKETS] + smoothing, table[BUCKETS:]
     shares = scripts / np.maximum(scripts.sum(axis=0), 1)
     return Model(languages, np.log(grams / grams.sum(axis=0)).astype(np.float32), shares >= script_share)

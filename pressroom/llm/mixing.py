@@ -136,8 +136,9 @@ def mix(
     """
     rows, fit = plan(docs, power, targets, key=key, text=text, source=source, lang=lang)
     cells = fit.cells.select(*MARGINS, "chance")
-    joined = rows.join(cells, list(MARGINS), "left").withColumn("chance", F.coalesce("chance", F.lit(0.0)))
-    taken = (draw(F.col("key"), seed) < F.col("chance")) & (F.col("n_tokens") > 0)
+    chance = F.when(F.col("n_tokens") > 0, F.col("chance")).otherwise(F.lit(0.0))
+    joined = rows.join(cells, list(MARGINS), "left").withColumn("chance", F.coalesce(chance, F.lit(0.0)))
+    taken = draw(F.col("key"), seed) < F.col("chance")
     return joined.select(F.col("key").alias(key), *MARGINS, "n_tokens", "chance", taken.alias("taken"))
 
 
