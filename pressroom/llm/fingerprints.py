@@ -22,6 +22,8 @@ from pressroom.session import cut_lineage
 BITS = 128
 #: Ids per window group: neighbouring documents are at most this many ids apart inside one.
 GROUP_BITS = 8
+#: Rows without a key are dealt to groups from here on, above those of any key.
+LOOSE = 1 << 60
 #: Upper levels of the order of groups; at the top at most 2^16 groups remain.
 LEVEL_BITS = (12, 12, 16)
 PAIR = (1 << 32) | 1
@@ -100,21 +102,23 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, text, next_text, and the columns group, place (its row number there) and last (the group's last row).
 
     Rows are dealt by groups of neighbouring keys in one shuffle; only the first text of each group moves
-    once more, to the group before. Rows with equal keys follow each other by text; rows without a key
+    once more, to the group before, and all later steps keep the dealing. Rows with equal keys follow each other by text; rows without a key
     have no next text (empty).
     """
     value = F.coalesce(F.col(text), F.lit("")).alias("text")
-    spread = F.coalesce(F.shiftright(F.col(key).cast("bigint"), GROUP_BITS), F.xxhash64(text))
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), value, spread.alias("group"), F.col(key).isNull().alias("loose"))
-    order = Window.partitionBy("group", "loose").orderBy("key", "text")
+    number = F.col(key).cast("bigint")
+    beside_all = F.pmod(F.xxhash64(text), F.lit(LOOSE)) + F.lit(LOOSE)
+    group = F.coalesce(F.shiftright(number, GROUP_BITS), beside_all).alias("group")
+    rows = docs.select(number.alias("key"), value, group)
+    order = Window.partitionBy("group").orderBy("key", "text")
     placed = rows.withColumns({"place": F.row_number().over(order), "beside": F.lead("text").over(order)})
     placed = placed.withColumn("last", F.lead("key").over(order).isNull())
-    heads = placed.where("place = 1 AND NOT loose").select(F.col("group").alias("next"), F.col("text").alias("beyond"))
-    groups = rows.where("NOT loose").select(F.col("group").alias("id")).distinct()
-    after = following(groups).join(heads, "next").select(F.col("id").alias("group"), F.lit(False).alias("loose"), "beyond")
-    joined = placed.join(after, ["group", "loose"], "left")
-    next_text = F.when(F.col("loose"), F.lit("")).when(F.col("last"), F.col("beyond")).otherwise(F.col("beside"))
-    return joined.select("key", "text", next_text.alias("next_text"), "group", "loose", "place", "last")
+    heads = placed.where("place = 1 AND key IS NOT NULL").select(F.col("group").alias("next"), F.col("text").alias("beyond"))
+    groups = rows.where("key IS NOT NULL").select(F.col("group").alias("id")).distinct()
+    after = following(groups).join(heads, "next").select(F.col("id").alias("group"), "beyond")
+    joined = placed.join(after, "group", "left")
+    next_text = F.when(F.col("key").isNull(), F.lit("")).when(F.col("last"), F.col("beyond")).otherwise(F.col("beside"))
+    return joined.select("key", "text", next_text.alias("next_text"), "group", "place", "last")
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,8 +136,8 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("n_chars", n.cast("bigint")).withColumn("edited", edited)
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["group", "loose", "key", "place", "last", "n_chars", "edited_sha256"]
-    beyond = F.when(F.col("last") & ~F.col("loose"), F.struct(F.lit(2).alias("part"), F.col("next_text").alias("body")))
+    keys = ["group", "key", "place", "last", "n_chars", "edited_sha256"]
+    beyond = F.when(F.col("last") & F.col("key").isNotNull(), F.struct(F.lit(2).alias("part"), F.col("next_text").alias("body")))
     bodies = F.array(
         F.struct(F.lit(0).alias("part"), F.col("text").alias("body")),
         F.struct(F.lit(1).alias("part"), F.col("edited").alias("body")),
@@ -146,7 +150,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         for part, name in enumerate(("own", "edited", "beyond")) for half in (0, 1)
     }
     whole = hashed.groupBy(*keys).agg(*[value.alias(name) for name, value in picked.items()])
-    order = Window.partitionBy("group", "loose").orderBy("place")
+    order = Window.partitionBy("group").orderBy("place")
     whole = whole.withColumns({
         f"next{half}": F.when(F.col("last"), F.col(f"beyond{half}")).otherwise(F.lead(f"own{half}").over(order))
         for half in (0, 1)
@@ -156,7 +160,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         F.col("key").alias(key), "n_chars", "edited_sha256", F.col("own0").alias("f0"), F.col("own1").alias("f1"),
         F.col("edited0").alias("e0"), F.col("edited1").alias("e1"),
         likeness(own, ("edited0", "edited1")).alias("near_edited"),
-        F.when(~F.col("loose"), likeness(own, ("next0", "next1"))).alias("near_next"),
+        F.when(F.col("key").isNotNull(), likeness(own, ("next0", "next1"))).alias("near_next"),
     )
 
 
