@@ -23,22 +23,28 @@ def ascii_lowered(text: str) -> str:
     return text.encode().lower().decode()
 
 
-def text_function(function: Callable[[str], tuple], schema: str) -> Callable[[Column], Column]:
-    """A struct column of ``schema`` with ``function`` of each text; a null text counts as empty."""
+def text_function(function: Callable, schema: str, together: bool = False) -> Callable[[Column], Column]:
+    """A struct column of ``schema`` with ``function`` of each text; a null text counts as empty.
+
+    With ``together``, the function takes the list of a batch's texts and gives the list of their rows.
+    """
     kind = StructType.fromDDL(schema)
     names = kind.names
 
     @F.pandas_udf(kind)
     def apply(texts: pd.Series) -> pd.DataFrame:
-        rows = [function(text if isinstance(text, str) else "") for text in texts]
+        plain = [text if isinstance(text, str) else "" for text in texts]
+        rows = function(plain) if together else [function(text) for text in plain]
         return pd.DataFrame(rows, columns=names, dtype=object)
 
     return apply
 
 
-def over_texts(docs: DataFrame, function: Callable[[str], tuple], schema: str, key: str, text: str) -> DataFrame:
+def over_texts(
+    docs: DataFrame, function: Callable, schema: str, key: str, text: str, together: bool = False
+) -> DataFrame:
     """``key`` and the columns of ``schema``. Other columns of ``docs`` are not read, so names cannot clash."""
-    made = text_function(function, schema)
+    made = text_function(function, schema, together)
     rows = docs.select(F.col(key).alias("key"), made(F.col(text)).alias("made"))
     names = _parse_datatype_string(schema).names
     return rows.select(F.col("key").alias(key), *[F.col("made")[name].alias(name) for name in names])

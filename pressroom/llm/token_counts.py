@@ -20,6 +20,8 @@ from pressroom.llm.rows import over_texts
 
 CHUNK = 16_384
 OVERLAP = 256
+#: Texts of one chunk that are encoded in one call.
+TOGETHER = 64
 
 
 @lru_cache(maxsize=4)
@@ -91,13 +93,24 @@ def token_counts(
     too; an empty table gives no rows. Other columns are not read.
     """
 
-    def count(value: str) -> tuple[int, int]:
+    def count(texts: list[str]) -> list[tuple[int, int]]:
         model = load_tokenizer(tokenizer)
-        return count_tokens(value, lambda part: model.encode(part, add_special_tokens=False), chunk, overlap)
+        counts: list[tuple[int, int]] = [(0, 0)] * len(texts)
+        short = [i for i, value in enumerate(texts) if len(value) <= chunk]
+        for low in range(0, len(short), TOGETHER):
+            some = short[low : low + TOGETHER]
+            for i, tokens in zip(some, model.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
+                counts[i] = len(tokens), 1
+        for i, value in enumerate(texts):
+            if len(value) > chunk:
+                counts[i] = count_tokens(
+                    value, lambda part: model.encode(part, add_special_tokens=False), chunk, overlap
+                )
+        return counts
 
     lengths = docs.select(key, text, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("n_bytes"))
     key_and_bytes = lengths.select(F.struct(key, "n_bytes").alias("kept"), text)
-    counted = over_texts(key_and_bytes, count, "n_tokens bigint, n_chunks bigint", "kept", text)
+    counted = over_texts(key_and_bytes, count, "n_tokens bigint, n_chunks bigint", "kept", text, together=True)
     return counted.select(
         F.col("kept")[key].alias(key), F.col("kept")["n_bytes"].alias("n_bytes"), "n_tokens",
         (F.col("n_tokens") > limit).alias("over_limit"), "n_chunks",
