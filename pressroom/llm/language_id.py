@@ -113,19 +113,30 @@ def build(counts: pd.DataFrame, smoothing: float = 0.5, script_share: float = 0.
 
 
 def train(
-    docs: DataFrame, per_language: int = 2_000, key: str = "doc_id", text: str = "text", lang: str = "lang"
+    docs: DataFrame,
+    per_language: int = 2_000,
+    most_languages: int = 1_000,
+    key: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
 ) -> Model:
     """A model of the labelled rows of ``docs``.
 
     Per language, about ``per_language`` rows are read, chosen by a hash of the key: each row is taken with
-    the same chance, ``per_language`` over the language's count. The driver receives at most ``BUCKETS``
-    counts per language. A table without labelled rows gives a model without languages.
+    the same chance, ``per_language`` over the language's count. Texts are not shuffled. The driver
+    receives the counts of the languages and at most ``BUCKETS`` counts for each; more than
+    ``most_languages`` labels are refused. A table without labelled rows gives a model without languages.
     """
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not counts:
+        return build(pd.DataFrame({"lang": [], "feature": [], "n": []}))
+    rows = F.create_map(*[F.lit(value) for row in counts for value in (row["lang"], row["rows"])])
     chance = F.pmod(F.xxhash64(F.col("key")), F.lit(1_000_000)) / 1_000_000
-    chosen = labelled.join(counts, "lang").where(chance * F.col("rows") < per_language).select("lang", "text")
+    chosen = labelled.where(chance * rows[F.col("lang")] < per_language).select("lang", "text")
     summed = (
         chosen.mapInPandas(count_rows, "lang string, feature bigint, n bigint")
         .groupBy("lang", "feature").agg(F.sum("n").alias("n"))

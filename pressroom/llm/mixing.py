@@ -61,8 +61,8 @@ def weighed(docs: DataFrame, key: str, text: str, source: str, lang: str) -> Dat
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """Default target of a margin: (margin, target), its shares raised to ``power`` and made to sum to 1."""
     held = cells.groupBy(margin).agg(F.sum("tokens").alias("tokens")).withColumn("raised", F.pow("tokens", F.lit(power)))
-    total = held.agg(F.sum("raised").alias("all_raised"))
-    return held.join(F.broadcast(total)).select(margin, (F.col("raised") / F.col("all_raised")).alias("target"))
+    total = held.agg(F.sum("raised")).first()[0] or 1.0
+    return held.select(margin, (F.col("raised") / total).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, most_rounds: int = 30) -> Plan:
@@ -106,7 +106,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
 
 def plan(docs: DataFrame, power: float, targets: dict[str, DataFrame] | None, **names: str) -> tuple[DataFrame, Plan]:
     """The weighed rows of ``docs`` and the chances of their cells."""
-    rows = weighed(docs, **names)
+    rows = cut_lineage(weighed(docs, **names))
     cells = cut_lineage(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     given = targets or {}
     return rows, rake(cells, {m: given.get(m) or tempered(cells, m, power) for m in MARGINS})

@@ -6,11 +6,19 @@ not to depend on anything around it: the character before is not white space and
 is a blank or a newline. No match of the byte-level split pattern holds white space after another
 character, and no match looks back, so a token always begins there. When an overlap holds no such
 position, it is doubled; at the left end of the chunk the two chunks become one.
+
+Shorter texts are cut at all such positions. Pieces repeat a lot, so a worker keeps the counts of
+the last ``KNOWN`` short ones and has the library encode only the new ones.
+
+The proof needs byte-level splitting by pattern, no normalization, and added tokens without white space;
+the texts of a tokenizer file without these are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -20,8 +28,10 @@ from pressroom.llm.rows import over_texts
 
 CHUNK = 16_384
 OVERLAP = 256
-#: Texts of one chunk that are encoded in one call.
-TOGETHER = 64
+#: Pieces whose counts a worker keeps, and the longest of them.
+KNOWN = 600_000
+SHORT = 48
+CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 @lru_cache(maxsize=4)
@@ -33,6 +43,40 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(find(path))
 
 
+@lru_cache(maxsize=4)
+def splits_are_certain(path: str) -> bool:
+    """Whether the tokenizer file is of the kind that the splits are proven for."""
+    with open(find(path), encoding="utf-8") as file:
+        parts = json.load(file)
+    steps = parts["pre_tokenizer"] or {}
+    plain = steps.get("type") == "ByteLevel" and steps.get("use_regex", True) and not steps.get("add_prefix_space", True)
+    added = all(
+        not re.search(r"\s", token["content"]) and not (token["lstrip"] or token["rstrip"] or token["single_word"])
+        for token in parts["added_tokens"]
+    )
+    return plain and added and parts["normalizer"] is None and parts["truncation"] is None
+
+
+class Counts(dict):
+    """Token counts of the short pieces met so far."""
+
+    def of(self, text: str, model) -> int:
+        pieces = CUT.split(text)
+        if len(self) > KNOWN:
+            self.clear()
+        missing = list({piece for piece in pieces if piece not in self})
+        found = dict(zip(missing, map(len, model.encode_batch_fast(missing, add_special_tokens=False)))) if missing else {}
+        total = sum(found[piece] if piece in found else self[piece] for piece in pieces)
+        self.update((piece, n) for piece, n in found.items() if len(piece) <= SHORT)
+        return total
+
+
+@lru_cache(maxsize=4)
+def known_counts(path: str) -> Counts:
+    """The counts that one worker process keeps for a tokenizer."""
+    return Counts()
+
+
 def find(path: str) -> str:
     """A file's place: ``path`` itself, or that of the public tokenizer file of this name."""
     if os.sep in path:
@@ -93,24 +137,17 @@ def token_counts(
     too; an empty table gives no rows. Other columns are not read.
     """
 
-    def count(texts: list[str]) -> list[tuple[int, int]]:
+    def count(value: str) -> tuple[int, int]:
         model = load_tokenizer(tokenizer)
-        counts: list[tuple[int, int]] = [(0, 0)] * len(texts)
-        short = [i for i, value in enumerate(texts) if len(value) <= chunk]
-        for low in range(0, len(short), TOGETHER):
-            some = short[low : low + TOGETHER]
-            for i, tokens in zip(some, model.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
-                counts[i] = len(tokens), 1
-        for i, value in enumerate(texts):
-            if len(value) > chunk:
-                counts[i] = count_tokens(
-                    value, lambda part: model.encode(part, add_special_tokens=False), chunk, overlap
-                )
-        return counts
+        if not splits_are_certain(tokenizer):
+            return len(model.encode(value, add_special_tokens=False)), 1
+        if len(value) <= chunk:
+            return known_counts(tokenizer).of(value, model), 1
+        return count_tokens(value, lambda part: model.encode(part, add_special_tokens=False), chunk, overlap)
 
     lengths = docs.select(key, text, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("n_bytes"))
     key_and_bytes = lengths.select(F.struct(key, "n_bytes").alias("kept"), text)
-    counted = over_texts(key_and_bytes, count, "n_tokens bigint, n_chunks bigint", "kept", text, together=True)
+    counted = over_texts(key_and_bytes, count, "n_tokens bigint, n_chunks bigint", "kept", text)
     return counted.select(
         F.col("kept")[key].alias(key), F.col("kept")["n_bytes"].alias("n_bytes"), "n_tokens",
         (F.col("n_tokens") > limit).alias("over_limit"), "n_chunks",

@@ -294,3 +294,15 @@ def test_odd_pages(spark):
     assert {r["text"] for r in got if r["page_id"] == 1} == {""}
     assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
     assert isinstance(pd.DataFrame(got), pd.DataFrame)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TEXTS, max_size=4))
+def test_pieces_count_the_same_tokens(texts):
+    model, counts = token_counts.load_tokenizer("byte_bpe_50k.json"), token_counts.Counts()
+    assert [counts.of(t, model) for t in [*texts, *texts]] == [tokens_of(t) for t in [*texts, *texts]]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    assert token_counts.splits_are_certain("byte_bpe_50k.json")
+    assert not token_counts.splits_are_certain("word_bpe_49k.json")
