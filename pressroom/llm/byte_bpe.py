@@ -14,6 +14,7 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from pressroom.llm.rows import over_texts
@@ -106,11 +107,14 @@ def decode_tree(ids: list[int], decode, leaf: int = LEAF) -> bytes:
 def encode_texts(
     docs: DataFrame, ranks: str, leaf: int = LEAF, window: int = WINDOW, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """key and ``ids`` (array of int) of every text; a null text has none."""
+    """key and ``ids`` (array of int) of every text; a null text has none.
 
-    def ids_of(value: str) -> tuple[list[int]]:
+    A batch's ids are kept as 32-bit numbers, so they take about as much memory as the texts.
+    """
+
+    def ids_of(value: str) -> tuple[np.ndarray]:
         model, _, lengths = load_encoding(ranks)
-        return (encode_tree(value, model.encode_ordinary, lengths, leaf, window),)
+        return (np.array(encode_tree(value, model.encode_ordinary, lengths, leaf, window), dtype=np.int32),)
 
     return over_texts(docs, ids_of, "ids array<int>", key, text)
 

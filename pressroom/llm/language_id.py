@@ -212,10 +212,13 @@ def identify(
 
 
 def text_language(model: Model, penalty: float = 15.0):
-    """A function of a text column: struct of lang_pred, score, and has_letters (false for a null text)."""
+    """A function of a text column: struct of lang_pred, score, and has_letters (false for a null text).
+
+    Declared nondeterministic, so that a filter on one field and a projection of another run it once.
+    """
 
     def found(text: str) -> tuple[str, float, bool]:
         lang, score, spans = label(text, model, penalty)
         return lang, score, bool(spans) or any(map(str.isalpha, text))
 
-    return text_function(found, "lang_pred string, score double, has_letters boolean")
+    return text_function(found, "lang_pred string, score double, has_letters boolean").asNondeterministic()
