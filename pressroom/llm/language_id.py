@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.rows import over_texts, text_function
+from pressroom.llm.rows import bound_batches, over_texts, text_function
 
 BUCKETS = 2**15
 # Scripts and the code points they cover; letters elsewhere are of script 0.
@@ -129,6 +129,7 @@ def train(
     """
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
+    bound_batches(docs.sparkSession)
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(most_languages + 1).collect()
     if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.rows import WORD, over_texts
+from pressroom.llm.rows import WORD, bound_batches, over_texts
 from pressroom.operators.skew import first_rows
 from pressroom.session import cut_lineage
 
@@ -116,6 +116,7 @@ def language_references(
     ``class`` rows hold the shares of the character classes, ``word`` rows those of the common words and,
     under the name "", of all other words. At most ``common + 1 + len(CLASSES)`` rows per language.
     """
+    bound_batches(docs.sparkSession)
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).dropna()
     parts = known.mapInPandas(
         lambda batches: partial_counts(batches, longest), "lang string, kind string, name string, n bigint"

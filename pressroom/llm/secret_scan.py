@@ -16,7 +16,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.rows import over_texts, text_function
+from pressroom.llm.rows import bound_batches, over_texts, text_function
 
 # The base patterns, their shortest matches, and the order of kinds.
 KINDS = ("assign", "access", "hex", "novel")
@@ -161,6 +161,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", min_bits: float = 4.5, tex
     def clean(value: str) -> tuple[str]:
         return (redact(value, find_spans(value, min_bits)[1], mark),)
 
+    bound_batches(docs.sparkSession)
     made = text_function(clean, "clean string")
     value = F.when(F.col(text).isNotNull(), made(F.col(text))["clean"]).alias(text)
     return docs.select(*[value if name == text else F.col(f"`{name}`") for name in docs.columns])
