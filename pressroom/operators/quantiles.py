@@ -38,8 +38,12 @@ def value_range(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).when(value > 0, magnitude).otherwise(-magnitude).cast("bigint")
 
 
-def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, object]) -> DataFrame:
-    """One row per key: the value at each named rank of the sorted non-null, non-NaN values.
+#: Above the range of every number.
+NAN_RANGE = 1 << 62
+
+
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, object], nan_last: bool = False) -> DataFrame:
+    """One row per key: the value at each named rank of the sorted non-null values; NaN is skipped, or comes last.
 
     The number of groups must be bounded by the caller (hot groups, or columns times clusters):
     the wanted ranges, at most one per group and rank, are broadcast for the second pass.
@@ -47,8 +51,8 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping
     keys = list(keys)
     values = (
         df.select(*keys, F.col(value).cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .withColumn("_range", value_range(F.col("_v")))
+        .where(F.col("_v").isNotNull() & (F.lit(nan_last) | ~F.isnan("_v")))
+        .withColumn("_range", F.when(F.isnan("_v"), F.lit(NAN_RANGE)).otherwise(value_range(F.col("_v"))))
     )
     per_range = values.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*keys)
@@ -95,11 +99,12 @@ def grouped_median(
     """Exact median per key, nulls skipped; keys with null values only keep a null median.
 
     Keys of up to ``min_rows`` rows use the built-in median in one shuffle; the few larger ones are
-    taken apart by ``ranked_values``.
+    taken apart by ``ranked_values``. Either way NaN ranks above all numbers, and null keys are one group,
+    which is not taken apart.
     """
     rows = df.select(key, value)
-    hot = hot_keys(rows, [key], min_rows)
+    hot = hot_keys(rows, [key], min_rows).where(F.col(key).isNotNull())
     usual = rows.join(F.broadcast(hot), key, "left_anti").groupBy(key).agg(F.median(value).cast("double").alias(alias))
-    ends = ranked_values(rows.join(F.broadcast(hot), key, "left_semi"), [key], value, MEDIAN_RANKS)
+    ends = ranked_values(rows.join(F.broadcast(hot), key, "left_semi"), [key], value, MEDIAN_RANKS, nan_last=True)
     large = hot.join(ends, key, "left").select(key, ((F.col("lower") + F.col("upper")) / 2).alias(alias))
     return usual.unionByName(large)

@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame
@@ -58,7 +60,7 @@ class MixtureChoice:
     Without a model all rows form one cluster.
     """
 
-    model: GaussianMixtureModel | None
+    model: GaussianMixtureModel
     k: int
     bic: float
     grid: list[tuple[int, int, float]]
@@ -79,34 +81,45 @@ def choose_mixture(
     """Fit a grid of Gaussian mixtures and keep the one with the smallest BIC, of ties the smaller k.
 
     The best of n restarts uses the first n seeds, so one fit per k and seed covers every restart
-    setting. A fit is rejected when a component is expected to hold no more rows than it has
-    dimensions plus one, or when there are fewer rows than parameters: such a mixture fits single rows.
-    When every fit is rejected, the answer is one cluster. Pass a frame whose lineage is cut; every fit reads it several times.
+    setting. Every k and seed is fitted, whatever the number of rows, and has its BIC in the grid. Fits in
+    which every component holds more rows than it has dimensions plus one are preferred; where there is
+    none, as with very few rows, the smallest BIC of all decides. A fit that the library cannot make
+    (a component without any spread) is left out of the grid; when all fail, the reasons are raised.
+    Pass a frame whose lineage is cut; every fit reads it several times.
     """
-    n = df.count()
-    d = len(df.select(column).first()[0])
+    first = df.select(column).first()
+    if first is None:
+        raise ValueError("no rows to cluster")
+    n, d = df.count(), len(first[0])
     grid: list[tuple[int, int, float]] = []
-    best: MixtureChoice | None = None
+    failures: list[str] = []
+    best: dict[bool, MixtureChoice] = {}
     for k in sorted(cluster_counts):
-        if n < parameter_count(k, d):
-            continue
-        likelihood, chosen = -math.inf, None
+        fitted: dict[bool, GaussianMixtureModel] = {}
         for attempt in range(max(restarts)):
-            model = GaussianMixture(k=k, featuresCol=column, maxIter=max_iter, seed=first_seed + attempt).fit(df)
+            mixture = GaussianMixture(k=k, featuresCol=column, maxIter=max_iter, seed=first_seed + attempt)
+            try:
+                model = mixture.fit(df)
+            except (Py4JJavaError, PySparkException) as error:
+                failures.append(f"k={k}, seed={first_seed + attempt}: {str(error).splitlines()[0]}")
+                continue
             sound = min(model.weights) * n > d + 1
-            if sound and model.summary.logLikelihood > likelihood:
-                likelihood, chosen = model.summary.logLikelihood, model
-            if attempt + 1 in restarts and chosen is not None:
-                bic = -2 * likelihood + parameter_count(k, d) * math.log(n)
-                grid.append((k, attempt + 1, bic))
-                if best is None or bic < best.bic:
-                    best = MixtureChoice(chosen, k, bic, grid)
-    return best or MixtureChoice(None, 1, math.nan, grid)
+            for group in {sound, False}:
+                if group not in fitted or model.summary.logLikelihood > fitted[group].summary.logLikelihood:
+                    fitted[group] = model
+            if attempt + 1 in restarts:
+                for group, model in fitted.items():
+                    bic = -2 * model.summary.logLikelihood + parameter_count(k, d) * math.log(n)
+                    if group is False:
+                        grid.append((k, attempt + 1, bic))
+                    if group not in best or bic < best[group].bic:
+                        best[group] = MixtureChoice(model, k, bic, grid)
+    if not best:
+        raise RuntimeError("no mixture could be fitted: " + "; ".join(failures))
+    return best.get(True) or best[False]
 
 
 def labelled(df: DataFrame, choice: MixtureChoice, column: str = "components") -> DataFrame:
     """Add the cluster ``label`` of each row."""
-    if choice.model is None:
-        return df.withColumn("label", F.lit(0)).drop(column)
     predicted = choice.model.setPredictionCol("label").setProbabilityCol("_probability").transform(df)
     return predicted.withColumn("label", F.col("label").cast("int")).drop("_probability", column)

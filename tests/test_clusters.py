@@ -78,13 +78,15 @@ def test_planted_clusters_are_found(blobs):
     assert choice.bic == pytest.approx(-2 * np.log(density).sum() + free * math.log(300), rel=1e-3)
 
 
-def test_mixtures_of_single_rows_are_rejected(blobs):
+def test_every_mixture_is_fitted_however_few_the_rows(blobs):
     _, table = blobs
     features = ["a", "b", "c", "d"]
     few = cut_lineage(clustering.principal_components(clustering.standardised(table.limit(12), features), features))
-    choice = clustering.choose_mixture(few, cluster_counts=(8, 9), restarts=(1,), max_iter=5)
-    assert choice.model is None and choice.grid == []
-    assert {r["label"] for r in clustering.labelled(few, choice).collect()} == {0}
+    choice = clustering.choose_mixture(few, cluster_counts=(2, 3), restarts=(1, 2), max_iter=5)
+    assert [(k, n) for k, n, _ in choice.grid] == [(2, 1), (2, 2), (3, 1), (3, 2)]
+    assert choice.bic == min(bic for _, _, bic in choice.grid)
+    with pytest.raises(ValueError):
+        clustering.choose_mixture(few.limit(0))
 
 
 def test_default_grid():

@@ -51,3 +51,14 @@ def test_grouped_median_is_the_same_for_any_limit(spark, min_rows):
     for u, median in got.items():
         known = [v for key, v in rows if key == u and v is not None]
         assert median == (pytest.approx(np.median(known), rel=1e-12) if known else None)
+
+
+@pytest.mark.parametrize("min_rows", [0, 3, 1_000])
+def test_grouped_median_of_nan_infinity_and_null_keys(spark, min_rows):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, v) for v in (1.0, 2.0, nan, nan, nan)] + [(2, v) for v in (1.0, 3.0, inf, nan)] + [(3, -inf), (3, 5.0)]
+    rows += [(None, v) for v in (4.0, 6.0, 8.0, None)]
+    table = spark.createDataFrame(rows, "k int, v double")
+    got = {r.k: str(r.m) for r in grouped_median(table, "k", "v", "m", min_rows).collect()}
+    assert got == {1: "nan", 2: "inf", 3: "-inf", None: "6.0"}
+    assert grouped_median(table, "k", "v", "m", min_rows).count() == 4

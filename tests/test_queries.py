@@ -6,6 +6,8 @@ import pytest
 from conftest import plan_of
 from tools.check import compare, connect
 
+from pressroom.plans.catalog import QUERIES
+
 from __spark_entry__ import entry, oracle_sql, queries
 
 WITHOUT_SQL = {"click_ranker", "user_clusters", "user_pca"}
@@ -18,16 +20,17 @@ def db(small):
 
 
 def test_every_query_but_the_fitted_ones_has_sql():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) <= set(queries())
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, small, db, name):
     assert compare(spark, db, small, name, queries()[name], oracle_sql().get(name)) is None
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n not in EAGER])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in EAGER])
 def test_plans_hold_no_python_and_no_cross_join(spark, small, name):
     text = plan_of(queries()[name](spark, small))
     for unwanted in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "NestedLoopJoin"):
