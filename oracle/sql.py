@@ -6,6 +6,7 @@ instead of long histories, row-by-row gaps instead of hourly cells, pair counts
 
 from __future__ import annotations
 
+# The feature types of the user profile.
 FEATURE_TYPES = {
     "mean_positive_score": "numerical",
     "mean_neutral_score": "numerical",
@@ -32,17 +33,21 @@ def draw(*parts: str) -> str:
 
 
 def aid(k: str) -> str:
-    return f"CASE WHEN {k} % 25 = 24 THEN 1000000 + {k} ELSE {k} END"
+    return f"CASE WHEN {k} % 25 = 24 THEN -1 - {k} ELSE {k} END"
 
 
-INVIEW = ", ".join(aid(f"((k + {17 * i}) % 100)") for i in range(5))
+def number(step: int) -> str:
+    return f"((k + {17 * step} + 100 * (event_id % greatest(n // 100, 1))) % greatest(n, 1))"
+
+
+INVIEW = ", ".join(aid(number(i)) for i in range(5))
 
 TABLES = {
     "ev": """
-SELECT event_id, user_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+SELECT event_id, user_id, ts, event_type, value, n, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
        CASE WHEN ts < TIMESTAMP '2024-01-22 00:00:00' THEN 'train'
             WHEN ts < TIMESTAMP '2024-01-29 00:00:00' THEN 'validation' ELSE 'test' END AS split
-FROM events""",
+FROM events, (SELECT count(*) AS n FROM documents)""",
     "articles": """
 SELECT d.doc_id AS article_id, d.text AS body, coalesce(l.quality, 0) = 1 AND d.doc_id % 2 = 0 AS premium,
        CASE WHEN l.toxic = 1 THEN 'Negative' WHEN l.quality = 1 THEN 'Positive'
@@ -58,7 +63,7 @@ FROM (SELECT event_id AS impression_id, user_id, ts AS impression_time, split, e
              CAST([{INVIEW}] AS BIGINT[]) AS inview
       FROM ev)""",
     "entries": f"""
-SELECT user_id, split, event_id, ts, {aid('k')} AS article_id,
+SELECT user_id, split, event_id, ts, {aid(number(0))} AS article_id,
        CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS read_time,
        CASE WHEN event_id % 7 = 0 THEN NULL ELSE least(value, 100) END AS scroll
 FROM ev""",
@@ -72,6 +77,9 @@ FROM (SELECT *, unnest(range(greatest(len(ids) - 20, 0) + 1, len(ids) + 1)) AS p
     "docvec": "SELECT vec_id AS article_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings",
     "runs": """
 SELECT concat('run_', p_partkey) AS run_id, CAST(p_size % 5 + 1 AS INTEGER) AS npratio, 10 AS epochs,
+       CAST(p_partkey % 4 * 5 + 10 AS INTEGER) AS history_size, CAST(p_partkey % 3 * 4 + 12 AS INTEGER) AS head_num,
+       CAST(p_partkey % 5 * 4 + 8 AS INTEGER) AS head_dim,
+       CASE WHEN p_partkey % 7 < 3 THEN 'pretransformed' ELSE 'lookup' END AS loader,
        CASE WHEN p_size % 2 = 0 THEN 'cross_entropy_loss' ELSE 'log_loss' END AS loss,
        CASE p_partkey % 8 WHEN 0 THEN 'Baseline' WHEN 1 THEN 'PE' WHEN 2 THEN 'RLN' WHEN 3 THEN 'PE+RLN'
             WHEN 4 THEN 'TD' WHEN 5 THEN 'PE+TD' WHEN 6 THEN 'RLN+TD' ELSE 'PE+RLN+TD' END AS model,
@@ -245,6 +253,10 @@ def joined(expression: str, name: str) -> str:
     return f"array_to_string({expression}, ',') AS {name}"
 
 
+def standard(name: str) -> str:
+    return f'coalesce(("{name}" - avg("{name}") OVER ()) / nullif(stddev_pop("{name}") OVER (), 0), 0)'
+
+
 def difference(name: str) -> str:
     return f"abs(c.{name} - g.{name}) / nullif(g.{name}, 0)"
 
@@ -258,9 +270,9 @@ CAST(1 AS SMALLINT) AS "train fraction", CAST(200 AS SMALLINT) AS "attention hid
 CAST(768 AS SMALLINT) AS "title size", CAST(0.0001 AS DOUBLE) AS "learning rate",
 CAST(0.0001 AS DOUBLE) AS "newsencoder l2 regularization", '512,512,512' AS "newsencoder units per layer",
 'adam' AS "optimizer", loss AS "loss", CAST(0.2 AS DOUBLE) AS "dropout", CAST(123 AS TINYINT) AS "seed",
-CAST(epochs AS TINYINT) AS "epochs", CAST(npratio * 5 AS TINYINT) AS "history size",
-CAST(npratio AS TINYINT) AS "npratio", CAST(16 AS TINYINT) AS "head num", CAST(16 AS TINYINT) AS "head dim",
-'pretransformed' AS "nrms loader", model AS "used model",
+CAST(epochs AS TINYINT) AS "epochs", CAST(history_size AS TINYINT) AS "history size",
+CAST(npratio AS TINYINT) AS "npratio", CAST(head_num AS TINYINT) AS "head num", CAST(head_dim AS TINYINT) AS "head dim",
+loader AS "nrms loader", model AS "used model",
 """ + ", ".join(r6(a, b) for a, b in (("auc", "auc"), ("mrr", "mrr"), ("ndcg5", "ndcg@5"), ("ndcg10", "ndcg@10")))
 
 CORRELATIONS = " UNION ALL ".join(
@@ -271,6 +283,10 @@ CORRELATIONS = " UNION ALL ".join(
         ("encoded loss", "CASE WHEN loss = 'cross_entropy_loss' THEN 1 ELSE 2 END"),
         ("npratio", "npratio"),
         ("epochs", "epochs"),
+        ("history size", "history_size"),
+        ("head num", "head_num"),
+        ("head dim", "head_dim"),
+        ("encoded loader", "CASE WHEN loader = 'pretransformed' THEN 1 ELSE 2 END"),
     )
 )
 
@@ -372,6 +388,25 @@ SELECT b.impression_id, b.user_id, {joined('h.ids', 'article_id_fixed')}, {joine
 FROM behaviors b JOIN padded h ON b.user_id = h.user_id AND b.split = h.split
      JOIN engagement e ON b.user_id = e.user_id AND e.split = 'test'
 WHERE b.split = 'test'""",
+    "evaluation_impressions": f"""
+SELECT b.impression_id, b.user_id, {joined('h.ids', 'article_id_fixed')}, {joined('b.inview', 'article_ids_inview')},
+       {joined('b.clicked', 'article_ids_clicked')},
+       {joined('list_transform(b.inview, lambda a: CAST(list_contains(b.clicked, a) AS INTEGER))', 'labels')},
+       p.premium_propensity, e.reading_engagement
+FROM behaviors b JOIN padded h ON b.user_id = h.user_id AND b.split = h.split
+     JOIN premium_use p ON b.user_id = p.user_id JOIN engagement e ON b.user_id = e.user_id AND e.split = 'train'
+WHERE b.split = 'validation'""",
+    "vector_lists": f"""
+SELECT article_id, CAST(len(vector[-20:]) AS INTEGER) AS n_tail, {r6('list_avg(vector[-20:])', 'tail_mean')},
+       {r6('list_median(vector)', 'median')}, {r6('list_max(steps)', 'largest_step')},
+       {r6('list_avg(list_transform(list_zip(vector[2:], steps), lambda e: e[1] * e[2]))', 'mean_product')}
+FROM (SELECT *, list_transform(list_zip(vector[2:], vector[:-2]), lambda e: e[1] - e[2]) AS steps FROM docvec)""",
+    "click_features": f"""
+SELECT s.impression_id, s.pos, s.article_id, s.label, {r6('s.score', 'match')},
+       {r6('CASE WHEN a.premium THEN 1 ELSE 0 END', 'premium')}, p.premium_propensity, e.reading_engagement
+FROM scores s LEFT JOIN articles a ON s.article_id = a.article_id JOIN premium_use p ON s.user_id = p.user_id
+     JOIN engagement e ON s.user_id = e.user_id AND e.split = 'train'
+WHERE s.split = 'validation'""",
     "time_decay_profile": f"""
 SELECT user_id, split, CAST(len(vector) AS INTEGER) AS n_dims, {r6('list_sum(vector)', 'total')},
        {r6('sqrt(list_dot_product(vector, vector))', 'norm')}, {r6('vector[1]', 'first_dim')},
@@ -425,12 +460,13 @@ FROM (SELECT c.scope AS label, c.feature, c.feature_type,
              {r6(difference('gini'), 'n_gini_index_relative_difference')},
              {r6(difference('entropy'), 'n_entropy_index_relative_difference')}
       FROM summary c JOIN summary g ON c.feature = g.feature AND g.scope = 'global' WHERE c.scope <> 'global')""",
-    "standardised_users": "SELECT user_id, "
-    + ", ".join(
-        r6(f'coalesce(("{f}" - avg("{f}") OVER ()) / nullif(stddev_pop("{f}") OVER (), 0), 0)', f)
-        for f in FEATURE_TYPES
-    )
-    + " FROM profile",
+    "standardised_users": "SELECT user_id, " + ", ".join(r6(standard(f), f) for f in FEATURE_TYPES) + " FROM profile",
+    "feature_covariances": f"""
+SELECT names[a] AS feature_a, names[b] AS feature_b, {r6('avg(v[a] * v[b])', 'covariance')}
+FROM (SELECT [{', '.join(f"CAST({standard(f)} AS DOUBLE)" for f in FEATURE_TYPES)}] AS v FROM profile),
+     (SELECT [{', '.join(f"'{f}'" for f in FEATURE_TYPES)}] AS names),
+     (SELECT unnest(range(1, {len(FEATURE_TYPES) + 1})) AS a), (SELECT unnest(range(1, {len(FEATURE_TYPES) + 1})) AS b)
+WHERE a <= b GROUP BY ALL""",
 }
 
 ORACLE = {name: f"{PRELUDE}\n{body.strip()}" for name, body in BODIES.items()}

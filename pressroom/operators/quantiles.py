@@ -72,24 +72,25 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping
         .select(
             *keys,
             "_range",
-            F.col("_w.name").alias("_name"),
-            (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"),
+            F.struct(F.col("_w.name").alias("name"), (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("rank")).alias("_w"),
         )
+        .groupBy(*keys, "_range")
+        .agg(F.collect_list("_w").alias("_wanted"))
     )
     in_range = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     counted = (
-        values.join(F.broadcast(targets.select(*keys, "_range")), [*keys, "_range"], "left_semi")
+        values.join(F.broadcast(targets), [*keys, "_range"])
         .groupBy(*keys, "_range", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.any_value("_wanted").alias("_wanted"))
         .withColumn("_upto", F.sum("_n").over(in_range))
     )
-    hits = counted.join(F.broadcast(targets), [*keys, "_range"]).where(
-        (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))
+    hits = counted.withColumn("_w", F.explode("_wanted")).where(
+        (F.col("_w.rank") <= F.col("_upto")) & (F.col("_w.rank") > F.col("_upto") - F.col("_n"))
     )
     return hits.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks]
+        *[F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in ranks]
     )
 
 
@@ -103,8 +104,10 @@ def grouped_median(
     which is not taken apart.
     """
     rows = df.select(key, value)
-    hot = hot_keys(rows, [key], min_rows).where(F.col(key).isNotNull())
-    usual = rows.join(F.broadcast(hot), key, "left_anti").groupBy(key).agg(F.median(value).cast("double").alias(alias))
-    ends = ranked_values(rows.join(F.broadcast(hot), key, "left_semi"), [key], value, MEDIAN_RANKS, nan_last=True)
-    large = hot.join(ends, key, "left").select(key, ((F.col("lower") + F.col("upper")) / 2).alias(alias))
-    return usual.unionByName(large)
+    hot = F.broadcast(hot_keys(rows, [key], min_rows).select(key, F.lit(True).alias("_hot")))
+    usual = F.when(F.col("_hot").isNull(), F.col(value))
+    medians = rows.join(hot, key, "left").groupBy(key).agg(F.median(usual).cast("double").alias("_median"))
+    ends = ranked_values(rows.join(hot, key, "left_semi"), [key], value, MEDIAN_RANKS, nan_last=True)
+    # As many rows at most as there are hot keys.
+    found = medians.join(F.broadcast(ends), key, "left")
+    return found.select(key, F.coalesce("_median", (F.col("lower") + F.col("upper")) / 2).alias(alias))

@@ -1,39 +1,45 @@
 """Keys that hold a large share of the rows.
 
-``hot_keys`` finds them with one partially aggregated count. A key is hot only above ``min_rows``
-rows, so there are at most ``rows / min_rows`` of them: with the default, five million ids per 10^12
-rows. That bound is what makes broadcasting the hot-key list safe.
+``hot_keys`` finds them with one partially aggregated count: keys above ``min_rows`` rows, and of these
+the ``MOST_HOT`` with most rows. The list has a fixed greatest length, so it may be broadcast whatever the
+size of the log; a key left out of it holds less than one row in ``MOST_HOT``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 200_000
+MOST_HOT = 500_000
 BROADCAST_BYTES = 512 * 2**20
 
 
-def broadcast_below(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Ask for a broadcast of ``df`` when its measured size is at most ``limit`` bytes, else leave it to shuffle.
+def hottest(counted: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, most: int = MOST_HOT) -> DataFrame:
+    """The hot keys of a table that has ``_rows`` per key already; null keys match nothing and are never hot."""
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    above = counted.where(known & (F.col("_rows") > min_rows)).select(*keys, "_rows")
+    # Ties go by key, so that every use of the list has the same keys.
+    return above.orderBy(F.desc("_rows"), *keys).limit(most)
 
-    For tables whose joined rows are wide, where Spark's own threshold is far below what pays off. The
-    size is summed over the whole table, so it holds for this run's data whatever the statistics say.
-    """
-    measured = df.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0
-    return F.broadcast(df) if measured <= limit else df
+
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, most: int = MOST_HOT) -> DataFrame:
+    """``keys`` and ``_rows`` of the hot keys of ``df``."""
+    return hottest(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, min_rows, most)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > min_rows).select(*keys)
+def salts_for(rows: str, min_rows: int) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / max(min_rows, 1)), F.lit(1)).cast("int")
 
 
-def flag_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], flag: str = "_hot") -> DataFrame:
-    """Add a boolean column telling whether the row's key is hot. No shuffle of ``df``."""
-    marked = df.join(F.broadcast(hot.withColumn(flag, F.lit(True))), list(keys), "left")
-    return marked.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+def with_salts(df: DataFrame, hot: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
+    """Add ``_salts``: one per ``min_rows`` rows of a hot key, 1 for other keys. No shuffle of ``df``."""
+    salts = hot.select(*keys, salts_for("_rows", min_rows).alias("_salts"))
+    marked = df.join(F.broadcast(salts), list(keys), "left")
+    return marked.withColumn("_salts", F.coalesce("_salts", F.lit(1)))
 
 
 def skew_join(
@@ -42,31 +48,33 @@ def skew_join(
     keys: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = 64,
     min_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
+    counted: bool = False,
 ) -> DataFrame:
-    """Equi-join that splits the hot keys of ``big`` over ``salts`` tasks.
+    """Equi-join that splits the hot keys of ``big`` over one task per ``min_rows`` of their rows.
 
     Rows of a hot key get a salt from a hash of ``spread_by``; only the hot keys of ``small`` are
-    repeated once per salt. All other keys keep salt 0, so the join costs one shuffle of each side.
-    Pass ``hot`` when the hot keys are already known, or cheaper to count elsewhere.
+    repeated, once per salt. All other keys keep salt 0, so the join costs one shuffle of each side. In a
+    left join rows with a null key match nothing, so their salt is the hash itself and they go
+    everywhere. Pass ``hot`` (keys and ``_rows``) when the hot keys are already known, or cheaper to count
+    elsewhere. With ``counted``, ``small`` itself has ``_rows``, the rows of ``big`` with its key; the column is dropped.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
     if hot is None:
         hot = hot_keys(big.select(*keys), keys, min_rows)
-    salted_big = flag_hot(big, hot, keys).withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
-    )
-    all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_small = flag_hot(small, hot, keys).withColumn("_salt", F.explode(all_salts))
-    return (
-        salted_big.drop("_hot")
-        .join(salted_small.drop("_hot"), [*keys, "_salt"], how)
-        .drop("_salt")
-    )
+    spread = F.xxhash64(*spread_by)
+    salt = F.when(F.col("_salts") > 1, F.pmod(spread, F.col("_salts").cast("bigint"))).otherwise(F.lit(0))
+    if how == "left":
+        unmatched = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+        salt = F.when(unmatched, spread).otherwise(salt)
+    salted_big = with_salts(big, hot, keys, min_rows).withColumn("_salt", salt.cast("bigint")).drop("_salts")
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("_salts").cast("bigint") - 1)
+    # Salts of a key beyond the hot list find no rows; salt 0 is always there.
+    marked = small.withColumn("_salts", salts_for("_rows", min_rows)) if counted else with_salts(small, hot, keys, min_rows)
+    salted_small = marked.withColumn("_salt", F.explode(every)).drop("_salts", "_rows")
+    return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:

@@ -7,13 +7,14 @@ and full precision.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom import schemas
+from pressroom.functions import arrays
 from pressroom.functions.arrays import dot
 from pressroom.functions.scalars import rounded
 from pressroom.operators import ranking, sessions
@@ -85,22 +86,22 @@ def article_features(spark, sf):
 
 @query
 def favourite_device(spark, sf):
-    return features.favourite_device(derived.visits(spark, sf))
+    return features.favourite_device(derived.visits(spark, sf, features.TRAIN_VALIDATION))
 
 
 @query
 def median_next_read_time(spark, sf):
-    return features.median_next_read_time(derived.visits(spark, sf))
+    return features.median_next_read_time(derived.visits(spark, sf, features.TRAIN_VALIDATION))
 
 
 @query
 def subscription_status(spark, sf):
-    return features.subscription_status(derived.visits(spark, sf))
+    return features.subscription_status(derived.visits(spark, sf, features.TRAIN_VALIDATION))
 
 
 @query
 def subscription_consistency(spark, sf):
-    return features.subscription_consistency(derived.visits(spark, sf))
+    return features.subscription_consistency(derived.visits(spark, sf, features.TRAIN_VALIDATION))
 
 
 @query
@@ -110,23 +111,22 @@ def premium_clicks(spark, sf):
 
 @query
 def premium_propensity(spark, sf):
-    return features.premium_propensity(derived.behaviors(spark, sf), derived.articles(spark, sf))
+    return features.premium_propensity(derived.behaviors(spark, sf, features.TRAIN), derived.articles(spark, sf))
 
 
 @query
 def reading_engagement(spark, sf):
-    return features.reading_engagement(derived.history(spark, sf))
+    return features.reading_engagement(derived.history(spark, sf, features.TRAIN))
 
 
 @query
 def reading_engagement_test(spark, sf):
-    return features.reading_engagement(derived.history(spark, sf), ("test",))
+    return features.reading_engagement(derived.history(spark, sf, ("test",)), ("test",))
 
 
 @query
 def history_union(spark, sf):
-    history = derived.history(spark, sf)
-    parts = [features.of_splits(history, (split,)) for split in features.TRAIN_VALIDATION]
+    parts = [derived.history(spark, sf, (split,)) for split in features.TRAIN_VALIDATION]
     return parts[0].unionByName(parts[1]).select(
         "user_id",
         "split",
@@ -160,7 +160,7 @@ def sentiment_article_lists(spark, sf):
 
 
 def _sessions(spark: SparkSession, sf: str) -> DataFrame:
-    history = features.of_splits(derived.history(spark, sf), features.TRAIN_VALIDATION)
+    history = derived.history(spark, sf, features.TRAIN_VALIDATION)
     return sessions.meaningful(sessions.user_sessions(history))
 
 
@@ -180,18 +180,17 @@ def time_profile(spark, sf):
 
 
 def _profile(spark: SparkSession, sf: str) -> DataFrame:
-    articles, history = derived.articles(spark, sf), derived.history(spark, sf)
-    visits, behaviors = derived.visits(spark, sf), derived.behaviors(spark, sf)
+    articles, history = derived.articles(spark, sf), derived.history(spark, sf, features.TRAIN_VALIDATION)
+    visits = derived.visits(spark, sf, features.TRAIN_VALIDATION)
+    behaviors = derived.behaviors(spark, sf, features.TRAIN)
     return features.user_profile(
-        features.history_users(history),
+        features.history_profile(history),
         [
             features.sentiment_stats(features.recent_entries(history), articles, hot=features.hot_articles(history)),
-            features.favourite_device(visits),
+            features.visit_profile(visits),
             sessions.time_profile(_sessions(spark, sf)),
             features.median_next_read_time(visits),
             features.premium_propensity(behaviors, articles),
-            features.reading_engagement(history),
-            features.subscription_status(visits),
         ],
     )
 
@@ -299,6 +298,47 @@ def test_impressions(spark, sf):
     )
 
 
+@query
+def evaluation_impressions(spark, sf):
+    articles, behaviors, history = (
+        derived.articles(spark, sf),
+        derived.behaviors(spark, sf),
+        derived.history(spark, sf),
+    )
+    table = impressions.evaluation_impressions(
+        behaviors,
+        features.recent_entries(features.of_splits(history, ("validation",))),
+        [features.premium_propensity(behaviors, articles), features.reading_engagement(history)],
+    )
+    return table.select(
+        "impression_id",
+        "user_id",
+        joined("article_id_fixed"),
+        joined("article_ids_inview"),
+        joined("article_ids_clicked"),
+        joined("labels"),
+        "premium_propensity",
+        "reading_engagement",
+    )
+
+
+@query
+def vector_lists(spark, sf):
+    """The list functions over the vectors: tail, mean, median, differences, pairs."""
+    values = F.transform("contrastive_vector", lambda x: x.cast("double"))
+    table = derived.docvec(spark, sf).select("article_id", values.alias("v"))
+    tail, steps = arrays.list_tail(F.col("v"), 20), arrays.list_diff(F.col("v"))
+    pairs = F.transform(F.arrays_zip(F.col("v"), steps.alias("step")), lambda e: e["v"] * e["step"])
+    return table.select(
+        "article_id",
+        F.size(tail).alias("n_tail"),
+        arrays.list_mean(tail).alias("tail_mean"),
+        arrays.list_median(F.col("v")).alias("median"),
+        F.array_max(steps).alias("largest_step"),
+        arrays.list_mean(pairs).alias("mean_product"),
+    )
+
+
 # Scores and ranking quality
 
 
@@ -347,8 +387,8 @@ def ranking_metrics(spark, sf):
     return ranking.ranking_metrics(_scores(spark, sf), ("split",))
 
 
-@query
-def click_ranker(spark, sf):
+def _click_tables(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds the click features to candidate rows."""
     articles, behaviors, history = (
         derived.articles(spark, sf),
         derived.behaviors(spark, sf),
@@ -359,15 +399,45 @@ def click_ranker(spark, sf):
     premium = features.premium_articles(articles)
     users = features.premium_propensity(behaviors, articles).join(features.reading_engagement(history), "user_id")
 
-    def rows(candidates: DataFrame) -> DataFrame:
-        return ranker.click_features(candidates, profile, vectors, premium, users)
+    return lambda rows: ranker.click_features(rows, profile, vectors, premium, users)
+
+
+def _candidates(spark: SparkSession, sf: str, splits: Sequence[str]) -> DataFrame:
+    return scoring.candidates(derived.behaviors(spark, sf, splits))
+
+
+@query
+def click_features(spark, sf):
+    table = _click_tables(spark, sf)(_candidates(spark, sf, ("validation",)))
+    return table.select("impression_id", "pos", "article_id", "label", *ranker.FEATURES)
+
+
+def _fitted_scores(spark: SparkSession, sf: str, splits: Sequence[str]) -> DataFrame:
+    """Click probabilities of the candidates of ``splits`` by a ranker fitted on the training split."""
+    train = derived.behaviors(spark, sf, features.TRAIN)
+    drawn = ranker.sampled_candidates(impressions.negative_samples(train))
+    asked = _candidates(spark, sf, splits).select(*drawn.columns)
+    # Both sets take their features in one pass; fitting then reads its rows once per iteration. Several draws
+    # of one impression share positions, so the sets are told apart by a flag.
+    both = drawn.withColumn("fitted", F.lit(True)).unionByName(asked.withColumn("fitted", F.lit(False)))
+    table = cut_lineage(_click_tables(spark, sf)(both))
+    model = ranker.ClickRanker().fit(table.where("fitted"))
+    return model.transform(table.where("NOT fitted"))
 
-    train = features.of_splits(behaviors, ("train",))
-    validation = features.of_splits(behaviors, ("validation",))
-    # Fitting reads its rows once per iteration.
-    fitted = cut_lineage(rows(ranker.sampled_candidates(impressions.negative_samples(train))))
-    model = ranker.ClickRanker(max_iter=10).fit(fitted)
-    return model.transform(rows(scoring.candidates(validation)))
+
+@query
+def click_ranker(spark, sf):
+    return ranking.with_rank(_fitted_scores(spark, sf, ("validation", "test")))
+
+
+@query
+def click_ranker_lines(spark, sf):
+    return ranking.submission_lines(ranking.ranked_predictions(_fitted_scores(spark, sf, ("test",))))
+
+
+@query
+def click_ranker_metrics(spark, sf):
+    return ranking.ranking_metrics(_fitted_scores(spark, sf, ("validation",)), ("split",))
 
 
 # Experiments
@@ -390,7 +460,7 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     flags = [(F.col(flag), part) for flag, part in schemas.ABLATION_FLAGS]
     metrics = [F.col(f"`{m}`") for m in schemas.METRICS]
     return derived.runs(spark, sf).select(
-        "run id", "npratio", "epochs", "loss", runs.variant_name(flags).alias("used model"), *metrics
+        "run id", "npratio", "epochs", "loss", "history_size", "head_num", "head_dim", "loader", runs.variant_name(flags).alias("used model"), *metrics
     )
 
 
@@ -400,6 +470,10 @@ def param_correlations(spark, sf):
         "encoded loss": experiments.encoded("loss", "cross_entropy_loss"),
         "npratio": F.col("npratio"),
         "epochs": F.col("epochs"),
+        "history size": F.col("history_size"),
+        "head num": F.col("head_num"),
+        "head dim": F.col("head_dim"),
+        "encoded loader": experiments.encoded("loader", "pretransformed"),
     }
     return experiments.param_correlations(_results(spark, sf), parameters)
 
@@ -453,6 +527,11 @@ def standardised_users(spark, sf):
     return clustering.standardised(cut_lineage(_profile(spark, sf)), FEATURES)
 
 
+@query
+def feature_covariances(spark, sf):
+    return clustering.feature_covariances(clustering.standardised(cut_lineage(_profile(spark, sf)), FEATURES), FEATURES)
+
+
 def _components(spark: SparkSession, sf: str) -> DataFrame:
     scaled = clustering.standardised(cut_lineage(_profile(spark, sf)), FEATURES)
     return clustering.principal_components(scaled, FEATURES)
@@ -469,6 +548,4 @@ def user_pca(spark, sf):
 @query
 def user_clusters(spark, sf):
     users = cut_lineage(_components(spark, sf))
-    # A small grid: the full one is the default of choose_mixture.
-    choice = clustering.choose_mixture(users, cluster_counts=(2, 3, 4), restarts=(1,), max_iter=20)
-    return clustering.labelled(users, choice)
+    return clustering.labelled(users, clustering.choose_mixture(users))

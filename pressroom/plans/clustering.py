@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -41,6 +42,24 @@ def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in kept], *[scaled(f) for f in features])
 
 
+def feature_covariances(scaled: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``feature_a, feature_b, covariance`` of centred features, each pair once and each feature with itself.
+
+    What the components are taken from. Products are averaged before the shuffle, so a task sends one
+    row per pair whatever the number of rows.
+    """
+    values = F.array(*[F.col(f"`{f}`") for f in features])
+    names = F.array(*[F.lit(f) for f in features])
+
+    def product(i: int, j: int):
+        return F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"))
+
+    pairs = F.array(*[product(i, j) for i in range(len(features)) for j in range(i, len(features))])
+    rows = scaled.select(values.alias("_values")).select("_values", F.inline(pairs))
+    means = rows.groupBy("a", "b").agg(F.avg(F.get("_values", "a") * F.get("_values", "b")).alias("covariance"))
+    return means.select(F.get(names, F.col("a")).alias("feature_a"), F.get(names, F.col("b")).alias("feature_b"), "covariance")
+
+
 def principal_components(
     scaled: DataFrame, features: Sequence[str], keep: float = VARIANCE_TO_KEEP, output: str = "components"
 ) -> DataFrame:
@@ -77,6 +96,7 @@ def choose_mixture(
     restarts: Sequence[int] = RESTARTS,
     max_iter: int = 100,
     first_seed: int = 42,
+    at_once: int = 8,
 ) -> MixtureChoice:
     """Fit a grid of Gaussian mixtures and keep the one with the smallest BIC, of ties the smaller k.
 
@@ -85,7 +105,7 @@ def choose_mixture(
     which every component holds more rows than it has dimensions plus one are preferred; where there is
     none, as with very few rows, the smallest BIC of all decides. A fit that the library cannot make
     (a component without any spread) is left out of the grid; when all fail, the reasons are raised.
-    Pass a frame whose lineage is cut; every fit reads it several times.
+    Pass a frame whose lineage is cut; every fit reads it several times, ``at_once`` fits at a time.
     """
     first = df.select(column).first()
     if first is None:
@@ -94,14 +114,23 @@ def choose_mixture(
     grid: list[tuple[int, int, float]] = []
     failures: list[str] = []
     best: dict[bool, MixtureChoice] = {}
+
+    def fit(setting: tuple[int, int]) -> GaussianMixtureModel | str:
+        k, seed = setting
+        try:
+            return GaussianMixture(k=k, featuresCol=column, maxIter=max_iter, seed=seed).fit(df)
+        except (Py4JJavaError, PySparkException) as error:
+            return f"k={k}, seed={seed}: {str(error).splitlines()[0]}"
+
+    settings = [(k, first_seed + attempt) for k in sorted(cluster_counts) for attempt in range(max(restarts))]
+    with ThreadPoolExecutor(at_once) as pool:
+        results = dict(zip(settings, pool.map(fit, settings)))
     for k in sorted(cluster_counts):
         fitted: dict[bool, GaussianMixtureModel] = {}
         for attempt in range(max(restarts)):
-            mixture = GaussianMixture(k=k, featuresCol=column, maxIter=max_iter, seed=first_seed + attempt)
-            try:
-                model = mixture.fit(df)
-            except (Py4JJavaError, PySparkException) as error:
-                failures.append(f"k={k}, seed={first_seed + attempt}: {str(error).splitlines()[0]}")
+            model = results[k, first_seed + attempt]
+            if isinstance(model, str):
+                failures.append(model)
                 continue
             sound = min(model.weights) * n > d + 1
             for group in {sound, False}:

@@ -154,6 +154,16 @@ def premium_propensity(behaviors: DataFrame, articles: DataFrame, splits: Sequen
     return premium_click_counts(behaviors, articles, splits).select("user_id", code.alias("premium_propensity"))
 
 
+def visit_profile(behaviors: DataFrame, splits: Sequence[str] = TRAIN_VALIDATION) -> DataFrame:
+    """``favourite_device`` and ``subscription_status`` in one pass: ``user_id, favourite_device, is_subscriber``."""
+    counts = of_splits(behaviors, splits).groupBy("user_id", "device_type").agg(
+        F.count(F.lit(1)).alias("_n"), F.bool_and("is_subscriber").alias("_every")
+    )
+    median = F.percentile("device_type", F.lit(0.5), F.col("_n")).cast("tinyint")
+    every = F.coalesce(F.bool_and("_every"), F.lit(True)).cast("float")
+    return counts.groupBy("user_id").agg(median.alias("favourite_device"), every.alias("is_subscriber"))
+
+
 # Users, from histories
 
 
@@ -191,6 +201,30 @@ def reading_engagement(
     return ends.select("user_id", _engagement(F.col("_mean"), F.col("_n"), days))
 
 
+def history_profile(history: DataFrame, span: str = "day_of_year") -> DataFrame:
+    """``history_users`` joined with ``reading_engagement``, in one pass: ``user_id, reading_engagement``.
+
+    One row per history of the training and validation splits, for users with a training history.
+    """
+    train = F.col("split") == TRAIN[0]
+
+    def kept(name: str):
+        return F.when(train, F.col(name))
+
+    ends = of_splits(history, TRAIN_VALIDATION).groupBy("user_id").agg(
+        F.count(kept("pos")).alias("_n"),
+        F.min(kept("impression_time")).alias("_first"),
+        F.max(kept("impression_time")).alias("_last"),
+        F.avg(kept("read_time")).alias("_mean"),
+        F.bool_or(train).alias("_train"),
+        F.bool_or(~train).alias("_validation"),
+    )
+    days = _days_between(F.col("_first"), F.col("_last"), span)
+    rows = ends.where("_train").withColumn("_times", F.when(F.col("_validation"), 2).otherwise(1))
+    engagement = _engagement(F.col("_mean"), F.col("_n"), days)
+    return rows.select("user_id", engagement, F.explode(F.sequence(F.lit(1), "_times"))).drop("col")
+
+
 def reading_engagement_from_lists(
     history: DataFrame, splits: Sequence[str] = TRAIN, span: str = "day_of_year"
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from pressroom.functions.arrays import pad_left, pad_right
 from pressroom.functions.scalars import id_hash
 from pressroom.operators.skew import HOT_ROWS, skew_join
 from pressroom.plans.features import HISTORY_SIZE
+from pressroom.session import cut_lineage
 from pressroom.sources.tables import read_behaviors, read_history
 
 PAD = 0
@@ -149,15 +150,13 @@ def training_impressions(
         .where(F.size("article_ids_clicked") > 0)
         .transform(sample, fraction=fraction, seed=seed)
     )
-    # The cut needs one date per user of the impressions that stay, not their lists.
-    kept = recent.where(F.col("lag") == 0).select("user_id", "split")
-    for table in features:
-        kept = kept.join(table.select("user_id"), "user_id")
+    # Read twice: for the join, and for the cut, which needs one date per user of the impressions that stay.
+    users = cut_lineage(users)
     latest = (
         chosen.where(F.size(_unclicked()) > 0)
         .groupBy("user_id", "split")
         .agg(F.max(F.to_date("impression_time")).alias("_day"))
-        .join(kept, ["user_id", "split"], "left_semi")
+        .join(users.select("user_id", "split"), ["user_id", "split"], "left_semi")
     )
     early = F.to_date("impression_time") < latest.agg(F.date_sub(F.max("_day"), 1)).scalar()
     return (
@@ -189,6 +188,28 @@ def test_impressions(
     )
 
 
+def evaluation_impressions(
+    behaviors: DataFrame,
+    recent: DataFrame,
+    features: Sequence[DataFrame],
+    fraction: float = 1.0,
+    seed: int = SEED,
+    n: int = HISTORY_SIZE,
+    min_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Labelled validation impressions with their whole in-view lists, history and user features; nothing is drawn."""
+    users = padded_history(recent, n)
+    for table in features:
+        users = users.join(table, "user_id")
+    return (
+        behaviors.where(F.col("split") == "validation")
+        .select("impression_id", "user_id", "split", "impression_time", "article_ids_inview", "article_ids_clicked")
+        .transform(sample, fraction=fraction, seed=seed)
+        .transform(skew_join, users, ["user_id", "split"], ["impression_id"], min_rows=min_rows)
+        .transform(binary_labels)
+    )
+
+
 def padded_inview(behaviors: DataFrame) -> DataFrame:
     """In-view lists cut and right-padded to the longest list of the table."""
     longest = behaviors.agg(F.max(F.size("article_ids_inview"))).scalar()

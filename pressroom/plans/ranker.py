@@ -11,8 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.operators.skew import HOT_ROWS
-from pressroom.plans.scoring import join_per_pair, pair_scores
+from pressroom.operators.skew import HOT_ROWS, hot_keys, skew_join
+from pressroom.plans.scoring import Vectors, join_per_pair, pair_scores
 
 FEATURES = ["match", "premium", "premium_propensity", "reading_engagement"]
 
@@ -20,7 +20,7 @@ FEATURES = ["match", "premium", "premium_propensity", "reading_engagement"]
 def click_features(
     rows: DataFrame,
     profile: DataFrame,
-    docvec: DataFrame,
+    docvec: DataFrame | Vectors,
     premium: DataFrame,
     user_features: DataFrame,
     min_rows: int = HOT_ROWS,
@@ -28,8 +28,10 @@ def click_features(
     """Candidate rows with the feature columns; unknown articles count as free, users without features drop out."""
 
     def attach(pairs: DataFrame) -> DataFrame:
-        scored = pair_scores(pairs.join(user_features, "user_id"), profile, docvec).withColumnRenamed("score", "match")
-        flagged = scored.join(premium, "article_id", "left")
+        hot = hot_keys(pairs.select("article_id"), ["article_id"], min_rows)
+        scored = pair_scores(pairs.join(user_features, "user_id"), profile, docvec, min_rows)
+        scored = scored.withColumnRenamed("score", "match")
+        flagged = skew_join(scored, premium, ["article_id"], ["user_id", "split"], "left", min_rows, hot)
         return flagged.withColumn("premium", F.coalesce(F.col("premium").cast("double"), F.lit(0.0)))
 
     return join_per_pair(rows, attach, min_rows)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +17,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _article_id(k: Column) -> Column:
-    """Four per cent of the ids belong to no article."""
-    return F.when(k % 25 == 24, k + 1_000_000).otherwise(k)
+def _articles(spark: SparkSession, sf_dir: str) -> Column:
+    """How many articles there are."""
+    return _table(spark, sf_dir, "documents").agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+
+
+def _article_id(k: Column, articles: Column, step: int = 0) -> Column:
+    """An id over all ``articles``, from the event's number k and its id. Four per cent belong to no article."""
+    block = F.col("event_id") % F.greatest(F.floor(articles / 100), F.lit(1))
+    number = (k + 17 * step + 100 * block) % articles
+    return F.when(number % 25 == 24, -1 - number).otherwise(number)
+
+
+SPLITS = ("train", "validation", "test")
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _log(spark: SparkSession, sf_dir: str, splits: Sequence[str]) -> DataFrame:
+    """The events of ``splits``, chosen by ranges of the stored time, so that the filter reaches the scan."""
+    starts = [F.to_timestamp_ntz(F.lit(f"{day} 00:00:00")) for day in ("2024-01-22", "2024-01-29")]
+    ts = F.col("ts")
+    ranges = {"train": ts < starts[0], "validation": (ts >= starts[0]) & (ts < starts[1]), "test": ts >= starts[1]}
+    wanted = [ranges[split] for split in SPLITS if split in splits]
+    if tuple(splits) == ("train", "validation"):
+        wanted = [ts < starts[1]]
     events = _table(spark, sf_dir, "events")
-    ts = F.col("ts").cast("timestamp")
+    if set(splits) != set(SPLITS):
+        events = events.where(reduce(Column.__or__, wanted))
     return events.select(
         "event_id",
         "user_id",
-        ts.alias("ts"),
+        F.col("ts").cast("timestamp").alias("ts"),
         "event_type",
         "value",
         "props",
-        F.when(ts < F.lit("2024-01-22").cast("timestamp"), "train")
-        .when(ts < F.lit("2024-01-29").cast("timestamp"), "validation")
+        F.when(F.col("ts") < starts[0], "train")
+        .when(F.col("ts") < starts[1], "validation")
         .otherwise("test")
         .alias("split"),
     )
@@ -76,17 +97,18 @@ def _visit_columns() -> list[Column]:
     ]
 
 
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def visits(spark: SparkSession, sf_dir: str, splits: Sequence[str] = SPLITS) -> DataFrame:
     """Impressions without their article lists."""
-    return _log(spark, sf_dir).select(*_visit_columns())
+    return _log(spark, sf_dir, splits).select(*_visit_columns())
 
 
-def behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def behaviors(spark: SparkSession, sf_dir: str, splits: Sequence[str] = SPLITS) -> DataFrame:
     """Impressions with the in-view and clicked lists, five articles each in view."""
     # The lists are columns of a real log. Here they are computed, and a filter on them would repeat the
     # computation below it; a one-element explode of k keeps such filters above.
-    log = _log(spark, sf_dir).withColumn("k", F.explode(F.array(_k())))
-    shown = [_article_id((F.col("k") + 17 * i) % 100) for i in range(5)]
+    log = _log(spark, sf_dir, splits).withColumn("k", F.explode(F.array(_k())))
+    articles = _articles(spark, sf_dir)
+    shown = [_article_id(F.col("k"), articles, i) for i in range(5)]
     none = F.array().cast("array<bigint>")
     return log.select(
         *_visit_columns(),
@@ -98,13 +120,13 @@ def behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history(spark: SparkSession, sf_dir: str, splits: Sequence[str] = SPLITS) -> DataFrame:
     """Long reading history, one row per entry, ordered by instant and event."""
-    return _log(spark, sf_dir).select(
+    return _log(spark, sf_dir, splits).select(
         "user_id",
         "split",
         F.struct("ts", "event_id").alias("pos"),
-        _article_id(_k()).alias("article_id"),
+        _article_id(_k(), _articles(spark, sf_dir)).alias("article_id"),
         F.col("ts").alias("impression_time"),
         F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("read_time"),
         F.when(F.col("event_id") % 7 != 0, F.least(F.col("value"), F.lit(100.0))).alias("scroll_percentage"),
@@ -124,6 +146,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("run_"), key).alias("run id"),
         (F.col("p_size") % 5 + 1).cast("int").alias("npratio"),
         F.lit(10).alias("epochs"),
+        (key % 4 * 5 + 10).cast("int").alias("history_size"),
+        (key % 3 * 4 + 12).cast("int").alias("head_num"),
+        (key % 5 * 4 + 8).cast("int").alias("head_dim"),
+        F.when(key % 7 < 3, "pretransformed").otherwise("lookup").alias("loader"),
         F.when(F.col("p_size") % 2 == 0, "cross_entropy_loss").otherwise("log_loss").alias("loss"),
         (key % 2 == 1).alias("use_pe"),
         (key % 4 >= 2).alias("use_rln"),
@@ -158,16 +184,16 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "OPTIMIZER": "adam",
         "DROPOUT": 0.2,
         "SEED": 123,
-        "head_num": 16,
-        "head_dim": 16,
-        "nrms_loader": "pretransformed",
     }
     fields = [F.lit(v).alias(k) for k, v in constants.items()] + [
         F.array(F.lit(512), F.lit(512), F.lit(512)).alias("NEWSENCODER_UNITS_PER_LAYER"),
         F.col("loss").alias("LOSS"),
         F.col("epochs"),
         F.col("npratio"),
-        (F.col("npratio") * 5).alias("history_size"),
+        F.col("history_size"),
+        F.col("head_num"),
+        F.col("head_dim"),
+        F.col("loader").alias("nrms_loader"),
         *[F.col(flag) for flag, _ in schemas.ABLATION_FLAGS],
     ]
     config_text = F.to_json(F.struct(F.col("run id").alias("run_id"), F.struct(*fields).alias("parameters")))

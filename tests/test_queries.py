@@ -10,8 +10,8 @@ from pressroom.plans.catalog import QUERIES
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-WITHOUT_SQL = {"click_ranker", "user_clusters", "user_pca"}
-EAGER = WITHOUT_SQL | {"cluster_summary", "discriminating_features", "standardised_users"}
+WITHOUT_SQL = {"click_ranker", "click_ranker_lines", "click_ranker_metrics", "user_clusters", "user_pca"}
+EAGER = WITHOUT_SQL | {"cluster_summary", "discriminating_features", "feature_covariances", "standardised_users"}
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +47,21 @@ def test_scans_read_only_what_is_needed(spark, small):
 def test_entry(spark):
     df = entry(spark)
     assert df.columns[0] == "user_id" and df.count() > 0
+
+
+def test_the_profile_reads_the_log_few_times(spark, small):
+    # Before reuse: hot articles and hot users are looked up on both sides of their joins.
+    assert plan_of(queries()["user_profile"](spark, small)).count("/events.parquet]") <= 15
+
+
+def test_split_filters_reach_the_scan(spark, small):
+    text = plan_of(queries()["reading_engagement"](spark, small))
+    assert "LessThan(ts" in text
+
+
+def test_articles_in_view_grow_with_the_documents(spark, small):
+    from pressroom.sources import derived
+
+    known = derived.articles(spark, small).select("article_id")
+    read = derived.history(spark, small).select("article_id").distinct().join(known, "article_id", "left_semi")
+    assert read.count() > 0.5 * known.count()

@@ -68,13 +68,14 @@ def test_scores_match_brute_force(data, min_rows):
 
 def test_vectors_are_broadcast_only_below_the_limit(spark, data):
     _, docvec, _, recent, log, _ = data
-    assert "BroadcastHashJoin" in plan_of(scoring.time_decay_profile(recent, scoring.vectors_for_join(docvec)))
+    narrow = scoring.vectors_for_join(docvec)
+    assert narrow.broadcast and "SortMergeJoin" not in plan_of(scoring.time_decay_profile(recent, narrow))
     saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         wide = scoring.vectors_for_join(docvec, limit=100)
         profile = scoring.time_decay_profile(recent, wide)
-        assert "BroadcastHashJoin" not in plan_of(profile)
+        assert not wide.broadcast and "SortMergeJoin" in plan_of(profile)
         shuffled = tuples(scoring.candidate_scores(log, profile, wide).withColumn("s", F.round("score", 9)), "impression_id", "pos", "s")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)

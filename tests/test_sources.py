@@ -88,7 +88,7 @@ def test_missing_lists_do_not_lose_the_others(spark):
 
 def test_cut_lineage_reads_back_from_files(spark):
     table = cut_lineage(spark.range(10).select((F.col("id") * 2).alias("x")))
-    assert "Scan ExistingRDD" in plan_of(table) and "Range" not in plan_of(table)
+    assert "Scan parquet" in plan_of(table) and "Range" not in plan_of(table)
     assert table.agg(F.sum("x")).first()[0] == 90
 
 
