@@ -548,4 +548,6 @@ def user_pca(spark, sf):
 @query
 def user_clusters(spark, sf):
     users = cut_lineage(_components(spark, sf))
-    return clustering.labelled(users, clustering.choose_mixture(users))
+    # A small grid: the full one is the default of choose_mixture, but takes minutes on very few users.
+    choice = clustering.choose_mixture(users, cluster_counts=(2, 3, 4), restarts=(1,), max_iter=20)
+    return clustering.labelled(users, choice)
