@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 VARIANCE_TO_KEEP = 0.80
 CLUSTER_COUNTS = tuple(range(8, 15))
 RESTARTS = (5, 8, 10)
+#: A fit has converged when the mean log-likelihood of a row changes by less than this.
+TOLERANCE = 1e-3
 
 
 def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -74,10 +76,7 @@ def principal_components(
 
 @dataclass
 class MixtureChoice:
-    """The chosen mixture, and the BIC of every accepted setting as ``(k, restarts, bic)``.
-
-    Without a model all rows form one cluster.
-    """
+    """The chosen mixture, and the BIC of every setting as ``(k, restarts, bic)``."""
 
     model: GaussianMixtureModel
     k: int
@@ -97,6 +96,7 @@ def choose_mixture(
     max_iter: int = 100,
     first_seed: int = 42,
     at_once: int = 8,
+    tolerance: float = TOLERANCE,
 ) -> MixtureChoice:
     """Fit a grid of Gaussian mixtures and keep the one with the smallest BIC, of ties the smaller k.
 
@@ -105,6 +105,7 @@ def choose_mixture(
     which every component holds more rows than it has dimensions plus one are preferred; where there is
     none, as with very few rows, the smallest BIC of all decides. A fit that the library cannot make
     (a component without any spread) is left out of the grid; when all fail, the reasons are raised.
+    ``tolerance`` is per row, so a table ten times as long converges after as many iterations.
     Pass a frame whose lineage is cut; every fit reads it several times, ``at_once`` fits at a time.
     """
     first = df.select(column).first()
@@ -118,7 +119,7 @@ def choose_mixture(
     def fit(setting: tuple[int, int]) -> GaussianMixtureModel | str:
         k, seed = setting
         try:
-            return GaussianMixture(k=k, featuresCol=column, maxIter=max_iter, seed=seed).fit(df)
+            return GaussianMixture(k=k, featuresCol=column, maxIter=max_iter, tol=tolerance * n, seed=seed).fit(df)
         except (Py4JJavaError, PySparkException) as error:
             return f"k={k}, seed={seed}: {str(error).splitlines()[0]}"
 
