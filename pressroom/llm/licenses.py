@@ -2,13 +2,15 @@
 
 A notice that may hold up to k edits is cut into k + 1 pieces; at least one of them stands in the text
 unchanged. An Aho-Corasick automaton over all pieces of all notices finds those seeds in one pass. Each
-seed gives the only place where its notice can stand, and there the regex library matches the notice
-with at most k insertions, deletions and substitutions and reports the span.
+seed tells where its notice can start, up to k characters. Starts within 2k of each other share a window,
+too short for two notices. The edit table of the window gives the fewest edits; when these are at most k, the
+regex library matches the notice with as many insertions, deletions and substitutions and reports the span.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -43,9 +45,36 @@ def allowed_edits(notice: str, share: float) -> int:
     return max(1, int(len(notice) * share))
 
 
+def letter_masks(notice: str) -> dict[str, int]:
+    """For each letter, the bits of the places where it stands."""
+    masks: dict[str, int] = {}
+    for place, letter in enumerate(notice):
+        masks[letter] = masks.get(letter, 0) | 1 << place
+    return masks
+
+
+def fewest_edits(window: str, masks: dict[str, int], size: int) -> int:
+    """The fewest edits that turn some stretch of ``window`` into the notice of ``size`` letters.
+
+    A column of the edit table is held as two numbers, one bit per letter, for steps up and steps down.
+    """
+    every, last = (1 << size) - 1, 1 << (size - 1)
+    up, down, edits, best = every, 0, size, size
+    for letter in window:
+        same = masks.get(letter, 0)
+        equal = (((same & up) + up) ^ up) | same | down
+        rise, fall = (down | ~(equal | up)) & every, up & equal
+        edits += bool(rise & last) - bool(fall & last)
+        best = min(best, edits)
+        rise, fall = (rise << 1) & every, (fall << 1) & every
+        moved = same | down
+        up, down = (fall | ~(moved | rise)) & every, rise & moved
+    return best
+
+
 @lru_cache(maxsize=4)
 def automaton(share: float):
-    """(Aho-Corasick automaton of all seeds, compiled fuzzy pattern of each notice)."""
+    """(Aho-Corasick automaton of all seeds; of each notice its pattern per number of edits, and its letters)."""
     import ahocorasick
     import regex
 
@@ -53,7 +82,8 @@ def automaton(share: float):
     patterns = []
     for number, (notice, label) in enumerate(NOTICES.items()):
         edits = allowed_edits(notice, share)
-        patterns.append((regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}"), edits, len(notice), label))
+        exact = [regex.compile(f"(?:{regex.escape(notice)}){{e<={most}}}") for most in range(edits + 1)]
+        patterns.append((exact, edits, len(notice), label, letter_masks(notice)))
         cuts = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
         for low, high in zip(cuts, cuts[1:]):
             seeds.setdefault(notice[low:high], []).append((number, low))
@@ -77,33 +107,41 @@ def places_of(lower: str) -> list[int]:
     return places
 
 
+def close_runs(places: list[int], width: int) -> list[tuple[int, int]]:
+    """First and last of each run of ascending places, none wider than ``width``."""
+    runs: list[tuple[int, int]] = []
+    for place in places:
+        if runs and place - runs[-1][0] <= width:
+            runs[-1] = runs[-1][0], place
+        else:
+            runs.append((place, place))
+    return runs
+
+
 def fuzzy_spans(lower: str, share: float) -> list[tuple[int, int, str, int]]:
     """(start, end, label, edits) of every notice found in lower-case text; of overlapping finds of one label the closest stays."""
     machine, patterns = automaton(share)
     plain = GAP.sub(" ", lower)
-    windows: dict[int, list[list[int]]] = {}
+    starts: dict[int, set[int]] = {}
     for last, (length, uses) in machine.iter(plain):
         for number, offset in uses:
-            _, edits, size, _ = patterns[number]
-            start = last - length + 1 - offset
-            low, high = max(0, start - edits), min(len(plain), start + size + edits)
-            known = windows.setdefault(number, [])
-            if known and low <= known[-1][1]:
-                known[-1][1] = max(known[-1][1], high)
-                known[-1][0] = min(known[-1][0], low)
-            else:
-                known.append([low, high])
+            starts.setdefault(number, set()).add(last - length + 1 - offset)
     found = []
-    for number, stretches in windows.items():
-        pattern, _, size, label = patterns[number]
-        for low, high in stretches:
-            at = low
-            while at < high and (match := pattern.search(plain, at, high)):
-                found.append((match.start(), match.end(), label, sum(match.fuzzy_counts), size))
-                at = max(match.end(), match.start() + 1)
+    for number, places in starts.items():
+        exact, edits, size, label, masks = patterns[number]
+        for first, final in close_runs(sorted(places), 2 * edits):
+            low, high = max(0, first - edits), min(len(plain), final + size + edits)
+            for most in range(fewest_edits(plain[low:high], masks, size), edits + 1):
+                if match := exact[most].search(plain, low, high):
+                    found.append((match.start(), match.end(), label, sum(match.fuzzy_counts), size))
+                    break
     kept: list[tuple] = []
+    held: dict[str, list[tuple[int, int]]] = {}
     for item in sorted(found, key=lambda f: (f[3] / f[4], f[0], f[1], f[2])):
-        if not any(k[2] == item[2] and k[0] < item[1] and item[0] < k[1] for k in kept):
+        same = held.setdefault(item[2], [])
+        at = bisect_left(same, item[:2])
+        if (at == 0 or same[at - 1][1] <= item[0]) and (at == len(same) or item[1] <= same[at][0]):
+            same.insert(at, item[:2])
             kept.append(item)
     if kept and len(plain) != len(lower):
         places = places_of(lower)

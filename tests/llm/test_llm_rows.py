@@ -177,6 +177,32 @@ def test_fuzzy_search_equals_search_without_seeds():
             assert (label in [s[2] for s in licenses.fuzzy_spans(text, 0.08)]) == hit or not hit
 
 
+def test_neighbouring_notices_are_each_found():
+    near, exact = "released undr the mit license", "released under the mit license"
+    assert licenses.fuzzy_spans(f"{near} {exact}", 0.08) == [(0, 29, "mit", 1), (30, 60, "mit", 0)]
+    text = "\n".join([exact, near] * 200)
+    spans = licenses.fuzzy_spans(text, 0.08)
+    assert [text[a:b] for a, b, _, _ in spans] == [exact, near] * 200
+
+
+def test_fewest_edits_equals_the_whole_table():
+    def table(window, notice):
+        column = list(range(len(notice) + 1))
+        best = column[-1]
+        for letter in window:
+            beside = [0]
+            for i, wanted in enumerate(notice, 1):
+                beside.append(min(column[i - 1] + (wanted != letter), column[i] + 1, beside[i - 1] + 1))
+            column, best = beside, min(best, beside[-1])
+        return best
+
+    rng = random.Random(3)
+    for _ in range(1000):
+        notice = "".join(rng.choices("abc", k=rng.randint(1, 12)))
+        window = "".join(rng.choices("abcd", k=rng.randint(0, 25)))
+        assert licenses.fewest_edits(window, licenses.letter_masks(notice), len(notice)) == table(window, notice)
+
+
 def test_licenses_of_odd_rows(spark):
     got = run(licenses.license_scan(edge.documents(spark)))
     want = Counter((r[0], *plain_license(r[1] or "")) for r in edge.rows())
