@@ -15,6 +15,7 @@ names 2,081 values per fingerprint, and makes as many links at most, whatever th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -128,12 +129,16 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD, key: str = "doc_id", te
     return joined.select(key, "fp", component)
 
 
-def one_of_each(docs: DataFrame, crowd: int = CROWD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, crowd: int = CROWD, key: str = "doc_id", text: str = "text",
+    grouped: Callable[[DataFrame, str, str], DataFrame] | None = None,
+) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of its component, one row each, with all columns.
 
-    Of rows with the same key, the one with the smallest text stays. Rows without a key all stay.
+    ``grouped`` gives key and component_id of the rows of a table, by default ``near_duplicates``.
+    Rows without a key all stay.
     """
-    found = near_duplicates(docs, crowd, key, text)
+    found = grouped(docs.where(F.col(key).isNotNull()), key, text) if grouped else near_duplicates(docs, crowd, key, text)
     keepers = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     keyed = whole.where(F.col("row")[key].isNotNull()).select("row", F.col("row")[key].alias("_kept"))
