@@ -4,7 +4,7 @@ Three patterns give the base spans. Beyond them, a long run of key characters th
 sensitive word is a candidate. Its novelty is the number of bytes it adds when the code around it is
 compressed with a dictionary of identifiers: names that the dictionary or the surroundings know add
 little, random strings add nearly all their information. Candidates that add at least
-``min_bits`` bits per character and mix letters and digits are reported as kind ``novel``.
+``min_bits`` bits per character and mix letters with digits or cases are reported as kind ``novel``.
 """
 
 from __future__ import annotations
@@ -51,7 +51,11 @@ IDENTIFIERS = (
     "temporary testing thread timeout timestamp token transaction transform update upload user username validate "
     "value variable version volume webhook widget window worker workflow wrapper writer example placeholder changeme"
 )
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=.-])")
+# Runs of key characters, with dots inside but not at their ends.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=.-]{20})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+CANDIDATE_CHARS = 20
+#: What letters of one case, capitalised words and numbers do not have: letters with digits, or capitals inside a word.
+MIXED = re.compile(r"[a-z][A-Z]|[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
 #: Characters between a sensitive word and the candidate; characters of code on either side.
 REACH, AROUND = 48, 256
 #: Longest stretch of one candidate that is compressed at once; longer ones are measured piece by piece.
@@ -63,6 +67,7 @@ def compressor():
     import zstandard
 
     variants = [IDENTIFIERS, IDENTIFIERS.replace(" ", "_"), IDENTIFIERS.upper().replace(" ", "_")]
+    variants += [IDENTIFIERS.replace(" ", "."), IDENTIFIERS.title().replace(" ", "")]
     primed = zstandard.ZstdCompressionDict("\n".join(variants).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False)
 
@@ -98,9 +103,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], min_bits: float) ->
             i += 1
         if any(a < end and start < b for a, b, _ in base[i : i + 1]):
             continue
-        value = match[0]
-        digits = sum(c.isdigit() for c in value)
-        if digits < 3 or digits == len(value) or not SENSITIVE.search(text, max(0, start - REACH), start):
+        if end - start < CANDIDATE_CHARS or not SENSITIVE.search(text, max(0, start - REACH), start) or not MIXED.search(match[0]):
             continue
         if novelty(text, start, end) >= min_bits:
             found.append((start, end, "novel"))
