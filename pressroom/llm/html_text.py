@@ -43,6 +43,9 @@ GOOD_NAMES = re.compile(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>|<[A-Za-z/!?][^>]*\Z|[^<]+|<", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: Names that tell what a page has or lacks, and headers, which an article may have.
+MODIFIERS = re.compile(r"(?<![\w-])(?:has|no|with|without)[_-]\S+", re.I)
+HEADERS = re.compile(r"(?<![A-Za-z0-9])header(?![A-Za-z0-9])", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "heading")
@@ -85,6 +88,7 @@ class Block:
     article: bool
     furniture: bool
     heading: bool
+    around: tuple = ()  # open elements that are furniture, or articles
     words: int = field(init=False)
 
     def __post_init__(self) -> None:
@@ -95,6 +99,17 @@ class Block:
         return min(1.0, self.linked / self.words)
 
 
+@dataclass(eq=False)
+class Mark:
+    """An element that is furniture or an article, and what it turned out to hold."""
+
+    bad: bool
+    main: bool
+    within: bool  # inside an article element
+    words: int = 0  # unlinked ones
+    holds: bool = False  # the page's largest article
+
+
 @dataclass
 class Open:
     """An open element: what it makes of the text inside it."""
@@ -105,6 +120,7 @@ class Open:
     furniture: bool = False
     hidden: bool = False
     heading: bool = False
+    around: tuple = ()
 
 
 def opened(tag: str, attributes: str, outer: Open) -> Open:
@@ -113,7 +129,9 @@ def opened(tag: str, attributes: str, outer: Open) -> Open:
     inner = tag == "article" and outer.within
     bad = inner or (tag in FURNITURE and not (tag == "header" and outer.within))
     if names and tag not in ("html", "body", "main", "article"):
-        bad = bad or BAD_NAMES.search(names) is not None
+        said = MODIFIERS.sub(" ", names)
+        bad = bad or BAD_NAMES.search(HEADERS.sub(" ", said) if outer.within else said) is not None
+    mark = Mark(bad, tag in MAIN and not outer.within, outer.within)
     return Open(
         tag,
         outer.within or tag == "article",
@@ -121,9 +139,30 @@ def opened(tag: str, attributes: str, outer: Open) -> Open:
         outer.furniture or bad,
         outer.hidden or tag in UNSHOWN or bool(attributes and HIDDEN.search(attributes)),
         outer.heading or re.fullmatch("h[1-6]", tag) is not None,
+        (*outer.around, mark) if mark.bad or mark.main else outer.around,
     )
 
 
+def settle(blocks: list[Block]) -> list[Block]:
+    """Furniture of each block, now that all are known: an element that holds the page's largest article, or most
+    of its unlinked words, is not furniture as a whole, unless it stands in an article. An article counts for this
+    when it has more words than stand free of furniture, so comments below a text are none."""
+    total = 0
+    for b in blocks:
+        own = max(0, b.words - b.linked)
+        total += own
+        for mark in b.around:
+            mark.words += own
+    mains = [(m.words, b.around[:i]) for b in blocks for i, m in enumerate(b.around) if m.main and not any(x.within for x in b.around[:i])]
+    free = sum(max(0, b.words - b.linked) for b in blocks if not any(m.bad for m in b.around))
+    words, above = max(mains, key=lambda found: found[0], default=(0, ()))
+    for mark in above:
+        mark.holds = words > free
+    for b in blocks:
+        b.furniture = any(m.bad and (m.within or not (m.holds or 2 * m.words > total)) for m in b.around)
+    return blocks
+
+
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     found: list[Block] = []
@@ -138,7 +177,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 top = stack[-1] if stack else Open()
                 words = len(html.unescape(" ".join(linked)).split())
-                found.append(Block(text, words, top.article, top.furniture, top.heading))
+                found.append(Block(text, words, top.article, top.furniture, top.heading, top.around))
             parts.clear()
             linked.clear()
 
@@ -190,7 +229,7 @@ def blocks_of(page: str) -> list[Block]:
             at = end.end() if end else size
             close(len(stack) - 1)
     flush()
-    return found
+    return settle(found)
 
 
 def feature_rows(blocks: list[Block]) -> list[tuple]:
