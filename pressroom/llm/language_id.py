@@ -150,9 +150,7 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     runs, n = scores.shape
     totals = scores.sum(axis=0)
     best = int(totals.argmax())
-    gains = np.zeros((runs + 1, n))
-    np.cumsum(scores - scores[:, best : best + 1], axis=0, out=gains[1:])
-    if (gains - np.minimum.accumulate(gains, axis=0)).max() < penalty:
+    if scores.max(axis=1).sum() - totals[best] < penalty:  # what any path could gain by changes
         return np.full(runs, best)
     here, back = scores[0].copy(), np.empty((runs, n), dtype=np.int16)
     stay = np.arange(n)
