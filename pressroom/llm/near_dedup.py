@@ -133,15 +133,18 @@ def one_of_each(
     docs: DataFrame, crowd: int = CROWD, key: str = "doc_id", text: str = "text",
     grouped: Callable[[DataFrame, str, str], DataFrame] | None = None,
 ) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its component, one row each, with all columns.
+    """One row of ``docs`` for each component, with all columns: the one of the smallest key, then of the smallest digest.
 
-    ``grouped`` gives key and component_id of the rows of a table, by default ``near_duplicates``.
-    Rows without a key all stay.
+    ``grouped`` gives key and component_id of the rows of a table, by default ``near_duplicates``. Keys are taken
+    together with their texts, so rows that share a key are judged each by its own text. Rows without a key all stay.
     """
-    found = grouped(docs.where(F.col(key).isNotNull()), key, text) if grouped else near_duplicates(docs, crowd, key, text)
-    keepers = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    keyed = docs.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), digest.alias("digest")).alias("_both"), F.col(text).alias("_text"))
+    found = grouped(keyed, "_both", "_text") if grouped else near_duplicates(keyed, crowd, "_both", "_text")
+    keepers = found.where("_both = component_id").select(F.col("_both.key").alias("_key"), F.col("_both.digest").alias("_digest")).distinct()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    keyed = whole.where(F.col("row")[key].isNotNull()).select("row", F.col("row")[key].alias("_kept"))
-    kept = keyed.join(keepers, "_kept", "left_semi")
-    single = first_rows(kept, ["_kept"], [F.col("row")[text]], 1, "_rank").select("row.*")
+    marked = whole.where(F.col("row")[key].isNotNull())
+    marked = marked.select("row", F.col("row")[key].alias("_key"), F.md5(F.coalesce(F.col("row")[text], F.lit(""))).alias("_digest"))
+    kept = marked.join(keepers, ["_key", "_digest"], "left_semi")
+    single = first_rows(kept, ["_key", "_digest"], [F.col("row")[text]], 1, "_rank").select("row.*")
     return single.unionByName(whole.where(F.col("row")[key].isNull()).select("row.*"))

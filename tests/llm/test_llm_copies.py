@@ -45,3 +45,10 @@ def test_groups_of_near_copies_are_connected(spark):
 def test_similarity():
     assert near_copies.similarity("a b c d e f", "A b c d\ne g") == pytest.approx(1 / 3)
     assert near_copies.similarity("", " ") == 1 and near_copies.similarity("", "a") == 0
+
+
+@pytest.mark.parametrize("grouped", [None, near_copies.near_copies])
+def test_rows_that_share_a_key_are_judged_by_their_texts(spark, grouped):
+    a, b = "a stone bridge over the quiet river", "something else that is like no other text"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in near_dedup.one_of_each(docs, grouped=grouped).collect()) == [(3, a), (5, b)]
