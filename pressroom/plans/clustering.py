@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
-from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressroom.plans import mixtures
+from pressroom.plans.mixtures import Mixture, bic, parameter_count
+
+__all__ = ["Components", "MixtureChoice", "choose_mixture", "fit_components", "labelled", "parameter_count", "principal_components", "standardised"]
+
 VARIANCE_TO_KEEP = 0.80
 CLUSTER_COUNTS = tuple(range(8, 15))
 RESTARTS = (5, 8, 10)
@@ -62,32 +64,71 @@ def feature_covariances(scaled: DataFrame, features: Sequence[str]) -> DataFrame
     return means.select(F.get(names, F.col("a")).alias("feature_a"), F.get(names, F.col("b")).alias("feature_b"), "covariance")
 
 
+@dataclass(frozen=True)
+class Components:
+    """Principal components: loadings (features x components) and the share of the variance of each component, all of them.
+
+    Components go by falling variance. Their sign is fixed: the loading of largest size is positive, of (nearly) equal ones
+    the first feature's, so that two fits can be compared.
+    """
+
+    features: tuple[str, ...]
+    loadings: np.ndarray
+    shares: np.ndarray
+
+    def needed(self, keep: float) -> int:
+        """The fewest leading components whose share of the variance exceeds ``keep``."""
+        return min(int((self.shares.cumsum() <= keep).sum()) + 1, len(self.features))
+
+    def projected(self, k: int) -> Column:
+        """The first ``k`` components of a row of scaled features, as array<double>."""
+
+        def along(loading: np.ndarray) -> Column:
+            terms = [F.col(f"`{f}`") * float(weight) for f, weight in zip(self.features, loading)]
+            return sum(terms[1:], terms[0])
+
+        return F.array(*[along(self.loadings[:, i]) for i in range(k)])
+
+    def report(self, spark: SparkSession, keep: float) -> DataFrame:
+        """``component`` (from 1), ``share``, ``cumulative``, ``kept`` and the strongest feature of every component."""
+        total, k = self.shares.cumsum(), self.needed(keep)
+        strongest = [self.features[i] for i in np.abs(self.loadings).argmax(axis=0)]
+        rows = [(i + 1, float(s), float(t), i < k, f) for i, (s, t, f) in enumerate(zip(self.shares, total, strongest))]
+        return spark.createDataFrame(rows, "component int, share double, cumulative double, kept boolean, strongest string")
+
+
+def signed(loadings: np.ndarray) -> np.ndarray:
+    sizes = np.abs(loadings)
+    first = (sizes >= sizes.max(axis=0) * (1 - 1e-6)).argmax(axis=0)
+    return loadings * np.where(loadings[first, np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
+
+
+def fit_components(scaled: DataFrame, features: Sequence[str]) -> Components:
+    assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(scaled)
+    model = PCA(k=len(features), inputCol="_features", outputCol="_all").fit(assembled)
+    return Components(tuple(features), signed(model.pc.toArray()), model.explainedVariance.toArray())
+
+
 def principal_components(
     scaled: DataFrame, features: Sequence[str], keep: float = VARIANCE_TO_KEEP, output: str = "components"
 ) -> DataFrame:
     """Add the fewest leading components whose share of the variance exceeds ``keep``."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(scaled)
-    model = PCA(k=len(features), inputCol="_features", outputCol="_all").fit(assembled)
-    shares = model.explainedVariance.toArray().cumsum()
-    k = min(int((shares <= keep).sum()) + 1, len(features))
-    slicer = VectorSlicer(inputCol="_all", outputCol=output, indices=list(range(k)))
-    return slicer.transform(model.transform(assembled)).drop("_features", "_all", *features)
+    fitted = fit_components(scaled, features)
+    kept = [F.col(f"`{c}`") for c in scaled.columns if c not in features]
+    return scaled.select(*kept, array_to_vector(fitted.projected(fitted.needed(keep))).alias(output))
 
 
 @dataclass
 class MixtureChoice:
     """The chosen mixture, and the BIC of every setting as ``(k, restarts, bic)``."""
 
-    model: GaussianMixtureModel
+    model: Mixture
     k: int
+    restarts: int
     bic: float
     grid: list[tuple[int, int, float]]
 
 
-def parameter_count(k: int, d: int) -> int:
-    return (k - 1) + k * d + k * d * (d + 1) // 2
-
-
 def choose_mixture(
     df: DataFrame,
     column: str = "components",
@@ -95,61 +136,34 @@ def choose_mixture(
     restarts: Sequence[int] = RESTARTS,
     max_iter: int = 100,
     first_seed: int = 42,
-    at_once: int = 8,
     tolerance: float = TOLERANCE,
 ) -> MixtureChoice:
-    """Fit a grid of Gaussian mixtures and keep the one with the smallest BIC, of ties the smaller k.
-
-    The best of n restarts uses the first n seeds, so one fit per k and seed covers every restart
-    setting. Every k and seed is fitted, whatever the number of rows, and has its BIC in the grid. Fits in
-    which every component holds more rows than it has dimensions plus one are preferred; where there is
-    none, as with very few rows, the smallest BIC of all decides. A fit that the library cannot make
-    (a component without any spread) is left out of the grid; when all fail, the reasons are raised.
-    ``tolerance`` is per row, so a table ten times as long converges after as many iterations.
-    Pass a frame whose lineage is cut; every fit reads it several times, ``at_once`` fits at a time.
+    """Fit a grid of Gaussian mixtures and keep the one with the smallest BIC, of ties the smaller k, then the fewer restarts.
+
+    The best of n restarts uses the first n seeds, so one fit per k and seed covers every restart setting. All fits run in the
+    same passes over ``df``. Every covariance has a floor on its diagonal, so every setting can be fitted, whatever the number of
+    rows. ``tolerance`` is per row. Pass a frame whose lineage is cut; it is read once per pass.
     """
-    first = df.select(column).first()
-    if first is None:
-        raise ValueError("no rows to cluster")
-    n, d = df.count(), len(first[0])
-    grid: list[tuple[int, int, float]] = []
-    failures: list[str] = []
-    best: dict[bool, MixtureChoice] = {}
-
-    def fit(setting: tuple[int, int]) -> GaussianMixtureModel | str:
-        k, seed = setting
-        try:
-            return GaussianMixture(k=k, featuresCol=column, maxIter=max_iter, tol=tolerance * n, seed=seed).fit(df)
-        except (Py4JJavaError, PySparkException) as error:
-            return f"k={k}, seed={seed}: {str(error).splitlines()[0]}"
-
-    settings = [(k, first_seed + attempt) for k in sorted(cluster_counts) for attempt in range(max(restarts))]
-    with ThreadPoolExecutor(at_once) as pool:
-        results = dict(zip(settings, pool.map(fit, settings)))
+    kind = dict(df.dtypes)[column]
+    values = F.col(column) if kind.startswith("array") else vector_to_array(column)
+    table = mixtures.rows_for(df, values)
+    seeds = [first_seed + attempt for attempt in range(max(restarts))]
+    fitted = mixtures.fit_grid(table, [(k, seed) for k in sorted(cluster_counts) for seed in seeds], max_iter, tolerance)
+    n = table.count()
+    grid, best = [], None
     for k in sorted(cluster_counts):
-        fitted: dict[bool, GaussianMixtureModel] = {}
-        for attempt in range(max(restarts)):
-            model = results[k, first_seed + attempt]
-            if isinstance(model, str):
-                failures.append(model)
-                continue
-            sound = min(model.weights) * n > d + 1
-            for group in {sound, False}:
-                if group not in fitted or model.summary.logLikelihood > fitted[group].summary.logLikelihood:
-                    fitted[group] = model
-            if attempt + 1 in restarts:
-                for group, model in fitted.items():
-                    bic = -2 * model.summary.logLikelihood + parameter_count(k, d) * math.log(n)
-                    if group is False:
-                        grid.append((k, attempt + 1, bic))
-                    if group not in best or bic < best[group].bic:
-                        best[group] = MixtureChoice(model, k, bic, grid)
-    if not best:
-        raise RuntimeError("no mixture could be fitted: " + "; ".join(failures))
-    return best.get(True) or best[False]
-
-
-def labelled(df: DataFrame, choice: MixtureChoice, column: str = "components") -> DataFrame:
-    """Add the cluster ``label`` of each row."""
-    predicted = choice.model.setPredictionCol("label").setProbabilityCol("_probability").transform(df)
-    return predicted.withColumn("label", F.col("label").cast("int")).drop("_probability", column)
+        for tried in sorted(restarts):
+            model = max((fitted[k, seed] for seed in seeds[:tried]), key=lambda m: m.log_likelihood)
+            found = bic(model.log_likelihood, k, model.means.shape[1], n)
+            grid.append((k, tried, found))
+            if best is None or found < best.bic:
+                best = MixtureChoice(model, k, tried, found, grid)
+    return best
+
+
+def labelled(df: DataFrame, choice: MixtureChoice | Mixture, column: str = "components") -> DataFrame:
+    """Add the cluster ``label`` of each row, and drop the components."""
+    model = choice if isinstance(choice, Mixture) else choice.model
+    kind = dict(df.dtypes)[column]
+    values = F.col(column) if kind.startswith("array") else vector_to_array(column)
+    return df.withColumn("label", mixtures.label(model, values)).drop(column)

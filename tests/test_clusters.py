@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pressroom import schemas
-from pressroom.plans import clustering, summaries
+from pressroom.plans import clustering, mixtures, summaries
 from pressroom.session import cut_lineage
 
 
@@ -39,12 +39,25 @@ def test_components_match_the_eigenvectors(blobs, keep):
     order = np.argsort(values)[::-1]
     shares = np.cumsum(values[order]) / values.sum()
     k = int((shares <= keep).sum()) + 1
-    projected = scaled @ vectors[:, order[:k]]
     frame = clustering.principal_components(clustering.standardised(table, features), features, keep)
     got = {r["user_id"]: r["v"] for r in frame.select("user_id", vector_to_array("components").alias("v")).collect()}
     mine = np.array([got[i] for i in range(len(points))])
-    assert mine.shape == projected.shape
-    assert np.abs(mine) == pytest.approx(np.abs(projected), abs=1e-6)
+    assert mine.shape == (len(points), k)
+    loadings = vectors[:, order]
+    loadings = loadings * np.sign(loadings[np.abs(loadings).argmax(axis=0), range(4)])
+    assert mine == pytest.approx(scaled @ loadings[:, :k], abs=1e-6)
+
+
+def test_components_are_the_same_under_any_partitioning(blobs):
+    _, table = blobs
+    features = ["a", "b", "c", "d"]
+    scaled = [clustering.standardised(table.repartition(n), features) for n in (1, 64)]
+    fitted = [clustering.fit_components(s, features) for s in scaled]
+    assert fitted[0].loadings == pytest.approx(fitted[1].loadings, abs=1e-9)
+    assert all(c[np.abs(c).argmax()] > 0 for c in fitted[0].loadings.T)
+    report = fitted[0].report(table.sparkSession, 0.8).collect()
+    assert [r["component"] for r in report] == [1, 2, 3, 4] and report[-1]["cumulative"] == pytest.approx(1)
+    assert sum(r["share"] for r in report if r["kept"]) > 0.8 and [r["kept"] for r in report] == sorted((r["kept"] for r in report), reverse=True)
 
 
 def test_planted_clusters_are_found(blobs):
@@ -53,7 +66,7 @@ def test_planted_clusters_are_found(blobs):
     frame = cut_lineage(clustering.principal_components(clustering.standardised(table, features), features, 0.9))
     choice = clustering.choose_mixture(frame, cluster_counts=(2, 3, 4), restarts=(1, 2), max_iter=50)
     assert choice.k == 3
-    assert sum(choice.model.weights) == pytest.approx(1)
+    assert sum(choice.model.weights) == pytest.approx(1) and choice.model.converged
     assert choice.bic == min(b for _, _, b in choice.grid)
     # More restarts never give a worse fit.
     by_k = {}
@@ -68,14 +81,102 @@ def test_planted_clusters_are_found(blobs):
     got = {r["user_id"]: r["v"] for r in frame.select("user_id", vector_to_array("components").alias("v")).collect()}
     x = np.array([got[i] for i in range(300)])
     d = x.shape[1]
-    density = np.zeros(300)
-    for weight, gaussian in zip(choice.model.weights, choice.model.gaussiansDF.collect()):
-        centred = x - gaussian["mean"].toArray()
-        cov = gaussian["cov"].toArray()
-        power = -0.5 * np.einsum("ij,jk,ik->i", centred, np.linalg.inv(cov), centred)
-        density += weight * np.exp(power) / math.sqrt((2 * math.pi) ** d * np.linalg.det(cov))
+    total = log_density(x, choice.model)
     free = 2 + 3 * d + 3 * d * (d + 1) // 2
-    assert choice.bic == pytest.approx(-2 * np.log(density).sum() + free * math.log(300), rel=1e-3)
+    assert choice.bic == pytest.approx(-2 * total + free * math.log(300), rel=1e-9)
+
+
+def log_density(x, model):
+    density = np.zeros(len(x))
+    for weight, mean, cov in zip(model.weights, model.means, model.covariances):
+        centred = x - mean
+        power = -0.5 * np.einsum("ij,jk,ik->i", centred, np.linalg.inv(cov), centred)
+        density += weight * np.exp(power) / math.sqrt((2 * math.pi) ** x.shape[1] * np.linalg.det(cov))
+    return np.log(density).sum()
+
+
+def plain_steps(x, model, passes, tolerance, floor=1e-6):
+    """Expectation-maximisation in whole matrices, from the given start: log-likelihood after each pass."""
+    weights, means, covs, told = model.weights, model.means, model.covariances, []
+    for turn in range(passes):
+        logs = []
+        for w, m, c in zip(weights, means, covs):
+            centred = x - m
+            logs.append(math.log(w) - 0.5 * (np.linalg.slogdet(2 * math.pi * c)[1] + np.einsum("ij,jk,ik->i", centred, np.linalg.inv(c), centred)))
+        logs = np.array(logs).T
+        top = logs.max(axis=1, keepdims=True)
+        share = np.exp(logs - top)
+        told.append(float((top[:, 0] + np.log(share.sum(axis=1))).sum()))
+        if turn and abs(told[-1] - told[-2]) < tolerance * len(x) or turn + 1 == passes:
+            return told, weights, means, covs
+        share /= share.sum(axis=1, keepdims=True)
+        held = share.sum(axis=0)
+        means = share.T @ x / held[:, None]
+        covs = np.array([(s[:, None] * (x - m)).T @ (x - m) / h for s, m, h in zip(share.T, means, held)]) + floor * np.eye(x.shape[1])
+        weights = held / held.sum()
+
+
+@pytest.fixture(scope="module")
+def points_table(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, s, size=(150, 3)) for c, s in (((0, 0, 0), 1.0), ((3, 1, 0), 0.5), ((0, 4, 4), 1.5))])
+    return x, spark.createDataFrame([(p.tolist(),) for p in x], "values array<double>")
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_passes_are_those_of_plain_matrices(points_table, parts):
+    """Every fit of the grid equals one made alone, from the same k-means start; the grid's likelihoods are the densities' own."""
+    x, table = points_table
+    rows = mixtures.rows_for(table.repartition(parts), F.col("values"))
+    settings = [(2, 1), (3, 1), (3, 2)]
+    start = mixtures.fit_grid(rows, settings, max_iter=1)
+    done = mixtures.fit_grid(rows, settings, max_iter=40, tolerance=1e-4)
+    for setting in settings:
+        told, weights, means, covs = plain_steps(x, start[setting], 40, 1e-4)
+        model = done[setting]
+        assert model.passes == len(told) and start[setting].log_likelihood == pytest.approx(told[0])
+        assert model.log_likelihood == pytest.approx(told[-1], rel=1e-9) == pytest.approx(log_density(x, model), rel=1e-9)
+        assert model.means == pytest.approx(means, abs=1e-6) and model.covariances == pytest.approx(covs, abs=1e-6)
+        assert told == sorted(told)
+    labels = done[3, 1].predict(x)
+    assert labels.tolist() == [int(np.argmax([log_density(p[None], Mixture1(done[3, 1], i)) for i in range(3)])) for p in x]
+
+
+def Mixture1(model, i):
+    return mixtures.Mixture(model.weights[i : i + 1], model.means[i : i + 1], model.covariances[i : i + 1])
+
+
+def test_start_is_the_same_under_any_partitioning(points_table):
+    _, table = points_table
+    rows = [mixtures.rows_for(table.repartition(n), F.col("values")) for n in (1, 7)]
+    one, many = [mixtures.first_centres(r, [1, 2], 4, 3) for r in rows]
+    assert all((one[s] == many[s]).all() for s in one) and not (one[1] == one[2]).all()
+    assert len({tuple(c) for c in one[1]}) == 4
+
+
+def test_reads_do_not_grow_with_the_grid(points_table, monkeypatch):
+    _, table = points_table
+    rows, reads = mixtures.rows_for(table, F.col("values")), []
+    plain = mixtures.one_pass
+    monkeypatch.setattr(mixtures, "one_pass", lambda *a: reads.append(len(a[1])) or plain(*a))
+    mixtures.fit_grid(rows, [(k, seed) for k in (2, 3, 4) for seed in range(4)], max_iter=6, tolerance=0)
+    assert max(reads) == 12 and len(reads) <= 11 + 6
+
+
+def test_collapsed_components_keep_the_floor(spark):
+    """Equal rows give a component without spread; more components than rows are fitted all the same."""
+    rows = spark.createDataFrame([([1.0, 2.0],)] * 30 + [([float(i), -float(i)],) for i in range(3)], "values array<double>")
+    fitted = mixtures.fit_grid(mixtures.rows_for(rows, F.col("values")), [(2, 1), (6, 1)], max_iter=20)
+    for model in fitted.values():
+        assert np.isfinite(model.log_likelihood) and np.linalg.eigvalsh(model.covariances).min() >= 0.99e-6
+        assert model.weights.sum() == pytest.approx(1)
+
+
+def test_stored_mixture_labels_alike(spark, points_table):
+    x, table = points_table
+    model = mixtures.fit_grid(mixtures.rows_for(table, F.col("values")), [(3, 1)])[3, 1]
+    back = mixtures.from_table(cut_lineage(mixtures.as_table(spark, model)))
+    assert (back.predict(x) == model.predict(x)).all() and (back.covariances == model.covariances).all()
 
 
 def test_every_mixture_is_fitted_however_few_the_rows(blobs):
@@ -84,7 +185,7 @@ def test_every_mixture_is_fitted_however_few_the_rows(blobs):
     few = cut_lineage(clustering.principal_components(clustering.standardised(table.limit(12), features), features))
     choice = clustering.choose_mixture(few, cluster_counts=(2, 3), restarts=(1, 2), max_iter=5)
     assert [(k, n) for k, n, _ in choice.grid] == [(2, 1), (2, 2), (3, 1), (3, 2)]
-    assert choice.bic == min(bic for _, _, bic in choice.grid)
+    assert choice.bic == min(bic for _, _, bic in choice.grid) and (choice.k, choice.restarts, choice.bic) in choice.grid
     with pytest.raises(ValueError):
         clustering.choose_mixture(few.limit(0))
 

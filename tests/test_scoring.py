@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from datetime import timedelta
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from test_features import DAY, behaviors, history
 
 from pressroom.plans import features, ranker, scoring
+from pressroom.session import cut_lineage
 from pressroom.sources.tables import long_history
 
 DIMS = 5
@@ -132,3 +134,65 @@ def test_click_features(spark, data):
     )
     for row in rows.collect():
         assert row["premium"] == (row["article_id"] % 2 if row["article_id"] < 20 else 0)
+
+
+def plain_newton(x, y, beta, reg_param):
+    penalty = np.append(np.full(x.shape[1] - 1, reg_param), 0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta = beta - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(penalty), x.T @ (p - y) / len(x) + penalty * beta)
+    return beta
+
+
+def test_path_is_the_one_of_a_plain_search(spark):
+    """Every state, its AUC, where the path ends and which state is kept equal a search with matrices."""
+    rng = np.random.default_rng(4)
+    train, check = rng.normal(size=(60, 4)), rng.normal(size=(600, 4))  # few rows, so that weak penalties overfit
+    planted = np.array([1.0, 0.0, 0.0, 0.0])
+    y = (rng.random(60) < 1 / (1 + np.exp(-train @ planted))).astype(int)
+    z = (rng.random(600) < 1 / (1 + np.exp(-check @ planted))).astype(int)
+
+    def frame(x, labels):
+        rows = [(i // 6, "validation", i % 6, int(l), *map(float, v)) for i, (v, l) in enumerate(zip(x, labels))]
+        return spark.createDataFrame(rows, "impression_id bigint, split string, pos int, label int, " + ", ".join(f"{f} double" for f in ranker.FEATURES))
+
+    found = ranker.fit_path(frame(train, y), frame(check, z), patience=2)
+
+    def auc(scores):
+        each = []
+        for i in range(100):
+            s, label = scores[6 * i : 6 * i + 6], z[6 * i : 6 * i + 6]
+            up, down = s[label == 1], s[label == 0]
+            if len(up) and len(down):
+                each.append(((up[:, None] > down).sum() + 0.5 * (up[:, None] == down).sum()) / (len(up) * len(down)))
+        return np.mean(each)
+
+    mean, std = train.mean(0), train.std(0)
+    x = np.column_stack([(train - mean) / std, np.ones(60)])
+    beta, told, best = np.zeros(5), [], 0
+    for reg_param in ranker.REG_PATH:
+        beta = plain_newton(x, y, beta, reg_param)
+        told.append((reg_param, auc(check @ (beta[:4] / std)), beta[:4] / std))
+        best = len(told) - 1 if told[-1][1] > told[best][1] else best
+        if len(told) - 1 - best >= 2:
+            break
+    assert [s.reg_param for s in found.settings] == [r for r, _, _ in told] and found.best == best
+    assert len(told) < len(ranker.REG_PATH)
+    for s, (_, area, slopes) in zip(found.settings, told):
+        assert s.auc == pytest.approx(area, abs=1e-12) and s.weights[:4] == pytest.approx(slopes, abs=1e-6)
+    scored = {(r["impression_id"], r["pos"]): r["score"] for r in found.transform(frame(check, z)).collect()}
+    kept = found.settings[best].weights
+    assert scored[3, 2] == pytest.approx(1 / (1 + math.exp(-(check[20] @ np.array(kept[:4]) + kept[4]))))
+    back = ranker.PathModel.from_table(cut_lineage(found.as_table(spark)))
+    assert back == found
+
+
+def test_path_bears_constant_features_and_separable_rows(spark):
+    rows = [(i, "train", 0, int(i > 5), float(i), 1.0, 0.0, None if i == 3 else 2.0) for i in range(12)]
+    table = spark.createDataFrame(rows, "impression_id bigint, split string, pos int, label int, " + ", ".join(f"{f} double" for f in ranker.FEATURES))
+    one = table.withColumn("impression_id", F.lit(1).cast("bigint"))
+    found = ranker.fit_path(table, one, reg_params=(1.0, 0.0), max_passes=8)
+    assert [s.auc for s in found.settings] == [1.0, 1.0] and found.best == 0
+    assert found.settings[0].weights[1:4] == (0.0, 0.0, 0.0) and found.settings[0].weights[0] > 0
+    with pytest.raises(ValueError):
+        ranker.fit_path(table.limit(0), one)
