@@ -158,6 +158,13 @@ UNION ALL
 SELECT impression_id, user_id, split, impression_time, click, i,
        unclicked[1 + {draw('impression_id', 'click', 'i', "'123'")} % len(unclicked)], 0
 FROM clicks, range(5) t(i)""",
+    "few_drawn": f"""
+SELECT *, {draw('impression_id', 'click', 'a', "'order'", "'123'")} AS o
+FROM (SELECT *, row_number() OVER (PARTITION BY impression_id, click
+                                   ORDER BY {draw('impression_id', 'click', 'a', "'draw'", "'123'")}, a) AS place
+      FROM (SELECT impression_id, click, unnest(unclicked) AS a FROM clicks)) WHERE place <= 3
+UNION ALL
+SELECT impression_id, click, click AS a, 0 AS place, {draw('impression_id', 'click', 'click', "'order'", "'123'")} FROM clicks""",
     "samples": f"""
 SELECT impression_id, user_id, split, impression_time, click, list(article_id ORDER BY o, i) AS ids,
        list(label ORDER BY o, i) AS labels
@@ -261,6 +268,13 @@ def difference(name: str) -> str:
     return f"abs(c.{name} - g.{name}) / nullif(g.{name}, 0)"
 
 
+SPOILT = "CAST(substr(run_id, 5) AS BIGINT) % 50"
+
+
+def mapped(ids: str, values: str, name: str) -> str:
+    return joined(f"list_transform({ids}, lambda a: CAST(coalesce({values}[a], 0) AS BIGINT))", name)
+
+
 RESULT_COLUMNS = """
 run_id AS "run id", false AS "debug", 'small' AS "datasplit", 'data' AS "data path",
 'vectors.parquet' AS "document embeddings", CAST(128 AS SMALLINT) AS "bs train", CAST(128 AS SMALLINT) AS "bs test",
@@ -355,6 +369,42 @@ WHERE {draw('impression_id', "'123'")} < CAST(floor(0.3 * 4294967296) AS BIGINT)
     "negative_samples": f"""
 SELECT impression_id, click AS clicked_article_id, {joined('ids', 'article_ids_inview')}, {joined('labels', 'labels')}
 FROM samples""",
+    "list_sessions": "SELECT * FROM sessions",
+    "distinct_negative_samples": f"""
+SELECT impression_id, click AS clicked_article_id, {joined('list(a ORDER BY o, a)', 'article_ids_inview')},
+       {joined('list(CASE WHEN place = 0 THEN 1 ELSE 0 END ORDER BY o, a)', 'labels')}
+FROM few_drawn GROUP BY impression_id, click""",
+    "item_features_lists": f"""
+SELECT b.impression_id, {mapped('p.ids', 'premium', 'article_id_fixed_premium')},
+       {mapped('p.ids', 'lengths', 'article_id_fixed_article_length')},
+       {mapped('b.inview', 'premium', 'article_ids_inview_premium')},
+       {mapped('b.inview', 'lengths', 'article_ids_inview_article_length')}
+FROM behaviors b JOIN padded p ON b.user_id = p.user_id AND b.split = p.split,
+     (SELECT map(list(article_id), list(CAST(premium AS INTEGER))) AS premium,
+             map(list(article_id), list(length(body))) AS lengths FROM articles)""",
+    "loaded_split": f"""
+SELECT b.impression_id, b.user_id, b.split, {joined('p.ids', 'article_id_fixed')},
+       {joined('b.inview', 'article_ids_inview')}
+FROM behaviors b JOIN padded p ON b.user_id = p.user_id AND b.split = p.split WHERE b.split <> 'test'""",
+    "rewritten_split": f"""
+SELECT impression_id, user_id, split FROM behaviors
+WHERE split <> 'validation' OR {draw('impression_id', "'123'")} < CAST(floor(0.5 * 4294967296) AS BIGINT)""",
+    "submission_file": """
+SELECT row_number() OVER (ORDER BY impression_id) AS line,
+       impression_id || ' [' || array_to_string(list(rank ORDER BY pos), ',') || ']' AS value
+FROM ranked GROUP BY impression_id""",
+    "preprocessing_variants": """
+SELECT concat('run_', p_partkey) AS "run id",
+       CASE p_partkey % 8 WHEN 0 THEN 'Baseline' WHEN 1 THEN 'PP' WHEN 2 THEN 'RE' WHEN 3 THEN 'PP+RE' WHEN 4 THEN 'ALP'
+            WHEN 5 THEN 'PP+ALP' WHEN 6 THEN 'RE+ALP' ELSE 'PP+RE+ALP' END AS "used model"
+FROM part""",
+    "run_files_report": f"""
+SELECT CAST(CAST(substr(run_id, 5) AS BIGINT) // 100 AS VARCHAR) AS sweep, count(*) AS n_runs,
+       count(*) FILTER ({SPOILT} NOT IN (3, 7, 13, 21)) AS n_complete, count(*) FILTER ({SPOILT} = 3) AS n_no_config,
+       count(*) FILTER ({SPOILT} = 13) AS n_no_metrics, count(*) FILTER ({SPOILT} = 7) AS n_corrupt_config,
+       count(*) FILTER ({SPOILT} = 21) AS n_corrupt_metrics
+FROM runs GROUP BY ALL""",
+    "run_files_results": f"SELECT {RESULT_COLUMNS} FROM runs WHERE {SPOILT} NOT IN (3, 7, 13, 21)",
     "binary_labels": f"""
 SELECT impression_id, {joined('inview', 'article_ids_inview')},
        {joined('list_transform(inview, lambda a: CAST(list_contains(clicked, a) AS INTEGER))', 'labels')}
@@ -469,4 +519,6 @@ FROM (SELECT [{', '.join(f"CAST({standard(f)} AS DOUBLE)" for f in FEATURE_TYPES
 WHERE a <= b GROUP BY ALL""",
 }
 
+BODIES["metrics_file"] = BODIES["ranking_metrics"]
+
 ORACLE = {name: f"{PRELUDE}\n{body.strip()}" for name, body in BODIES.items()}

@@ -13,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressroom.operators.skew import HOT_ROWS, hot_keys
+from pressroom.operators.skew import HOT_ROWS, hot_keys, hottest
+from pressroom.session import cut_lineage
 
 MEDIAN_RANKS = {
     "lower": lambda n: F.floor((n + 1) / 2),
@@ -95,19 +96,29 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping
 
 
 def grouped_median(
-    df: DataFrame, key: str, value: str, alias: str, min_rows: int = HOT_ROWS
+    df: DataFrame, key: str, value: str, alias: str, min_rows: int = HOT_ROWS, counted: DataFrame | None = None
 ) -> DataFrame:
     """Exact median per key, nulls skipped; keys with null values only keep a null median.
 
     Keys of up to ``min_rows`` rows use the built-in median in one shuffle; the few larger ones are
-    taken apart by ``ranked_values``. Either way NaN ranks above all numbers, and null keys are one group,
-    which is not taken apart.
+    taken apart by ``ranked_values``. Either way NaN ranks above all numbers. Null keys are one group, taken apart like any other.
+
+    ``counted`` may have the rows of each key (``key`` and ``_rows``, null values included). The large keys are then known
+    beforehand: without any, the table is read once, and else the rows of these keys are written to the shared folder in one more read.
     """
-    rows = df.select(key, value)
-    hot = F.broadcast(hot_keys(rows, [key], min_rows).select(key, F.lit(True).alias("_hot")))
-    usual = F.when(F.col("_hot").isNull(), F.col(value))
-    medians = rows.join(hot, key, "left").groupBy(key).agg(F.median(usual).cast("double").alias("_median"))
-    ends = ranked_values(rows.join(hot, key, "left_semi"), [key], value, MEDIAN_RANKS, nan_last=True)
+    # Inside a struct a null key equals itself, in joins as well.
+    rows = df.select(F.struct(F.col(key).alias("key")).alias("_key"), F.col(value).alias("_value"))
+    if counted is None:
+        large = hot_keys(rows, ["_key"], min_rows)
+    else:
+        large = cut_lineage(hottest(counted.select(F.struct(F.col(key).alias("key")).alias("_key"), "_rows"), ["_key"], min_rows))
+        if large.isEmpty():
+            return rows.groupBy("_key").agg(F.median("_value").cast("double").alias(alias)).select(F.col("_key.key").alias(key), alias)
+    hot = F.broadcast(large.select("_key", F.lit(True).alias("_hot")))
+    usual = F.when(F.col("_hot").isNull(), F.col("_value"))
+    medians = rows.join(hot, "_key", "left").groupBy("_key").agg(F.median(usual).cast("double").alias("_median"))
+    own = rows.join(hot, "_key", "left_semi")
+    ends = ranked_values(own if counted is None else cut_lineage(own), ["_key"], "_value", MEDIAN_RANKS, nan_last=True)
     # As many rows at most as there are hot keys.
-    found = medians.join(F.broadcast(ends), key, "left")
-    return found.select(key, F.coalesce("_median", (F.col("lower") + F.col("upper")) / 2).alias(alias))
+    found = medians.join(F.broadcast(ends), "_key", "left")
+    return found.select(F.col("_key.key").alias(key), F.coalesce("_median", (F.col("lower") + F.col("upper")) / 2).alias(alias))

@@ -51,10 +51,10 @@ def ranked_predictions(scores: DataFrame) -> DataFrame:
     return with_rank(scores).groupBy("impression_id").agg(ranks.alias("ranked_scores"))
 
 
-def submission_lines(ranked: DataFrame) -> DataFrame:
-    """Text lines ``<impression id> [<rank>,<rank>,...]``."""
+def submission_lines(ranked: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Text lines ``<impression id> [<rank>,<rank>,...]``, with the columns of ``keep`` beside them."""
     line = F.concat(F.col("impression_id").cast("string"), F.lit(" ["), F.array_join("ranked_scores", ","), F.lit("]"))
-    return ranked.select(line.alias("value"))
+    return ranked.select(*keep, line.alias("value"))
 
 
 def _gain(rank: Column) -> Column:

@@ -3,6 +3,9 @@
 Each takes a session and a table folder. Lists are returned as comma-joined text and floating columns
 rounded to six digits, so that results compare across engines; the library functions return arrays
 and full precision.
+
+Tables that several queries need, the user profile, the ranker's features and the fitted models, are written to the shared
+folder by the first of them (``stored``) and read by the others of the same application.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ from pressroom.functions import arrays
 from pressroom.functions.arrays import dot
 from pressroom.functions.scalars import rounded
 from pressroom.operators import ranking, sessions
-from pressroom.plans import clustering, experiments, features, impressions, ranker, scoring, summaries
-from pressroom.session import cut_lineage
-from pressroom.sources import derived, runs
+from pressroom.plans import clustering, experiments, features, impressions, mixtures, ranker, scoring, summaries
+from pressroom.session import cut_lineage, scratch
+from pressroom.sources import derived, runs, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +37,21 @@ def query(build: Query) -> Query:
     return run
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` made from folder ``sf``, built once per application and state of the folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    held, status = system.getContentSummary(path), system.getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf, name, held.getLength(), held.getFileCount(), status.getModificationTime())
+    if key not in _STORED:
+        _STORED[key] = scratch(spark, name)
+        build().write.parquet(_STORED[key])
+    return spark.read.parquet(_STORED[key])
+
+
 def joined(name: str) -> Column:
     return F.array_join(name, ",").alias(name)
 
@@ -180,19 +198,12 @@ def time_profile(spark, sf):
 
 
 def _profile(spark: SparkSession, sf: str) -> DataFrame:
-    articles, history = derived.articles(spark, sf), derived.history(spark, sf, features.TRAIN_VALIDATION)
-    visits = derived.visits(spark, sf, features.TRAIN_VALIDATION)
-    behaviors = derived.behaviors(spark, sf, features.TRAIN)
-    return features.user_profile(
-        features.history_profile(history),
-        [
-            features.sentiment_stats(features.recent_entries(history), articles, hot=features.hot_articles(history)),
-            features.visit_profile(visits),
-            sessions.time_profile(_sessions(spark, sf)),
-            features.median_next_read_time(visits),
-            features.premium_propensity(behaviors, articles),
-        ],
-    )
+    def build() -> DataFrame:
+        history = derived.history(spark, sf, features.TRAIN_VALIDATION)
+        visits = derived.visits(spark, sf, features.TRAIN_VALIDATION)
+        return features.whole_profile(history, visits, derived.behaviors(spark, sf, features.TRAIN), derived.articles(spark, sf))
+
+    return stored(spark, sf, "profile", build)
 
 
 @query
@@ -200,6 +211,13 @@ def user_profile(spark, sf):
     return _profile(spark, sf)
 
 
+@query
+def list_sessions(spark, sf):
+    """Sessions from list histories, put in order by chunks of the lists."""
+    lists = derived.list_history(spark, sf, features.TRAIN_VALIDATION)
+    return sessions.meaningful(sessions.user_sessions_from_lists(lists))
+
+
 # Impressions for ranking
 
 
@@ -227,6 +245,12 @@ def negative_samples(spark, sf):
     return table.select("impression_id", "clicked_article_id", joined("article_ids_inview"), joined("labels"))
 
 
+@query
+def distinct_negative_samples(spark, sf):
+    table = impressions.negative_samples(derived.behaviors(spark, sf), per_click=3, with_replacement=False)
+    return table.select("impression_id", "clicked_article_id", joined("article_ids_inview"), joined("labels"))
+
+
 @query
 def binary_labels(spark, sf):
     table = impressions.binary_labels(derived.behaviors(spark, sf))
@@ -252,6 +276,44 @@ def item_features_inview(spark, sf):
     return table.select("impression_id", F.array_join(flags, ",").alias("premium"))
 
 
+@query
+def item_features_lists(spark, sf):
+    """Two columns of article features for the history and the in-view list of every impression."""
+    articles = derived.articles(spark, sf)
+    table = features.premium_articles(articles).join(features.article_length(articles), "article_id")
+    rows = impressions.with_history(derived.behaviors(spark, sf), _recent(spark, sf))
+    lists = impressions.mapped_lists(rows, ["article_id_fixed", "article_ids_inview"], table, {"premium": 0.0, "article_length": 0.0})
+
+    def whole(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda x: x.cast("bigint")), ",").alias(name)
+
+    return lists.select("impression_id", *[whole(c) for c in lists.columns[1:]])
+
+
+@query
+def loaded_split(spark, sf):
+    """Impressions and list histories written as the split folders of a log, and loaded from there."""
+    root = scratch(spark, "log")
+    for split in features.TRAIN_VALIDATION:
+        kept = derived.behaviors(spark, sf, (split,)).select(*[F.col(f.name).cast(f.dataType) for f in schemas.BEHAVIORS.fields])
+        tables.write_table(kept, f"{root}/{split}/behaviors.parquet")
+        tables.write_table(derived.list_history(spark, sf, (split,)).drop("split"), f"{root}/{split}/history.parquet")
+    table = impressions.load_split(spark, root, features.TRAIN_VALIDATION)
+    return table.select("impression_id", "user_id", "split", joined("article_id_fixed"), joined("article_ids_inview"))
+
+
+@query
+def rewritten_split(spark, sf):
+    """A table partitioned by split, of which one split is replaced, twice as after a lost job."""
+    path = scratch(spark, "impressions")
+    visits = derived.visits(spark, sf).select("impression_id", "user_id", "split")
+    tables.write_partitions(visits, path, ["split"])
+    again = impressions.sample(features.of_splits(visits, ("validation",)), 0.5)
+    for _ in range(2):
+        tables.write_partitions(again, path, ["split"])
+    return spark.read.parquet(path).select("impression_id", "user_id", F.col("split").cast("string").alias("split"))
+
+
 @query
 def training_impressions(spark, sf):
     articles, behaviors, history = (
@@ -382,11 +444,31 @@ def submission_lines(spark, sf):
     return ranking.submission_lines(ranking.ranked_predictions(_scores(spark, sf)))
 
 
+@query
+def submission_file(spark, sf):
+    """The submission as files in the order of the impressions, read back line by line."""
+    path = scratch(spark, "submission")
+    ranked = ranking.ranked_predictions(_scores(spark, sf))
+    lines = cut_lineage(ranking.submission_lines(ranked, keep=("impression_id",)))
+    tables.write_ordered_lines(lines, path, ["impression_id"], file_lines=20_000)
+    return tables.read_ordered_lines(spark, path)
+
+
 @query
 def ranking_metrics(spark, sf):
     return ranking.ranking_metrics(_scores(spark, sf), ("split",))
 
 
+@query
+def metrics_file(spark, sf):
+    """The ranking metrics written as JSON and read back."""
+    path = scratch(spark, "metrics")
+    metrics = ranking.ranking_metrics(_scores(spark, sf), ("split",))
+    tables.write_metrics(metrics, path)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in metrics.schema.fields)
+    return tables.read_metrics(spark, path, columns)
+
+
 def _click_tables(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
     """A function that adds the click features to candidate rows."""
     articles, behaviors, history = (
@@ -412,17 +494,40 @@ def click_features(spark, sf):
     return table.select("impression_id", "pos", "article_id", "label", *ranker.FEATURES)
 
 
+def _ranker_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the drawn training candidates (``fitted``) and of all candidates of the other splits."""
+
+    def build() -> DataFrame:
+        train = derived.behaviors(spark, sf, features.TRAIN)
+        drawn = ranker.sampled_candidates(impressions.negative_samples(train))
+        asked = _candidates(spark, sf, ("validation", "test")).select(*drawn.columns)
+        # Both sets take their features in one pass; fitting then reads its rows once per step. Several draws
+        # of one impression share positions, so the sets are told apart by a flag.
+        both = drawn.withColumn("fitted", F.lit(True)).unionByName(asked.withColumn("fitted", F.lit(False)))
+        return _click_tables(spark, sf)(both)
+
+    return stored(spark, sf, "ranker_rows", build)
+
+
+def _ranker_model(spark: SparkSession, sf: str) -> DataFrame:
+    def build() -> DataFrame:
+        rows = _ranker_rows(spark, sf)
+        model = ranker.fit_path(rows.where("fitted"), rows.where("NOT fitted AND split = 'validation'"))
+        return model.as_table(spark)
+
+    return stored(spark, sf, "ranker_model", build)
+
+
 def _fitted_scores(spark: SparkSession, sf: str, splits: Sequence[str]) -> DataFrame:
-    """Click probabilities of the candidates of ``splits`` by a ranker fitted on the training split."""
-    train = derived.behaviors(spark, sf, features.TRAIN)
-    drawn = ranker.sampled_candidates(impressions.negative_samples(train))
-    asked = _candidates(spark, sf, splits).select(*drawn.columns)
-    # Both sets take their features in one pass; fitting then reads its rows once per iteration. Several draws
-    # of one impression share positions, so the sets are told apart by a flag.
-    both = drawn.withColumn("fitted", F.lit(True)).unionByName(asked.withColumn("fitted", F.lit(False)))
-    table = cut_lineage(_click_tables(spark, sf)(both))
-    model = ranker.ClickRanker().fit(table.where("fitted"))
-    return model.transform(table.where("NOT fitted"))
+    """Click probabilities of the candidates of ``splits`` by the ranker fitted on the training split and chosen by validation."""
+    model = ranker.PathModel.from_table(_ranker_model(spark, sf))
+    return model.transform(_ranker_rows(spark, sf).where(~F.col("fitted") & F.col("split").isin(*splits)))
+
+
+@query
+def click_ranker_path(spark, sf):
+    table = _ranker_model(spark, sf)
+    return table.select("step", "reg_param", "auc", "chosen")
 
 
 @query
@@ -456,6 +561,32 @@ def model_variants(spark, sf):
     return derived.runs(spark, sf).select(F.col("run id"), runs.variant_name(flags).alias("used model"))
 
 
+@query
+def preprocessing_variants(spark, sf):
+    flags = [(F.col(flag), part) for flag, part in schemas.PREPROCESSING_FLAGS]
+    return derived.preprocessing_runs(spark, sf).select(F.col("run id"), runs.variant_name(flags).alias("used model"))
+
+
+def _sweeps(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch(spark, "runs")
+    runs.write_sweeps(derived.run_texts(spark, sf), root)
+    return runs.read_sweeps(spark, root)
+
+
+@query
+def run_files_report(spark, sf):
+    """Runs written as files, some lost or cut short, and what the reader finds of each sweep."""
+    return runs.sweep_report(_sweeps(spark, sf))
+
+
+@query
+def run_files_results(spark, sf):
+    """The result table of the runs whose files are whole."""
+    table = runs.results_table(_sweeps(spark, sf).where("status = 'complete'"), schemas.ABLATION_FLAGS)
+    units = "newsencoder units per layer"
+    return table.withColumn(units, F.array_join(units, ","))
+
+
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     flags = [(F.col(flag), part) for flag, part in schemas.ABLATION_FLAGS]
     metrics = [F.col(f"`{m}`") for m in schemas.METRICS]
@@ -499,8 +630,7 @@ def best_run(spark, sf):
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    profile = _profile(spark, sf)
-    return cut_lineage(profile.withColumn("label", (F.col("user_id") % 3).cast("int")))
+    return _profile(spark, sf).withColumn("label", (F.col("user_id") % 3).cast("int"))
 
 
 @query
@@ -522,19 +652,22 @@ def discriminating_features(spark, sf):
 FEATURES = list(schemas.FEATURE_TYPES)
 
 
+def _scaled(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.standardised(_profile(spark, sf), FEATURES)
+
+
 @query
 def standardised_users(spark, sf):
-    return clustering.standardised(cut_lineage(_profile(spark, sf)), FEATURES)
+    return _scaled(spark, sf)
 
 
 @query
 def feature_covariances(spark, sf):
-    return clustering.feature_covariances(clustering.standardised(cut_lineage(_profile(spark, sf)), FEATURES), FEATURES)
+    return clustering.feature_covariances(_scaled(spark, sf), FEATURES)
 
 
 def _components(spark: SparkSession, sf: str) -> DataFrame:
-    scaled = clustering.standardised(cut_lineage(_profile(spark, sf)), FEATURES)
-    return clustering.principal_components(scaled, FEATURES)
+    return stored(spark, sf, "components", lambda: clustering.principal_components(_scaled(spark, sf), FEATURES))
 
 
 @query
@@ -545,7 +678,49 @@ def user_pca(spark, sf):
     )
 
 
+@query
+def pca_shares(spark, sf):
+    return clustering.fit_components(_scaled(spark, sf), FEATURES).report(spark, clustering.VARIANCE_TO_KEEP)
+
+
+def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The chosen mixture, a row per component, and the grid it was chosen from."""
+
+    def build() -> DataFrame:
+        choice = clustering.choose_mixture(_components(spark, sf))
+        rows = [(k, restarts, bic, (k, restarts) == (choice.k, choice.restarts)) for k, restarts, bic in choice.grid]
+        grid = spark.createDataFrame(rows, "k int, restarts int, bic double, chosen boolean")
+        parts = mixtures.as_table(spark, choice.model)
+        return parts.unionByName(grid, allowMissingColumns=True).coalesce(1)
+
+    table = stored(spark, sf, "mixture", build)
+    return table.where("component IS NOT NULL"), table.where("component IS NULL")
+
+
+@query
+def mixture_grid(spark, sf):
+    return _mixture(spark, sf)[1].select("k", "restarts", "bic", "chosen")
+
+
+def _fitted_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.labelled(_components(spark, sf), mixtures.from_table(_mixture(spark, sf)[0]))
+
+
 @query
 def user_clusters(spark, sf):
-    users = cut_lineage(_components(spark, sf))
-    return clustering.labelled(users, clustering.choose_mixture(users))
+    return _fitted_labels(spark, sf)
+
+
+def _fitted_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile with the fitted label of each user; rows of one user are alike, so they have one label."""
+    return stored(spark, sf, "fitted_profile", lambda: _profile(spark, sf).join(_fitted_labels(spark, sf).distinct(), "user_id"))
+
+
+@query
+def fitted_cluster_summary(spark, sf):
+    return summaries.cluster_summary(_fitted_profile(spark, sf))
+
+
+@query
+def fitted_discriminating_features(spark, sf):
+    return summaries.discriminating_features(summaries.cluster_summary(_fitted_profile(spark, sf)))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pressroom.functions.arrays import list_mean, list_tail
 from pressroom.functions.scalars import two_level
 from pressroom.operators.quantiles import grouped_median
-from pressroom.operators.skew import HOT_ROWS, first_rows, hot_keys, skew_join
+from pressroom.operators.sessions import hour_cells, meaningful, sessions_of_cells, time_profile
+from pressroom.operators.skew import HOT_ROWS, first_rows, hot_keys, hottest, skew_join
+from pressroom.session import cut_lineage
 from pressroom.sources.tables import entry_fields, zipped_lists
 
 HISTORY_SIZE = 20
@@ -132,13 +134,24 @@ def premium_click_counts(
 
     Clicks are counted per user and article before the article table is joined.
     """
-    clicks = of_splits(behaviors, splits).select(
+    clicks = _clicks(behaviors, splits)
+    # An article has no more users than clicks, so the articles with many clicks cover those with many users.
+    hot = hot_keys(clicks.select("article_id"), ["article_id"], min_rows)
+    return _premium_counts(_clicks_per_article(clicks), articles, hot)
+
+
+def _clicks(behaviors: DataFrame, splits: Sequence[str]) -> DataFrame:
+    return of_splits(behaviors, splits).select(
         "user_id", F.posexplode_outer("article_ids_clicked").alias("_pos", "article_id")
     )
-    per_article = clicks.groupBy("user_id", "article_id").agg(F.count("_pos").alias("_n"))
+
+
+def _clicks_per_article(clicks: DataFrame) -> DataFrame:
+    return clicks.groupBy("user_id", "article_id").agg(F.count("_pos").alias("_n"))
+
+
+def _premium_counts(per_article: DataFrame, articles: DataFrame, hot: DataFrame) -> DataFrame:
     flags = premium_ids(articles).withColumn("_premium", F.lit(True))
-    # An article has no more users than clicks, so the articles with many clicks cover those with many users.
-    hot = hot_keys(clicks.select("article_id"), ["article_id"], min_rows)
     flagged = skew_join(per_article, flags, ["article_id"], ["user_id"], "left", hot=hot)
     return flagged.groupBy("user_id").agg(
         F.sum("_n").alias("clicked_articles"),
@@ -148,17 +161,28 @@ def premium_click_counts(
 
 def premium_propensity(behaviors: DataFrame, articles: DataFrame, splits: Sequence[str] = TRAIN) -> DataFrame:
     """1 free only, 2 mixed, 3 premium heavy, by the premium share of the clicks (no clicks: 1)."""
+    return _premium_code(premium_click_counts(behaviors, articles, splits))
+
+
+def _premium_code(counts: DataFrame) -> DataFrame:
     low, high = PREMIUM_CUTS
     share = F.coalesce(F.try_divide("premium_clicked_articles", "clicked_articles"), F.lit(0.0))
     code = F.when(share < low, 1).when(share < high, 2).otherwise(3).cast("int")
-    return premium_click_counts(behaviors, articles, splits).select("user_id", code.alias("premium_propensity"))
+    return counts.select("user_id", code.alias("premium_propensity"))
 
 
 def visit_profile(behaviors: DataFrame, splits: Sequence[str] = TRAIN_VALIDATION) -> DataFrame:
     """``favourite_device`` and ``subscription_status`` in one pass: ``user_id, favourite_device, is_subscriber``."""
-    counts = of_splits(behaviors, splits).groupBy("user_id", "device_type").agg(
+    return _visits_of_counts(_visit_counts(behaviors, splits))
+
+
+def _visit_counts(behaviors: DataFrame, splits: Sequence[str]) -> DataFrame:
+    return of_splits(behaviors, splits).groupBy("user_id", "device_type").agg(
         F.count(F.lit(1)).alias("_n"), F.bool_and("is_subscriber").alias("_every")
     )
+
+
+def _visits_of_counts(counts: DataFrame) -> DataFrame:
     median = F.percentile("device_type", F.lit(0.5), F.col("_n")).cast("tinyint")
     every = F.coalesce(F.bool_and("_every"), F.lit(True)).cast("float")
     return counts.groupBy("user_id").agg(median.alias("favourite_device"), every.alias("is_subscriber"))
@@ -335,3 +359,58 @@ def user_profile(users: DataFrame, features: Sequence[DataFrame]) -> DataFrame:
     for table in features:
         profile = profile.join(table, "user_id")
     return profile
+
+
+def _history_of_cells(cells: DataFrame, span: str) -> DataFrame:
+    """``history_profile`` from hour cells that also have ``_entries``, ``_read`` and ``_read_rows``."""
+    train = F.col("split") == TRAIN[0]
+
+    def kept(name: str):
+        return F.when(train, F.col(name))
+
+    ends = cells.groupBy("user_id").agg(
+        F.sum(kept("_entries")).alias("_n"),
+        F.timestamp_micros(F.min(kept("_first"))).alias("_first"),
+        F.timestamp_micros(F.max(kept("_last"))).alias("_last"),
+        F.try_divide(F.sum(kept("_read")), F.sum(kept("_read_rows"))).alias("_mean"),
+        F.bool_or(train).alias("_train"),
+        F.bool_or(~train).alias("_validation"),
+    )
+    days = _days_between(F.col("_first"), F.col("_last"), span)
+    rows = ends.where("_train").withColumn("_times", F.when(F.col("_validation"), 2).otherwise(1))
+    engagement = _engagement(F.col("_mean"), F.col("_n"), days)
+    return rows.select("user_id", engagement, F.explode(F.sequence(F.lit(1), "_times"))).drop("col")
+
+
+def whole_profile(
+    history: DataFrame, visits: DataFrame, behaviors: DataFrame, articles: DataFrame, span: str = "day_of_year", min_rows: int = HOT_ROWS
+) -> DataFrame:
+    """All user features from five reads of the log, whatever of it is hot: the ``user_profile`` of the feature functions.
+
+    ``visits`` and ``behaviors`` may be the same table. Readings are combined per user and hour, which serves sessions and
+    engagement; visits per user and device, clicks per user and article, and the recent entries are cut to their number. Each of these
+    narrow tables is written to the shared folder once. Hot users and articles are counted on them, not on the log, and the rows
+    of hot users, if there are any, are written too, for their medians.
+    """
+    entries = of_splits(history, TRAIN_VALIDATION)
+    read = [F.count("pos").alias("_entries"), F.sum("read_time").alias("_read"), F.count("read_time").alias("_read_rows")]
+    cells = cut_lineage(hour_cells(entries, also=read))
+    recent = cut_lineage(recent_entries(entries).select("user_id", "split", "lag", "article_id"))
+    counts = cut_lineage(_visit_counts(visits, TRAIN_VALIDATION))
+    clicks = cut_lineage(_clicks_per_article(_clicks(behaviors, TRAIN)))
+
+    per_user = counts.groupBy("user_id").agg(F.sum("_n").alias("_rows"))
+    per_click = clicks.groupBy("article_id").agg(F.sum("_n").alias("_rows"))
+    premium = _premium_counts(clicks, articles, hottest(per_click, ["article_id"], min_rows))
+    times = of_splits(visits, TRAIN_VALIDATION).select("user_id", "next_read_time")
+    medians = grouped_median(times, "user_id", "next_read_time", "median_next_read_time", min_rows, counted=per_user)
+    return user_profile(
+        _history_of_cells(cells, span),
+        [
+            sentiment_stats(recent, articles),
+            _visits_of_counts(counts),
+            time_profile(meaningful(sessions_of_cells(cells))),
+            medians,
+            _premium_code(premium),
+        ],
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,11 +65,13 @@ def _unclicked() -> Column:
     return F.array_except("article_ids_inview", "article_ids_clicked")
 
 
-def negative_samples(behaviors: DataFrame, per_click: int = NEGATIVES_PER_CLICK, seed: int = SEED) -> DataFrame:
+def negative_samples(
+    behaviors: DataFrame, per_click: int = NEGATIVES_PER_CLICK, seed: int = SEED, with_replacement: bool = True
+) -> DataFrame:
     """One row per click: the clicked article and ``per_click`` unclicked in-view articles, shuffled.
 
-    Draws are with replacement; an impression without an unclicked article gives no row. Everything
-    happens inside the row, so there is no shuffle.
+    Without replacement, the articles of the smallest hashes are drawn, all of them where there are fewer. An impression without
+    an unclicked article gives no row. Everything happens inside the row, so there is no shuffle.
     """
     clicks = behaviors.withColumn("_unclicked", _unclicked()).withColumn(
         "clicked_article_id", F.explode(F.when(F.size("_unclicked") > 0, F.col("article_ids_clicked")))
@@ -89,9 +91,18 @@ def negative_samples(behaviors: DataFrame, per_click: int = NEGATIVES_PER_CLICK,
     def drawn(draw: int) -> Column:
         return F.get(F.col("_unclicked"), (hashed(draw) % F.size("_unclicked")).cast("int"))
 
-    # Written out per draw rather than as a function over the draw numbers, so that it is compiled.
-    negatives = [candidate(draw, drawn(draw)) for draw in range(per_click)]
-    shuffled = F.sort_array(F.array(candidate(-1, F.col("clicked_article_id")), *negatives))
+    if with_replacement:
+        # Written out per draw rather than as a function over the draw numbers, so that it is compiled.
+        negatives = [candidate(draw, drawn(draw)) for draw in range(per_click)]
+        shuffled = F.sort_array(F.array(candidate(-1, F.col("clicked_article_id")), *negatives))
+    else:
+        def by_hash(name: str, article: Column, label: int) -> Column:
+            mark = id_hash(F.col("impression_id"), F.col("clicked_article_id"), article, F.lit(name), seed)
+            return F.struct(mark.alias("order"), article.alias("article_id"), F.lit(label).cast("tinyint").alias("label"))
+
+        few = F.slice(F.sort_array(F.transform("_unclicked", lambda a: by_hash("draw", a, 0))), 1, per_click)
+        others = F.transform(few, lambda c: by_hash("order", c["article_id"], 0))
+        shuffled = F.sort_array(F.concat(F.array(by_hash("order", F.col("clicked_article_id"), 1)), others))
     return (
         clicks.withColumn("_candidates", shuffled)
         .withColumn("article_ids_inview", F.col("_candidates.article_id"))
@@ -230,3 +241,39 @@ def mapped_inview(
     )
     ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_value"])
     return found.groupBy("impression_id").agg(ordered.alias(value))
+
+
+def mapped_lists(
+    rows: DataFrame,
+    lists: Sequence[str],
+    mapping: DataFrame,
+    values: Mapping[str, float],
+    keys: Sequence[str] = ("impression_id",),
+    min_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``keys`` and, for each of the id ``lists`` and each of the ``values`` columns of ``mapping``, the list of that value.
+
+    The new columns are named ``<list>_<value>``, in the order of the ids. ``values`` has the number that an unknown or null id or a
+    null value gets, so an id that is not in the mapping is a row of these. All lists travel as tagged entries through one
+    join and one regrouping; ids that fill the log are split by ``skew_join``. A null or empty list gives empty lists. Keys are distinct.
+    """
+    keys = list(keys)
+
+    def entries(name: str, tag: int) -> Column:
+        ids = F.coalesce(F.col(name), F.array().cast(dict(rows.dtypes)[name]))
+        return F.transform(ids, lambda x, i: F.struct(F.lit(tag).alias("_tag"), i.alias("_pos"), x.cast("bigint").alias("article_id")))
+
+    every = F.flatten(F.array(*[entries(name, tag) for tag, name in enumerate(lists)]))
+    tagged = rows.select(*keys, F.inline_outer(every))
+    table = mapping.select(F.col("article_id").cast("bigint").alias("article_id"), *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    found = skew_join(tagged, table, ["article_id"], [*keys, "_tag", "_pos"], "left", min_rows)
+    filled = [F.coalesce(f"_v{i}", F.lit(float(default))).alias(f"_v{i}") for i, default in enumerate(values.values())]
+    # A null entry stands for a row without ids; it is left out of the lists.
+    held = F.array_sort(F.collect_list(F.when(F.col("_tag").isNotNull(), F.struct("_tag", "_pos", *filled))))
+    grouped = found.groupBy(*keys).agg(held.alias("_held"))
+
+    def column(tag: int, i: int) -> Column:
+        return F.transform(F.filter("_held", lambda e: e["_tag"] == tag), lambda e: e[f"_v{i}"])
+
+    made = [column(tag, i).alias(f"{name}_{v}") for tag, name in enumerate(lists) for i, v in enumerate(values)]
+    return grouped.select(*keys, *made)

@@ -52,8 +52,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     are removed when the application ends.
     """
     spark = df.sparkSession
-    place = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    place = scratch(spark)
     df.write.parquet(place)
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(place)
+
+
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder, removed with all that was written there when the application ends."""
+    place = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)  # only what exists is removed at the end
+    system.deleteOnExit(path)
+    return f"{place}/data"

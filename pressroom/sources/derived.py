@@ -133,6 +133,17 @@ def history(spark: SparkSession, sf_dir: str, splits: Sequence[str] = SPLITS) ->
     )
 
 
+def list_history(spark: SparkSession, sf_dir: str, splits: Sequence[str] = SPLITS) -> DataFrame:
+    """The history as the files hold it: one row per user and split, with aligned lists in the order of instant and event."""
+    names = {"article_id_fixed": "article_id", "impression_time_fixed": "impression_time", "read_time_fixed": "read_time", "scroll_percentage_fixed": "scroll_percentage"}
+    kinds = {f.name: f.dataType for f in schemas.HISTORY.fields}
+    rows = history(spark, sf_dir, splits)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", *names.values())))
+    lists = rows.groupBy("user_id", "split").agg(ordered.alias("_e"))
+    user = F.col("user_id").cast(kinds["user_id"]).alias("user_id")
+    return lists.select(user, "split", *[F.col(f"_e.{c}").cast(kinds[name]).alias(name) for name, c in names.items()])
+
+
 def docvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("article_id"), F.col("embedding").alias("contrastive_vector")
@@ -161,6 +172,13 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def preprocessing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the preprocessing study: their ids and feature flags."""
+    key = F.col("p_partkey")
+    flags = [(F.floor(key / 2**i) % 2 == 1).alias(flag) for i, (flag, _) in enumerate(schemas.PREPROCESSING_FLAGS)]
+    return _table(spark, sf_dir, "part").select(F.concat(F.lit("run_"), key).alias("run id"), *flags)
+
+
 def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same runs as the JSON documents a run folder holds, parsed with the declared schemas."""
     flat = runs(spark, sf_dir)
@@ -202,4 +220,19 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("run id").alias("folder"),
         F.from_json(config_text, schemas.config_schema()).alias("config"),
         F.from_json(metrics_text, schemas.metrics_schema()).alias("metrics"),
+        config_text.alias("config_text"),
+        metrics_text.alias("metrics_text"),
     )
+
+
+def run_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sweep, run_id, config, metrics): the documents of the runs as text, a hundred runs a sweep, with some lost or cut short."""
+    key = F.substring_index("folder", "_", -1).cast("bigint")
+    texts = run_documents(spark, sf_dir).select(key.alias("key"), F.col("folder").alias("run_id"), F.col("config_text").alias("config"), F.col("metrics_text").alias("metrics"))
+
+    def amiss(name: str, lost: int, short: int) -> Column:
+        whole = F.col(name)
+        cut = F.substring(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int"))
+        return F.when(F.col("key") % 50 == lost, None).when(F.col("key") % 50 == short, cut).otherwise(whole).alias(name)
+
+    return texts.select(F.floor(F.col("key") / 100).alias("sweep"), "run_id", amiss("config", 3, 7), amiss("metrics", 13, 21))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressroom import schemas
 
@@ -16,18 +17,83 @@ def variant_name(flags: Sequence[tuple[Column, str]]) -> Column:
     return F.when(F.size(parts) == 0, F.lit(schemas.PLAIN_VARIANT)).otherwise(F.array_join(parts, "+"))
 
 
+def _documents(spark: SparkSession, pattern: str, schema: T.StructType, alias: str, one_per_file: bool) -> DataFrame:
+    """Every JSON document under ``pattern``: its folder and file, ``alias`` with the parsed columns, and whether it could not be parsed."""
+    read = spark.read.schema(_with_corrupt(schema)).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE")
+    files = read.option("multiLine", one_per_file).json(pattern)
+    path = F.col("_metadata.file_path")
+    columns = [F.col(f"`{c}`") for c in schema.fieldNames()]
+    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    # Parsed text and its flag are taken together, so the flag is never asked for alone.
+    return files.select(folder.alias("folder"), F.struct(*columns).alias(alias), F.col("_corrupt").isNotNull().alias("corrupt"))
+
+
+def _with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+
+
+def run_folders(spark: SparkSession, root: str) -> DataFrame:
+    """One row per run folder under ``root``: ``folder, config, metrics, status``.
+
+    ``status`` is ``complete``, or what is amiss: ``no config``, ``no metrics``, ``corrupt config``, ``corrupt metrics``. Documents that
+    cannot be parsed are null.
+    """
+    found = []
+    for name, schema in (("config", schemas.config_schema()), ("metrics", schemas.metrics_schema())):
+        read = _documents(spark, f"{root}/*/{name}.json", schema, name, True)
+        found.append(read.select("folder", F.when(~F.col("corrupt"), F.col(name)).alias(name), F.col("corrupt").alias(f"{name}_corrupt")))
+    return _with_status(found[0].join(found[1], "folder", "full"))
+
+
+def _with_status(joined: DataFrame) -> DataFrame:
+    status = (
+        F.when(F.col("config_corrupt").isNull(), "no config")
+        .when(F.col("config_corrupt"), "corrupt config")
+        .when(F.col("metrics_corrupt").isNull(), "no metrics")
+        .when(F.col("metrics_corrupt"), "corrupt metrics")
+        .otherwise("complete")
+    )
+    return joined.withColumn("status", status).drop("config_corrupt", "metrics_corrupt")
+
+
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """One row per run folder with the nested ``config`` and ``metrics``. Runs lacking a file are left out."""
+    """One row per run folder with the nested ``config`` and ``metrics``. Runs that are not complete are left out."""
+    return run_folders(spark, root).where("status = 'complete'").drop("status")
+
+
+def write_sweeps(documents: DataFrame, root: str) -> None:
+    """Write (sweep, run_id, config, metrics), the last two JSON texts or null, as a folder per sweep with one document a line.
+
+    A grid of many thousand runs then takes a few files per sweep instead of two per run. A line starts with its run's id.
+    """
+    for name in ("config", "metrics"):
+        lines = documents.where(F.col(name).isNotNull()).select("sweep", F.concat_ws("\t", "run_id", name).alias("value"))
+        lines.repartition("sweep").write.mode("overwrite").partitionBy("sweep").text(f"{root}/{name}")
+
+
+def read_sweeps(spark: SparkSession, root: str) -> DataFrame:
+    """One row per run of ``write_sweeps``: ``sweep, run_id, config, metrics, status``, as ``run_folders`` has them.
+
+    The sweep is that of the file's folder. A run named by any file has a row, however little of it can be read.
+    """
+    found = []
+    for name, schema in (("config", schemas.config_schema()), ("metrics", schemas.metrics_schema())):
+        lines = spark.read.option("recursiveFileLookup", True).text(f"{root}/{name}")
+        sweep = F.regexp_extract("_metadata.file_path", r"sweep=([^/]+)/[^/]+$", 1)
+        text = F.substring_index("value", "\t", -1)
+        parsed = F.from_json(text, _with_corrupt(schema), {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
+        rows = lines.select(sweep.alias("sweep"), F.substring_index("value", "\t", 1).alias("run_id"), parsed.alias("d"))
+        document = F.struct(*[F.col(f"d.`{c}`").alias(c) for c in schema.fieldNames()])
+        bad = F.col("d._corrupt").isNotNull() | F.col("d").isNull()
+        found.append(rows.select("sweep", "run_id", F.when(~bad, document).alias(name), bad.alias(f"{name}_corrupt")))
+    return _with_status(found[0].join(found[1], ["sweep", "run_id"], "full"))
 
-    def read(name: str, schema, alias: str) -> DataFrame:
-        files = spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/{name}")
-        folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-        columns = [F.col(f"`{c}`") for c in schema.fieldNames()]
-        return files.select(folder.alias("folder"), F.struct(*columns).alias(alias))
 
-    config = read("config.json", schemas.config_schema(), "config")
-    metrics = read("metrics.json", schemas.metrics_schema(), "metrics")
-    return config.join(metrics, "folder")
+def sweep_report(read: DataFrame) -> DataFrame:
+    """Per sweep: how many runs there are, and how many of each status."""
+    kinds = ("complete", "no config", "no metrics", "corrupt config", "corrupt metrics")
+    counts = [F.count_if(F.col("status") == kind).alias(f"n_{kind.replace(' ', '_')}") for kind in kinds]
+    return read.groupBy("sweep").agg(F.count(F.lit(1)).alias("n_runs"), *counts)
 
 
 def results_table(runs: DataFrame, flags: Sequence[tuple[str, str]] = ()) -> DataFrame:

@@ -6,12 +6,16 @@ import pytest
 from conftest import plan_of
 from tools.check import compare, connect
 
+from pressroom.operators import sessions
 from pressroom.plans.catalog import QUERIES
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-WITHOUT_SQL = {"click_ranker", "click_ranker_lines", "click_ranker_metrics", "user_clusters", "user_pca"}
-EAGER = WITHOUT_SQL | {"cluster_summary", "discriminating_features", "feature_covariances", "standardised_users"}
+WITHOUT_SQL = {
+    "click_ranker", "click_ranker_lines", "click_ranker_metrics", "click_ranker_path", "user_clusters", "user_pca", "pca_shares",
+    "mixture_grid", "fitted_cluster_summary", "fitted_discriminating_features",
+}
+EAGER = WITHOUT_SQL | {"user_profile", "cluster_summary", "discriminating_features", "feature_covariances", "standardised_users"}
 
 
 @pytest.fixture(scope="module")
@@ -49,9 +53,31 @@ def test_entry(spark):
     assert df.columns[0] == "user_id" and df.count() > 0
 
 
-def test_the_profile_reads_the_log_few_times(spark, small):
-    # Before reuse: hot articles and hot users are looked up on both sides of their joins.
-    assert plan_of(queries()["user_profile"](spark, small)).count("/events.parquet]") <= 15
+def reads_of(frames) -> int:
+    return sum(plan_of(df).count("/events.parquet]") for df in frames)
+
+
+@pytest.mark.parametrize("min_rows, reads", [(200_000, 5), (20, 6)])
+def test_the_profile_reads_the_log_few_times(spark, small, monkeypatch, min_rows, reads):
+    """In all plans of the profile together; with hot users, their rows are read once more."""
+    from pressroom.operators import quantiles
+    from pressroom.plans import features
+    from pressroom.sources import derived
+
+    made = []
+    for module in (features, quantiles):
+        plain = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, plain=plain: made.append(df) or plain(df))
+    history, visits = (f(spark, small, features.TRAIN_VALIDATION) for f in (derived.history, derived.visits))
+    table = features.whole_profile(history, visits, derived.behaviors(spark, small, features.TRAIN), derived.articles(spark, small), min_rows=min_rows)
+    rows = sorted(map(tuple, table.collect()), key=repr)
+    assert len(rows) > 10 and reads_of([*made, table]) <= reads
+    parts = [
+        features.sentiment_stats(features.recent_entries(history), derived.articles(spark, small)), features.visit_profile(visits),
+        sessions.time_profile(sessions.meaningful(sessions.user_sessions(history))), features.median_next_read_time(visits),
+        features.premium_propensity(derived.behaviors(spark, small, features.TRAIN), derived.articles(spark, small)),
+    ]
+    assert rows == sorted(map(tuple, features.user_profile(features.history_profile(history), parts).collect()), key=repr)
 
 
 def test_split_filters_reach_the_scan(spark, small):
