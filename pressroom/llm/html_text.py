@@ -29,6 +29,7 @@ RAW = frozenset("script style textarea title noscript iframe template svg".split
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav header footer aside form menu button select dialog option label".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - frozenset("body head html option optgroup".split())
 # Parts of class, id and role names.
 BAD_NAMES = re.compile(
@@ -88,7 +89,6 @@ class Block:
     article: bool
     furniture: bool
     heading: bool
-    around: tuple = ()  # open elements that are furniture, or articles
     words: int = field(init=False)
 
     def __post_init__(self) -> None:
@@ -101,26 +101,34 @@ class Block:
 
 @dataclass(eq=False)
 class Mark:
-    """An element that is furniture or an article, and what it turned out to hold."""
+    """An element that is furniture or an article, inside ``outer``, and what it turned out to hold."""
 
+    outer: Mark | None
     bad: bool
     main: bool
     within: bool  # inside an article element
-    words: int = 0  # unlinked ones
+    words: int = 0  # unlinked ones, of the elements inside as well
     holds: bool = False  # the page's largest article
+    furniture: bool = False  # it or one around it, as a whole
 
+    any_bad: bool = False  # it or one around it
+    in_within: bool = False  # one around it is inside an article element
 
-@dataclass
+    def __post_init__(self) -> None:
+        self.any_bad = self.bad or (self.outer is not None and self.outer.any_bad)
+        self.in_within = self.outer is not None and (self.outer.within or self.outer.in_within)
+
+
+@dataclass(slots=True)
 class Open:
     """An open element: what it makes of the text inside it."""
 
     tag: str = ""
     within: bool = False  # inside an article element
     article: bool = False
-    furniture: bool = False
     hidden: bool = False
     heading: bool = False
-    around: tuple = ()
+    mark: Mark | None = None
 
 
 def opened(tag: str, attributes: str, outer: Open) -> Open:
@@ -131,96 +139,134 @@ def opened(tag: str, attributes: str, outer: Open) -> Open:
     if names and tag not in ("html", "body", "main", "article"):
         said = MODIFIERS.sub(" ", names)
         bad = bad or BAD_NAMES.search(HEADERS.sub(" ", said) if outer.within else said) is not None
-    mark = Mark(bad, tag in MAIN and not outer.within, outer.within)
+    main = tag in MAIN and not outer.within
     return Open(
         tag,
         outer.within or tag == "article",
         outer.article or tag in MAIN or bool(names and GOOD_NAMES.search(names)),
-        outer.furniture or bad,
         outer.hidden or tag in UNSHOWN or bool(attributes and HIDDEN.search(attributes)),
-        outer.heading or re.fullmatch("h[1-6]", tag) is not None,
-        (*outer.around, mark) if mark.bad or mark.main else outer.around,
+        outer.heading or tag in HEADINGS,
+        Mark(outer.mark, bad, main, outer.within) if bad or main else outer.mark,
     )
 
 
-def settle(blocks: list[Block]) -> list[Block]:
-    """Furniture of each block, now that all are known: an element that holds the page's largest article, or most
+#: A piece of a block's text, whether it is linked, and the element it stands in.
+Piece = tuple[str, bool, Open]
+
+
+def shown(pieces: list[Piece]) -> str:
+    return " ".join(html.unescape("".join(text for text, _, _ in pieces)).split())
+
+
+def linked_words(pieces: list[Piece]) -> int:
+    return len(html.unescape(" ".join(text for text, linked, _ in pieces if linked)).split())
+
+
+def settle(found: list[list[Piece]], marks: list[Mark]) -> list[Block]:
+    """The blocks, now that all of the page is known. An element that holds the page's largest article, or most
     of its unlinked words, is not furniture as a whole, unless it stands in an article. An article counts for this
-    when it has more words than stand free of furniture, so comments below a text are none."""
-    total = 0
-    for b in blocks:
-        own = max(0, b.words - b.linked)
-        total += own
-        for mark in b.around:
-            mark.words += own
-    mains = [(m.words, b.around[:i]) for b in blocks for i, m in enumerate(b.around) if m.main and not any(x.within for x in b.around[:i])]
-    free = sum(max(0, b.words - b.linked) for b in blocks if not any(m.bad for m in b.around))
-    words, above = max(mains, key=lambda found: found[0], default=(0, ()))
-    for mark in above:
-        mark.holds = words > free
-    for b in blocks:
-        b.furniture = any(m.bad and (m.within or not (m.holds or 2 * m.words > total)) for m in b.around)
+    when it has more words than stand free of furniture, so comments below a text are none.
+
+    Text of furniture inside a line, such as an advert or a label in a paragraph, is left out of the block; a block that is
+    nothing else is furniture. Marks are in the order in which they were opened, so one pass each way adds up and passes down.
+    """
+    total = free = 0
+    for pieces in found:
+        by_mark: dict[int, tuple[Mark | None, list[Piece]]] = {}
+        for piece in pieces:
+            by_mark.setdefault(id(piece[2].mark), (piece[2].mark, []))[1].append(piece)
+        for mark, own in by_mark.values():
+            words = max(0, len(shown(own).split()) - linked_words(own))
+            total += words
+            if mark is not None:
+                mark.words += words
+            if mark is None or not mark.any_bad:
+                free += words
+    for mark in reversed(marks):
+        if mark.outer is not None:
+            mark.outer.words += mark.words
+    largest = max((m for m in marks if m.main and not m.in_within), key=lambda m: m.words, default=None)
+    above = largest.outer if largest is not None and largest.words > free else None
+    while above is not None:
+        above.holds, above = True, above.outer
+    for m in marks:
+        own = m.bad and (m.within or not (m.holds or 2 * m.words > total))
+        m.furniture = own or (m.outer is not None and m.outer.furniture)
+
+    blocks = []
+    for pieces in found:
+        kept = [p for p in pieces if p[2].mark is None or not p[2].mark.furniture]
+        text = shown(kept)
+        used, furniture = (kept, False) if text else (pieces, True)
+        element = next(p[2] for p in used if html.unescape(p[0]).strip())
+        blocks.append(Block(text or shown(pieces), linked_words(used), element.article, furniture, element.heading))
     return blocks
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The flat text blocks of a page, in order."""
-    found: list[Block] = []
+    """The flat text blocks of a page, in order. Time grows with the page's length alone, however deep its elements are."""
+    found: list[list[Piece]] = []
+    marks: list[Mark] = []
     stack: list[Open] = []
-    parts: list[str] = []
-    linked: list[str] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
+    borders: list[int] = []  # places of the open block elements
+    pieces: list[Piece] = []
+    outside = Open()
     links = 0
 
     def flush() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                top = stack[-1] if stack else Open()
-                words = len(html.unescape(" ".join(linked)).split())
-                found.append(Block(text, words, top.article, top.furniture, top.heading, top.around))
-            parts.clear()
-            linked.clear()
+        nonlocal pieces
+        if pieces:
+            if shown(pieces):
+                found.append(pieces)
+            pieces = []
 
     def close(depth: int) -> None:
         nonlocal links
-        for element in stack[depth:]:
+        while len(stack) > depth:
+            element = stack.pop()
             links -= element.tag == "a"
-        del stack[depth:]
+            places[element.tag].pop()
+            if element.tag in BLOCKS:
+                borders.pop()
 
     at, size = 0, len(page)
     while at < size:
         match = TOKEN.match(page, at)
         at = match.end()
         tag = match[2]
+        here = stack[-1] if stack else outside
         if tag is None:
             token = match[0]
-            if (token[0] != "<" or token == "<") and not (stack and stack[-1].hidden):
-                parts.append(token)
-                if links:
-                    linked.append(token)
+            if (token[0] != "<" or token == "<") and not here.hidden:
+                pieces.append((token, links > 0, here))
             continue
         tag = tag.lower()
         if match[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
+            opener = places.get(tag)
             if tag in BLOCKS:
                 flush()
-            if depth is not None and (tag in BLOCKS or not any(e.tag in BLOCKS for e in stack[depth + 1 :])):
-                close(depth)
+            if opener and (tag in BLOCKS or not (borders and borders[-1] > opener[-1])):
+                close(opener[-1])
             continue
         if tag in VOID:
             if tag == "br":
-                parts.append(" ")
-                linked.append(" ")
+                pieces.append((" ", True, here))
             elif tag in BLOCKS:
                 flush()
             continue
         if tag in BLOCKS:
             flush()
-            if tag in CLOSES_P:
-                limit = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCKS), None)
-                if limit is not None and (stack[limit].tag == "p" or (tag == "li" and stack[limit].tag == "li")):
-                    close(limit)
-        stack.append(opened(tag, match[3], stack[-1] if stack else Open()))
+            if tag in CLOSES_P and borders and (stack[borders[-1]].tag == "p" or (tag == "li" and stack[borders[-1]].tag == "li")):
+                close(borders[-1])
+                here = stack[-1] if stack else outside
+        element = opened(tag, match[3], here)
+        if element.mark is not here.mark:
+            marks.append(element.mark)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            borders.append(len(stack))
+        stack.append(element)
         links += tag == "a"
         if match[3].endswith("/") and tag not in BLOCKS:
             close(len(stack) - 1)
@@ -229,7 +275,7 @@ def blocks_of(page: str) -> list[Block]:
             at = end.end() if end else size
             close(len(stack) - 1)
     flush()
-    return settle(found)
+    return settle(found, marks)
 
 
 def feature_rows(blocks: list[Block]) -> list[tuple]:
