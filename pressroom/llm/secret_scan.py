@@ -5,6 +5,10 @@ sensitive word is a candidate. Its novelty is the number of bytes it adds when t
 compressed with a dictionary of identifiers: names that the dictionary or the surroundings know add
 little, random strings add nearly all their information. Candidates that add at least
 ``min_bits`` bits per character and mix letters with digits or cases are reported as kind ``novel``.
+
+Paths, host names and identifiers are new to any dictionary, too, but are made of words. A candidate is cut at its separators, and
+segments that read as words take no part: what is left must be ``LEFT`` characters or more, and is what is measured. UUIDs are
+names by convention and are not reported.
 """
 
 from __future__ import annotations
@@ -56,6 +60,14 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=.-]{20})[A-Za-z0-
 CANDIDATE_CHARS = 20
 #: What letters of one case, capitalised words and numbers do not have: letters with digits, or capitals inside a word.
 MIXED = re.compile(r"[a-z][A-Z]|[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+#: Words within a segment: capitalised or of one case, and numbers.
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: What words have: a vowel, and no long run of consonants.
+SPOKEN = re.compile(r"(?=.*[aeiouy])(?!.*[^aeiouy]{5})[a-z]{3,}", re.I)
+UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
+#: Characters in segments that are no words, at least; share of a segment in words from which on it reads as words.
+LEFT, WORDY = 12, 0.7
 #: Characters between a sensitive word and the candidate; characters of code on either side.
 REACH, AROUND = 48, 256
 #: Longest stretch of one candidate that is compressed at once; longer ones are measured piece by piece.
@@ -84,6 +96,27 @@ def novelty(text: str, start: int, end: int) -> float:
     return 8 * added / (end - start)
 
 
+def reads_as_words(segment: str) -> bool:
+    """Whether most of the segment is words, of four letters on average if there are several, and at most one short number."""
+    parts = WORD.findall(segment)
+    numbers = [p for p in parts if p.isdigit()]
+    letters = [p for p in parts if not p.isdigit()]
+    if len(numbers) > 1 or any(len(p) > 4 for p in numbers) or not letters:
+        return False
+    spoken = sum(len(p) for p in letters if SPOKEN.fullmatch(p))
+    held = sum(map(len, letters))
+    return spoken >= WORDY * held and (len(letters) == 1 or held >= 4 * len(letters))
+
+
+def unknown(candidate: str) -> str:
+    """The candidate without the segments that read as words, and without separators then; nothing for a UUID."""
+    if UUID.fullmatch(candidate):
+        return ""
+    segments = SEGMENT.findall(candidate)
+    plain = [s for s in segments if not reads_as_words(s)]
+    return candidate if len(plain) == len(segments) else "".join(plain)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the three fixed patterns, by start, then kind."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_CHARS]
@@ -105,7 +138,11 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], min_bits: float) ->
             continue
         if end - start < CANDIDATE_CHARS or not SENSITIVE.search(text, max(0, start - REACH), start) or not MIXED.search(match[0]):
             continue
-        if novelty(text, start, end) >= min_bits:
+        left = unknown(match[0])
+        if len(left) < LEFT:
+            continue
+        before = text[max(0, start - AROUND) : start]
+        if novelty(before + left + text[end : end + AROUND], len(before), len(before) + len(left)) >= min_bits:
             found.append((start, end, "novel"))
     return found
 
