@@ -109,12 +109,13 @@ def partial_counts(batches: Iterable[pd.DataFrame], longest: int) -> Iterator[pd
 
 
 def language_references(
-    docs: DataFrame, common: int = 40, longest: int = 6, text: str = "text", lang: str = "lang"
+    docs: DataFrame, common: int = 40, longest: int = 6, text: str = "text", lang: str = "lang", most_languages: int = 1_000
 ) -> DataFrame:
     """(lang, kind, name, share) over all documents with a text and a language.
 
     ``class`` rows hold the shares of the character classes, ``word`` rows those of the common words and,
-    under the name "", of all other words. At most ``common + 1 + len(CLASSES)`` rows per language.
+    under the name "", of all other words. At most ``common + 1 + len(CLASSES)`` rows per language. Of more than
+    ``most_languages`` labels, those with most characters are references, of equal ones the first in order.
     """
     bound_batches(docs.sparkSession)
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).dropna()
@@ -123,6 +124,8 @@ def language_references(
     )
     counts = cut_lineage(parts.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n")).where("n > 0"))
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
+    largest = totals.where("kind = 'class'").orderBy(F.desc("total"), "lang").limit(most_languages).select("lang")
+    counts, totals = (table.join(F.broadcast(largest), "lang", "left_semi") for table in (counts, totals))
     words = counts.where("kind = 'word' AND name != ''")
     per_language = first_rows(words, ["lang"], [F.col("n").desc(), F.col("name")], common, "_rank").drop("_rank")
     rest = totals.where("kind = 'word'").join(
@@ -145,29 +148,59 @@ def collected(references: DataFrame) -> dict[str, tuple[np.ndarray, list[str], n
     return found
 
 
-def distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance of two distributions, base 2: 0 for equal ones, 1 for disjoint ones."""
+@dataclass(frozen=True)
+class Stacked:
+    """The references of all languages as tables of one row each, so that a text is compared with all of them at once."""
+
+    languages: tuple[str, ...]
+    classes: np.ndarray  # languages x classes
+    places: dict[str, int]  # of each common word of any language in a text's counts
+    words: np.ndarray  # languages x common words: their places; the last place is never counted
+    shares: np.ndarray  # languages x (common words, and the rest)
+
+
+def stacked(references: dict) -> Stacked | None:
+    """The references of ``collected`` as tables; None without any."""
+    if not references:
+        return None
+    places: dict[str, int] = {}
+    for _, common, _ in references.values():
+        for word in common:
+            places.setdefault(word, len(places))
+    width = max(len(common) for _, common, _ in references.values())
+    words = np.full((len(references), width), len(places))
+    shares = np.zeros((len(references), width + 1))
+    for i, (_, common, own) in enumerate(references.values()):
+        words[i, : len(common)] = [places[word] for word in common]
+        shares[i, : len(common)], shares[i, -1] = own[:-1], own[-1]
+    return Stacked(tuple(references), np.array([usual for usual, _, _ in references.values()]), places, words, shares)
+
+
+def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray | float:
+    """Jensen-Shannon distance of distributions along the last axis, base 2: 0 for equal ones, 1 for disjoint ones."""
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)
-    return float(np.sqrt(max(0.0, parts.sum() / 2)))
+    return np.sqrt(np.maximum(0.0, parts.sum(axis=-1) / 2))
 
 
-def divergence(text: str, references: dict) -> tuple[str | None, float | None, float | None]:
+def divergence(text: str, references: Stacked | None) -> tuple[str | None, float | None, float | None]:
     """Nearest language with the distances of the characters and of the common words; nulls without any letter."""
     counts = class_counts(text)
     words = Counter(LETTERS.findall(text.lower()))
     total = sum(words.values())
     if not references or not total:
         return None, None, None
-    classes, best = counts / counts.sum(), None
-    for lang, (usual, common, shares) in references.items():
-        used = [words.get(word, 0) for word in common]
-        mine = np.array([*used, total - sum(used)]) / total
-        found = distance(classes, usual), distance(mine, shares)
-        if best is None or max(found) < max(best[1:]):
-            best = lang, *found
-    return best
+    held = np.zeros(len(references.places) + 1)
+    for word, n in words.items():
+        place = references.places.get(word)
+        if place is not None:
+            held[place] = n
+    used = held[references.words]
+    mine = np.concatenate([used, total - used.sum(axis=1, keepdims=True)], axis=1) / total
+    by_class, by_word = distance(counts / counts.sum(), references.classes), distance(mine, references.shares)
+    best = int(np.maximum(by_class, by_word).argmin())
+    return references.languages[best], float(by_class[best]), float(by_word[best])
 
 
 def repeated_words(words: list[str]) -> int:
@@ -195,7 +228,7 @@ def duplicate_lines(text: str) -> int:
     return repeated
 
 
-def judge(text: str, references: dict, limits: Limits) -> tuple:
+def judge(text: str, references: Stacked | None, limits: Limits) -> tuple:
     words = WORDS.findall(text)
     n, repeats = len(words), repeated_words(words)
     failed = n < 50 or 100 * repeats > 50 * n
@@ -230,7 +263,9 @@ def quality_rules(
     keys too; an empty table gives no rows. Other columns are not read. Texts are read whole.
     """
 
+    tables = stacked(references)
+
     def judged(value: str) -> tuple:
-        return judge(value, references, limits)
+        return judge(value, tables, limits)
 
     return over_texts(docs, judged, SCHEMA, key, text)
