@@ -13,37 +13,43 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pressroom.llm.rows import bound_batches
 
-#: Builds an index of its rows (one frame), which then answers frames of queries with frames of results.
-Build = Callable[[pd.DataFrame], Callable[[pd.DataFrame], pd.DataFrame]]
+Rows = dict[str, list]
+#: Builds an index of its rows (columns as lists), which then answers queries (alike) with a list of result rows.
+Build = Callable[[Rows], Callable[[Rows], list[tuple]]]
 
 
-def runs_of(batches: Iterable[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """The stretches of rows of equal ``keys`` within each batch."""
-    for batch in batches:
-        if batch.empty:
-            continue
-        starts = (batch[list(keys)] != batch[list(keys)].shift()).any(axis=1).to_numpy().copy()
-        starts[0] = True
-        cuts = [*starts.nonzero()[0].tolist(), len(batch)]
-        for low, high in zip(cuts, cuts[1:]):
-            part = batch.iloc[low:high]
-            yield tuple(part.iloc[0][k] for k in keys), part
+def runs_of(batch: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tuple, Rows]]:
+    """The stretches of rows of equal ``keys`` in a batch."""
+    columns = {c: batch[c].tolist() for c in batch.columns}
+    marks = list(zip(*[columns[k] for k in keys]))
+    low = 0
+    while low < len(marks):
+        high = low + 1
+        while high < len(marks) and marks[high] == marks[low]:
+            high += 1
+        yield marks[low], {c: values[low:high] for c, values in columns.items()}
+        low = high
 
 
-def answered(build: Build, keys: Sequence[str]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def answered(build: Build, keys: Sequence[str], names: Sequence[str]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, held, ask = None, [], None
-        for (*block, kind), part in runs_of(batches, [*keys, "_kind"]):
-            if block != here:
-                here, held, ask = block, [], None
-            if kind == 0:
-                held.append(part)
-            elif held:
-                ask = ask or build(pd.concat(held, ignore_index=True))
-                yield ask(part)
+        here, held, ask = None, None, None
+        for batch in batches:
+            found: list[tuple] = []
+            for (*block, kind), part in runs_of(batch, [*keys, "_kind"]):
+                if block != here:
+                    here, held, ask = block, None, None
+                if kind == 0:
+                    held = part if held is None else {c: held[c] + part[c] for c in held}
+                elif held is not None:
+                    ask = ask or build(held)
+                    found += ask(part)
+            if found:
+                yield pd.DataFrame(found, columns=names)
 
     return run
 
@@ -75,4 +81,4 @@ def meet(
 
     dealt = cut(index, "_piece", "_pieces", "_part", "_parts", 0).unionByName(cut(queries, "_part", "_parts", "_piece", "_pieces", 1))
     block = [*keys, "_piece", "_part"]
-    return dealt.repartition(*block).sortWithinPartitions(*block, "_kind").mapInPandas(answered(build, block), schema)
+    return dealt.repartition(*block).sortWithinPartitions(*block, "_kind").mapInPandas(answered(build, block, StructType.fromDDL(schema).names), schema)

@@ -14,6 +14,7 @@ other cells whose box is nearer than its stopping distance, which its first neig
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from math import ceil, log2
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.blocks import meet
+from pressroom.llm.blocks import Build, Rows, meet
 from pressroom.llm.rows import bound_batches
 from pressroom.operators.skew import first_rows
 from pressroom.session import cut_lineage
@@ -61,7 +62,7 @@ def lengths(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt((vectors * vectors).sum(axis=1))
 
 
-def padded(rows: pd.Series, width: int) -> np.ndarray:
+def padded(rows: Sequence, width: int) -> np.ndarray:
     """Vectors as doubles, short ones filled with zeros; extreme ones scaled by a power of two, which changes no cosine."""
     made = np.zeros((len(rows), width))
     for i, row in enumerate(rows):
@@ -156,14 +157,14 @@ class Found:
                 self.limit = min(self.limit, (max(0.0, 2 + 2 * self.best[-1][0]) + 1e-9) * stretched)
 
 
-def searcher(width: int, dimensions: int = DIMENSIONS, sure: float = SURE, nearest: int = NEAREST):
+def searcher(width: int, dimensions: int = DIMENSIONS, sure: float = SURE, nearest: int = NEAREST) -> Build:
     """What builds the tree of a block and answers its queries: k1, k2 and ``found``, the ``nearest`` + 1 best of (score, id).
 
     Queries bring ``bound``, the squared projected distance at which they may stop, or null.
     """
     stretched = stretch(sure, dimensions)
 
-    def build(index: pd.DataFrame):
+    def build(index: Rows) -> Callable[[Rows], list[tuple]]:
         vectors = padded(index["v"], width)
         sizes, ids = lengths(vectors), [list(i) for i in index["ids"]]
         tree = Tree(projected(vectors, dimensions))
@@ -187,13 +188,11 @@ def searcher(width: int, dimensions: int = DIMENSIONS, sure: float = SURE, neare
                 found.add(scores, [ids[i] for i in rows.tolist()], stretched)
             return [(-score, i) for score, i in found.best]
 
-        def answer(queries: pd.DataFrame) -> pd.DataFrame:
+        def answer(queries: Rows) -> list[tuple]:
             asked = padded(queries["v"], width)
-            bounds = queries["bound"].to_numpy(dtype=np.float64)
+            bounds = np.array(queries["bound"], dtype=np.float64)
             found = [search(*each) for each in zip(asked, projected(asked, dimensions), bounds)]
-            made = pd.DataFrame({"k1": queries["k1"].to_numpy(), "k2": queries["k2"].to_numpy()})
-            made["found"] = [[{"score": s, "id": i} for s, i in rows] for rows in found]
-            return made
+            return [(a, b, [{"score": s, "id": i} for s, i in rows]) for a, b, rows in zip(queries["k1"], queries["k2"], found)]
 
         return answer
 

@@ -14,13 +14,13 @@ whole numbers serve as bitsets of any width.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.llm.blocks import meet
+from pressroom.llm.blocks import Rows, meet
 from pressroom.llm.rows import ascii_lower
 from pressroom.session import cut_lineage
 
@@ -59,42 +59,54 @@ def halves(word: Column, length: Column) -> Column:
     )
 
 
-def near_in(index: pd.DataFrame):
+def bitsets(letters: Sequence[str]) -> dict[str, int]:
+    """For each letter, the numbers of the words that have it at this position, as bits."""
+    if len(letters) < 256:
+        found: dict[str, int] = defaultdict(int)
+        for number, letter in enumerate(letters):
+            found[letter] |= 1 << number
+        return found
+    codes = np.array(letters)
+    return {str(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes)}
+
+
+def near_in(index: Rows) -> Callable[[Rows], list[tuple]]:
     """A function that finds the words of the block one edit away from each query word."""
-    stored, counts = index["word"].tolist(), index["n"].tolist()
+    stored, counts = index["word"], index["n"]
     length = len(stored[0])
-    letters: list[dict[str, int]] = [defaultdict(int) for _ in range(length)]
-    for number, word in enumerate(stored):
-        bit = 1 << number
-        for place, letter in enumerate(word):
-            letters[place][letter] |= bit
+    half = (length - 1) // 2
+    letters = [bitsets(place) for place in zip(*stored)]
     every = (1 << len(stored)) - 1
-    none: dict[str, int] = {}
-
-    def at(place: int) -> dict[str, int]:
-        return letters[place] if 0 <= place < length else none
 
     def near(word: str) -> int:
         """Bits of the stored words that are one replaced, additional or missing letter away (or equal, in case of the first)."""
         exact, replaced, longer, shorter = every, 0, 0, 0
-        for i, letter in enumerate(word):
-            here = at(i).get(letter, 0)
-            if len(word) == length:
+        if len(word) == length:
+            for i, letter in enumerate(word):
+                here = letters[i].get(letter, 0)
                 replaced = (replaced & here) | exact
-            elif len(word) < length:
-                longer = (longer | exact) & at(i + 1).get(letter, 0)
-            else:
-                shorter = (shorter & at(i - 1).get(letter, 0)) | exact
-            exact &= here
-            if not exact | replaced | longer | shorter:
+                exact &= here
+                if not replaced:  # holds all that is exact
+                    return 0
+            return replaced
+        if len(word) < length:
+            for i, letter in enumerate(word):
+                longer = (longer | exact) & letters[i + 1].get(letter, 0)
+                exact &= letters[i].get(letter, 0)
+                if not exact | longer:
+                    return 0
+            return longer | exact
+        for i, letter in enumerate(word):
+            shorter = (shorter & letters[i - 1].get(letter, 0) if i else 0) | exact
+            exact &= letters[i].get(letter, 0) if i < length else 0
+            if not shorter:
                 return 0
-        return replaced if len(word) == length else longer | exact if len(word) < length else shorter
+        return shorter
 
-    def answer(queries: pd.DataFrame) -> pd.DataFrame:
+    def answer(queries: Rows) -> list[tuple]:
         rows = []
         for side, word in zip(queries["side"], queries["word"]):
             found, n, best, best_n = near(word), 0, None, 0
-            half = (length - 1) // 2
             while found:
                 low = found & -found
                 found ^= low
@@ -107,7 +119,7 @@ def near_in(index: pd.DataFrame):
                     best, best_n = other, counts[number]
             if n:
                 rows.append((word, n, best, best_n))
-        return pd.DataFrame(rows, columns=["word", "n_near", "best", "best_n"])
+        return rows
 
     return answer
 
