@@ -567,22 +567,23 @@ def preprocessing_variants(spark, sf):
     return derived.preprocessing_runs(spark, sf).select(F.col("run id"), runs.variant_name(flags).alias("used model"))
 
 
-def _sweeps(spark: SparkSession, sf: str) -> DataFrame:
+def _sweeps(spark: SparkSession, sf: str) -> str:
+    """The folder that the runs were written to as files."""
     root = scratch(spark, "runs")
     runs.write_sweeps(derived.run_texts(spark, sf), root)
-    return runs.read_sweeps(spark, root)
+    return root
 
 
 @query
 def run_files_report(spark, sf):
     """Runs written as files, some lost or cut short, and what the reader finds of each sweep."""
-    return runs.sweep_report(_sweeps(spark, sf))
+    return runs.sweep_report(runs.read_sweeps(spark, _sweeps(spark, sf)))
 
 
 @query
 def run_files_results(spark, sf):
     """The result table of the runs whose files are whole."""
-    table = runs.results_table(_sweeps(spark, sf).where("status = 'complete'"), schemas.ABLATION_FLAGS)
+    table = runs.results_table(runs.read_runs(spark, _sweeps(spark, sf), sweeps=True), schemas.ABLATION_FLAGS)
     units = "newsencoder units per layer"
     return table.withColumn(units, F.array_join(units, ","))
 

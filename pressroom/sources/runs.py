@@ -17,21 +17,18 @@ def variant_name(flags: Sequence[tuple[Column, str]]) -> Column:
     return F.when(F.size(parts) == 0, F.lit(schemas.PLAIN_VARIANT)).otherwise(F.array_join(parts, "+"))
 
 
-def _documents(spark: SparkSession, pattern: str, schema: T.StructType, alias: str, one_per_file: bool) -> DataFrame:
-    """Every JSON document under ``pattern``: its folder and file, ``alias`` with the parsed columns, and whether it could not be parsed."""
-    read = spark.read.schema(_with_corrupt(schema)).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE")
-    files = read.option("multiLine", one_per_file).json(pattern)
-    path = F.col("_metadata.file_path")
-    columns = [F.col(f"`{c}`") for c in schema.fieldNames()]
-    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
-    # Parsed text and its flag are taken together, so the flag is never asked for alone.
-    return files.select(folder.alias("folder"), F.struct(*columns).alias(alias), F.col("_corrupt").isNotNull().alias("corrupt"))
-
-
 def _with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
 
 
+def _parsed(text: Column, schema: T.StructType, name: str) -> list[Column]:
+    """The JSON document as ``name``, null where it cannot be parsed, and ``<name>_corrupt``, which says so."""
+    read = F.from_json(text, _with_corrupt(schema), {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
+    bad = read.isNull() | read["_corrupt"].isNotNull()
+    document = F.struct(*[read[c].alias(c) for c in schema.fieldNames()])
+    return [F.when(~bad, document).alias(name), bad.alias(f"{name}_corrupt")]
+
+
 def run_folders(spark: SparkSession, root: str) -> DataFrame:
     """One row per run folder under ``root``: ``folder, config, metrics, status``.
 
@@ -40,8 +37,9 @@ def run_folders(spark: SparkSession, root: str) -> DataFrame:
     """
     found = []
     for name, schema in (("config", schemas.config_schema()), ("metrics", schemas.metrics_schema())):
-        read = _documents(spark, f"{root}/*/{name}.json", schema, name, True)
-        found.append(read.select("folder", F.when(~F.col("corrupt"), F.col(name)).alias(name), F.col("corrupt").alias(f"{name}_corrupt")))
+        files = spark.read.text(f"{root}/*/{name}.json", wholetext=True)
+        folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
+        found.append(files.select(folder.alias("folder"), *_parsed(F.col("value"), schema, name)))
     return _with_status(found[0].join(found[1], "folder", "full"))
 
 
@@ -56,9 +54,13 @@ def _with_status(joined: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).drop("config_corrupt", "metrics_corrupt")
 
 
-def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """One row per run folder with the nested ``config`` and ``metrics``. Runs that are not complete are left out."""
-    return run_folders(spark, root).where("status = 'complete'").drop("status")
+def read_runs(spark: SparkSession, root: str, sweeps: bool = False) -> DataFrame:
+    """One row per run with the nested ``config`` and ``metrics``, from ``run_folders`` or, with ``sweeps``, ``read_sweeps``.
+
+    Runs that are not complete are left out.
+    """
+    found = read_sweeps(spark, root) if sweeps else run_folders(spark, root)
+    return found.where("status = 'complete'").drop("status")
 
 
 def write_sweeps(documents: DataFrame, root: str) -> None:
@@ -80,12 +82,8 @@ def read_sweeps(spark: SparkSession, root: str) -> DataFrame:
     for name, schema in (("config", schemas.config_schema()), ("metrics", schemas.metrics_schema())):
         lines = spark.read.option("recursiveFileLookup", True).text(f"{root}/{name}")
         sweep = F.regexp_extract("_metadata.file_path", r"sweep=([^/]+)/[^/]+$", 1)
-        text = F.substring_index("value", "\t", -1)
-        parsed = F.from_json(text, _with_corrupt(schema), {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
-        rows = lines.select(sweep.alias("sweep"), F.substring_index("value", "\t", 1).alias("run_id"), parsed.alias("d"))
-        document = F.struct(*[F.col(f"d.`{c}`").alias(c) for c in schema.fieldNames()])
-        bad = F.col("d._corrupt").isNotNull() | F.col("d").isNull()
-        found.append(rows.select("sweep", "run_id", F.when(~bad, document).alias(name), bad.alias(f"{name}_corrupt")))
+        run, text = F.substring_index("value", "\t", 1), F.substring_index("value", "\t", -1)
+        found.append(lines.select(sweep.alias("sweep"), run.alias("run_id"), *_parsed(text, schema, name)))
     return _with_status(found[0].join(found[1], ["sweep", "run_id"], "full"))
 
 

@@ -109,3 +109,30 @@ def test_encoding(spark):
     got = [r[0] for r in table.select(experiments.encoded("loss", "cross_entropy_loss")).collect()]
     assert got == [1, 2, 2]
     assert math.isclose(sum(experiments.SCORE_WEIGHTS.values()), 1)
+
+
+def test_run_folders_that_are_not_whole(spark, tmp_path):
+    whole = {"config": '{"run_id": "r", "parameters": {"SEED": 3}}', "metrics": '{"auc": 0.5}'}
+    spoilt = {"complete": {}, "no config": {"config": None}, "no metrics": {"metrics": None}, "corrupt config": {"config": '{"run_id": '}, "corrupt metrics": {"metrics": "{{"}}
+    for status, change in spoilt.items():
+        folder = tmp_path / status.replace(" ", "_")
+        folder.mkdir()
+        for name, text in {**whole, **change}.items():
+            if text is not None:
+                (folder / f"{name}.json").write_text(text)
+    got = {r["folder"]: r for r in runs.run_folders(spark, str(tmp_path)).collect()}
+    assert {f: r["status"] for f, r in got.items()} == {s.replace(" ", "_"): s for s in spoilt}
+    assert got["complete"]["config"]["parameters"]["SEED"] == 3 and got["corrupt_config"]["config"] is None
+    assert tuples(runs.read_runs(spark, str(tmp_path)), "folder") == [("complete",)]
+
+
+def test_sweeps(spark, tmp_path):
+    rows = [("1", f"run_{i}", None if i == 0 else '{"run_id": "run_%d", "parameters": {"SEED": %d}}' % (i, i), None if i == 1 else '{"auc": 0.5}' if i != 2 else '{"auc"') for i in range(6)]
+    rows.append(("2", "run_9", "{", "{"))
+    runs.write_sweeps(spark.createDataFrame(rows, "sweep string, run_id string, config string, metrics string"), str(tmp_path))
+    read = runs.read_sweeps(spark, str(tmp_path))
+    assert {r["run_id"]: r["status"] for r in read.collect()} == {
+        "run_0": "no config", "run_1": "no metrics", "run_2": "corrupt metrics", "run_3": "complete", "run_4": "complete", "run_5": "complete", "run_9": "corrupt config"
+    }
+    report = {r["sweep"]: r for r in runs.sweep_report(read).collect()}
+    assert (report["1"]["n_runs"], report["1"]["n_complete"], report["1"]["n_corrupt_metrics"]) == (6, 3, 1) and report["2"]["n_corrupt_config"] == 1

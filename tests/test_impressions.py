@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from conftest import tuples
+from conftest import plan_of, tuples
 from pyspark.sql import functions as F
 from test_features import DAY, behaviors, history, times
 
@@ -134,3 +134,37 @@ def test_test_impressions(spark, log, recent):
     (row,) = impressions.test_impressions(test, recent_test, engagement).collect()
     assert (row["impression_id"], row["labels"], row["article_ids_clicked"]) == (0, [0, 0, 0], [])
     assert (row["premium_propensity"], row["reading_engagement"]) == (0, 3)
+
+
+def test_negatives_without_replacement(spark, log):
+    rows = impressions.negative_samples(log, per_click=2, with_replacement=False).collect()
+    assert sorted((r["impression_id"], r["clicked_article_id"]) for r in rows) == [(0, 20), (2, 10), (2, 40)]
+    for row in rows:
+        drawn = [a for a, label in zip(row["article_ids_inview"], row["labels"]) if label == 0]
+        assert sorted(drawn) == {0: [10, 30], 2: [20, 30]}[row["impression_id"]]
+    few = impressions.negative_samples(log, per_click=5, with_replacement=False).collect()
+    assert all(len(set(r["article_ids_inview"])) == len(r["article_ids_inview"]) == 3 for r in few)  # two unclicked articles only
+    many = behaviors(spark, [{"user_id": i, "article_ids_inview": list(range(12)), "article_ids_clicked": [i % 12]} for i in range(200)])
+    one, other = (impressions.negative_samples(many.repartition(n), per_click=3, with_replacement=False) for n in (1, 6))
+    assert tuples(one, "impression_id", "article_ids_inview", "labels") == tuples(other, "impression_id", "article_ids_inview", "labels")
+    seen = [a for r in one.collect() for a, label in zip(r["article_ids_inview"], r["labels"]) if label == 0]
+    assert all(seen.count(a) > 20 for a in range(12)) and len({r["labels"].index(1) for r in one.collect()}) == 4
+
+
+@pytest.mark.parametrize("min_rows", [200_000, 2])
+def test_lists_are_mapped_together(spark, min_rows):
+    mapping = spark.createDataFrame([(1, 0.5, 10), (2, None, 20), (3, 1.5, 30)], "article_id bigint, x double, y int")
+    rows = [(0, [1, 2, 9], [3, 1]), (1, [], None), (2, [None, 3], [9]), (3, [1] * 30, [3, 3])]
+    table = spark.createDataFrame(rows, "impression_id bigint, seen array<bigint>, shown array<bigint>").repartition(3)
+    got = {r[0]: tuple(r)[1:] for r in impressions.mapped_lists(table, ["seen", "shown"], mapping, {"x": 0.0, "y": -1.0}, min_rows=min_rows).collect()}
+    values = {1: (0.5, 10.0), 2: (0.0, 20.0), 3: (1.5, 30.0)}
+    for i, seen, shown in rows:
+        want = [[values.get(a, (0.0, -1.0))[j] for a in ids or []] for ids in (seen, shown) for j in (0, 1)]
+        assert got[i] == tuple(want)
+
+
+def test_mapped_lists_join_once(spark):
+    mapping = spark.createDataFrame([(1, 0.5, 10)], "article_id bigint, x double, y int")
+    table = spark.createDataFrame([(0, [1], [2])], "impression_id bigint, seen array<bigint>, shown array<bigint>")
+    text = plan_of(impressions.mapped_lists(table, ["seen", "shown"], mapping, {"x": 0.0, "y": 0.0}))
+    assert text.count("\n(") and text.split("Physical Plan")[1].split("\n\n")[0].count("LeftOuter") <= 3

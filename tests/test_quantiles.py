@@ -62,3 +62,28 @@ def test_grouped_median_of_nan_infinity_and_null_keys(spark, min_rows):
     got = {r.k: str(r.m) for r in grouped_median(table, "k", "v", "m", min_rows).collect()}
     assert got == {1: "nan", 2: "inf", 3: "-inf", None: "6.0"}
     assert grouped_median(table, "k", "v", "m", min_rows).count() == 4
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_hot_null_keys_are_taken_apart(spark, monkeypatch, counted):
+    """A third of all rows have no key; they go by value ranges over many tasks, as those of any large key."""
+    from pressroom.operators import quantiles
+
+    rng = random.Random(8)
+    rows = [(None if i % 3 == 0 else i % 50, rng.expovariate(0.01)) for i in range(3_000)]
+    table = spark.createDataFrame(rows, "k int, v double").repartition(16)
+    apart = []
+    plain = quantiles.ranked_values
+    monkeypatch.setattr(quantiles, "ranked_values", lambda df, *a, **k: apart.append(df) or plain(df, *a, **k))
+    counts = table.groupBy("k").agg(F.count(F.lit(1)).alias("_rows")) if counted else None
+    got = {r.k: r.m for r in grouped_median(table, "k", "v", "m", 500, counted=counts).collect()}
+    for key in [None, *range(50)]:
+        known = [v for k, v in rows if k == key]
+        assert key not in got and not known or got[key] == pytest.approx(np.median(known), rel=1e-12)
+    assert [r[0] for r in apart[0].select("_key.key").distinct().collect()] == [None] and apart[0].count() == 1_000
+
+
+def test_counted_medians_without_large_keys_read_once(spark):
+    table = spark.createDataFrame([(1, 2.0), (1, 4.0), (None, 1.0)], "k int, v double")
+    counts = table.groupBy("k").agg(F.count(F.lit(1)).alias("_rows"))
+    assert {r.k: r.m for r in grouped_median(table, "k", "v", "m", 10, counted=counts).collect()} == {1: 3.0, None: 1.0}

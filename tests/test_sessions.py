@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pressroom.operators.sessions import (
     meaningful,
     session_hour_propensity,
+    sessions_of_entries,
     time_profile,
     user_sessions,
     user_sessions_from_lists,
@@ -114,3 +115,57 @@ def test_profile_shares_sum_to_one(spark):
         assert sum(shares) == pytest.approx(1, abs=1e-5)
     for row in session_hour_propensity(sessions).collect():
         assert wide[row["user_id"]][row["session_hour"]] == row["propensity"]
+
+
+def plain_sessions(rows, gap=HOUR):
+    """Sessions of (user, split, offsets or None) in list order, one entry at a time."""
+    found = []
+    for user in sorted({u for u, _, _ in rows}):
+        number = 0
+        for _, split, offsets in sorted((r for r in rows if r[0] == user), key=lambda r: r[1]):
+            before, first = None, True
+            for o in offsets or [None]:
+                if first or o is None or before is None or o - before > gap:
+                    number += 1
+                    found.append([user, split, number, 0, None, None])
+                last = found[-1]
+                last[3] += 1
+                if o is not None:
+                    last[4], last[5] = min(o, last[4] if last[4] is not None else o), max(o, last[5] if last[5] is not None else o)
+                before, first = o, False
+    return sorted(map(tuple, found), key=repr)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 16, 4_096])
+def test_partial_sessions_are_stitched_across_chunks(spark, chunk):
+    rng = random.Random(chunk)
+    rows = []
+    for user in range(12):
+        for split in ("train", "validation"):
+            steps = [rng.choice([0, HOUR // 3, HOUR, HOUR + 1, -HOUR, 5 * HOUR]) for _ in range(rng.randint(0, 40))]
+            offsets, now = [], 0
+            for step in steps:
+                now += step
+                offsets.append(None if rng.random() < 0.1 else now)
+            rows.append((user, split, None if user == 3 and split == "train" else offsets))
+    table = lists(spark, [(u, s, None if o is None else [None if x is None else START + timedelta(microseconds=x) for x in o]) for u, s, o in rows])
+    base = int(START.timestamp()) * 1_000_000
+    got = [
+        (r.user_id, r.split, r.session_no, r.n_impressions, *[None if x is None else x - base for x in (r.start_us, r.end_us)])
+        for r in user_sessions_from_lists(table, chunk=chunk).collect()
+    ]
+    assert sorted(got, key=repr) == plain_sessions(rows)
+
+
+def test_a_user_with_very_many_entries_is_the_work_of_many_tasks(spark):
+    """Half of all entries are one user's; no window holds more than a chunk of them."""
+    long = spark.range(40_000).select(
+        F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).cast("bigint").alias("user_id"), F.lit("train").alias("split"),
+        F.when(F.col("id") % 2 == 0, F.floor(F.col("id") / 2)).otherwise(0).alias("_pos"), (F.col("id") * F.lit(HOUR // 4)).alias("_us"),
+    )
+    found = sessions_of_entries(long, chunk=500)
+    hot = found.where("user_id = -1").collect()
+    assert len(hot) == 1 and hot[0].n_impressions == 20_000 and found.count() == 20_001
+    shuffled = long.withColumn("_chunk", F.floor(F.col("_pos") / 500)).repartition(32, "user_id", "split", "_chunk")
+    tasks = shuffled.where("user_id = -1").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 15

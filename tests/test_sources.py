@@ -112,3 +112,46 @@ def test_cut_lineage_needs_a_shared_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         cut_lineage(Frame())
+
+
+def test_partitions_are_replaced_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = spark.createDataFrame([(i, "a" if i < 900 else "b") for i in range(1_000)], "x int, split string")
+    tables.write_partitions(rows.repartition(7), path, ["split"])
+    assert len(list((tmp_path / "table" / "split=b").glob("part-*"))) == 1  # one file, however many tasks had its rows
+    new = spark.createDataFrame([(-1, "b")], "x int, split string")
+    for _ in range(2):  # run again, as after a lost job
+        tables.write_partitions(new, path, ["split"])
+        assert tuples(spark.read.parquet(path).where("split = 'b'"), "x") == [(-1,)]
+    assert spark.read.parquet(path).where("split = 'a'").count() == 900
+
+
+def test_a_large_partition_is_split_into_files_of_one_size(spark, tmp_path):
+    saved = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(0, 60_000, 1, 24).select(F.md5(F.col("id").cast("string")).alias("x"), F.when(F.col("id") < 59_900, "big").otherwise("small").alias("split"))
+        tables.write_partitions(rows, str(tmp_path / "t"), ["split"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", saved)
+    assert len(list((tmp_path / "t" / "split=big").glob("part-*"))) > 5
+    assert len(list((tmp_path / "t" / "split=small").glob("part-*"))) == 1
+
+
+@pytest.mark.parametrize("file_lines", [7, 100, 10_000])
+def test_ordered_lines(spark, tmp_path, file_lines):
+    rows = [(i, None if i == 5 else f"{i} [{i % 3}]") for i in range(300)]
+    path = str(tmp_path / "lines")
+    tables.write_ordered_lines(spark.createDataFrame(rows, "id bigint, value string").repartition(9, "value"), path, ["id"], file_lines=file_lines)
+    files = sorted((tmp_path / "lines").glob("part-*"))
+    text = "".join(f.read_text() for f in files)
+    assert text == "".join(f"{v or ''}\n" for _, v in rows) and (len(files) > 1) == (file_lines < 300)
+    assert [tuple(r) for r in tables.read_ordered_lines(spark, path).orderBy("line").collect()] == [(i + 1, v or "") for i, v in rows]
+    tables.write_ordered_lines(spark.createDataFrame([], "id bigint, value string"), path, ["id"])
+    assert tables.read_ordered_lines(spark, path).count() == 0
+
+
+def test_metrics_are_read_back(spark, tmp_path):
+    metrics = spark.createDataFrame([("train", 0.1 + 0.2, None)], "split string, auc double, `ndcg@5` double")
+    tables.write_metrics(metrics, str(tmp_path / "m"))
+    assert tuples(tables.read_metrics(spark, str(tmp_path / "m"), "split string, auc double, `ndcg@5` double")) == [("train", 0.1 + 0.2, None)]
