@@ -3,7 +3,7 @@
 Training counts hashed letter trigrams per language, and which scripts a language is written in. A text
 is cut into runs of letters; the script of a run narrows the languages it may be in, its trigrams score
 those that remain, and a Viterbi pass over the runs, with a penalty for every change of language, labels
-spans. Most texts need no pass: when no stretch of runs gains as much from another language as one
+spans. Most texts need no pass: when no stretch of runs gains as much from other languages as one
 change costs, the single best language is the best path.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pressroom.llm.rows import bound_batches, over_texts, text_function
 
 BUCKETS = 2**15
+#: Numbers of a text's scores that are made at once.
+LETTERS = 2**22
 # Scripts and the code points they cover; letters elsewhere are of script 0.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF)],
@@ -123,21 +125,26 @@ def train(
     """A model of the labelled rows of ``docs``.
 
     Per language, about ``per_language`` rows are read, chosen by a hash of the key: each row is taken with
-    the same chance, ``per_language`` over the language's count. Texts are not shuffled. The driver
-    receives the counts of the languages and at most ``BUCKETS`` counts for each; more than
-    ``most_languages`` labels are refused. A table without labelled rows gives a model without languages.
+    the same chance, ``per_language`` over the language's count. Texts are not shuffled. Of more than
+    ``most_languages`` labels, those with most rows are learned, of equal counts the first in order; the others are no
+    language of the model. The driver receives the counts of these languages and at most ``BUCKETS`` counts for each. A
+    table without labelled rows gives a model without languages.
     """
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     bound_batches(docs.sparkSession)
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(most_languages + 1).collect()
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    counts = counted.orderBy(F.desc("rows"), "lang").limit(most_languages).collect()
     if not counts:
         return build(pd.DataFrame({"lang": [], "feature": [], "n": []}))
-    rows = F.create_map(*[F.lit(value) for row in counts for value in (row["lang"], row["rows"])])
+    share = {row["lang"]: per_language / row["rows"] for row in counts}
+
+    @F.pandas_udf("double")
+    def wanted(langs: pd.Series) -> pd.Series:
+        return langs.map(share).fillna(0.0).astype("float64")
+
     chance = F.pmod(F.xxhash64(F.col("key")), F.lit(1_000_000)) / 1_000_000
-    chosen = labelled.where(chance * rows[F.col("lang")] < per_language).select("lang", "text")
+    chosen = labelled.where(chance < wanted("lang")).select("lang", "text")
     summed = (
         chosen.mapInPandas(count_rows, "lang string, feature bigint, n bigint")
         .groupBy("lang", "feature").agg(F.sum("n").alias("n"))
@@ -145,12 +152,20 @@ def train(
     return build(summed.toPandas())
 
 
+def largest_gain(scores: np.ndarray, best: int) -> float:
+    """The most that a stretch of runs could gain, each run in its best language other than ``best``."""
+    others = scores.copy()
+    others[:, best] = -np.inf
+    sums = np.append(0.0, np.cumsum(others.max(axis=1) - scores[:, best]))
+    return float((sums[1:] - np.minimum.accumulate(sums)[:-1]).max())
+
+
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Label of every run: the path of largest score, less ``penalty`` for every change."""
     runs, n = scores.shape
-    totals = scores.sum(axis=0)
-    best = int(totals.argmax())
-    if scores.max(axis=1).sum() - totals[best] < penalty:  # what any path could gain by changes
+    best = int(scores.sum(axis=0).argmax())
+    # A path has at least as many changes as stretches off the best language; none of them can pay for its own.
+    if n == 1 or largest_gain(scores, best) < penalty:
         return np.full(runs, best)
     here, back = scores[0].copy(), np.empty((runs, n), dtype=np.int16)
     stay = np.arange(n)
@@ -166,12 +181,23 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     return labels
 
 
+def run_scores(model: Model, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log-probability of every run of letters under every language, ``LETTERS`` numbers at a time."""
+    scores = np.zeros((len(first), len(model.languages)))
+    step = max(1, LETTERS // len(model.languages))
+    for low in range(0, len(buckets), step):
+        part = buckets[low : low + step]
+        a, b = int(np.searchsorted(first, low, side="right")) - 1, int(np.searchsorted(first, low + len(part)))
+        scores[a:b] += np.add.reduceat(model.logs[part], np.maximum(first[a:b], low) - low, axis=0)
+    return scores
+
+
 def label(text: str, model: Model, penalty: float) -> tuple[str, float, list[tuple[int, int, str]]]:
     """(language, score, spans of (start, end, language)) of a text."""
     buckets, first, ends, scripts = trigrams(text)
     if not len(first) or not model.languages:
         return UNKNOWN, 0.0, []
-    scores = np.add.reduceat(model.logs[buckets], first, axis=0).astype(np.float64)
+    scores = run_scores(model, buckets, first)
     allowed = model.scripts[scripts]
     allowed |= ~allowed.any(axis=1, keepdims=True)
     letters = np.diff(np.append(first, len(buckets)))
