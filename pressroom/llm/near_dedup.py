@@ -15,7 +15,6 @@ names 2,081 values per fingerprint, and makes as many links at most, whatever th
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -129,18 +128,15 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD, key: str = "doc_id", te
     return joined.select(key, "fp", component)
 
 
-def one_of_each(
-    docs: DataFrame, crowd: int = CROWD, key: str = "doc_id", text: str = "text",
-    grouped: Callable[[DataFrame, str, str], DataFrame] | None = None,
-) -> DataFrame:
+def one_of_each(docs: DataFrame, crowd: int = CROWD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, with all columns: the one of the smallest key, then of the smallest digest.
 
-    ``grouped`` gives key and component_id of the rows of a table, by default ``near_duplicates``. Keys are taken
-    together with their texts, so rows that share a key are judged each by its own text. Rows without a key all stay.
+    Keys are taken together with their texts, so rows that share a key are judged each by its own text. Rows without a
+    key all stay. Null and empty texts have fingerprint zero and are one component; an empty table gives none.
     """
     digest = F.md5(F.coalesce(F.col(text), F.lit("")))
     keyed = docs.where(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("key"), digest.alias("digest")).alias("_both"), F.col(text).alias("_text"))
-    found = grouped(keyed, "_both", "_text") if grouped else near_duplicates(keyed, crowd, "_both", "_text")
+    found = near_duplicates(keyed, crowd, "_both", "_text")
     keepers = found.where("_both = component_id").select(F.col("_both.key").alias("_key"), F.col("_both.digest").alias("_digest")).distinct()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     marked = whole.where(F.col("row")[key].isNotNull())

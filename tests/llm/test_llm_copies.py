@@ -1,54 +1,35 @@
-"""The near-copy stage of the pipeline, against all pairs of texts."""
+"""The stage that keeps one of each group of near-duplicates, against all pairs of fingerprints."""
 
 from __future__ import annotations
 
-import itertools
-import re
-
 import corpus_pipeline
-import pytest
-from pressroom.llm import near_copies, near_dedup, queries
-from test_llm_corpus import smallest
-
-
-def plain_shingles(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
-
+from pressroom.llm import near_dedup, queries
+from test_llm_corpus import plain_components, plain_simhash
 
-def plain_copies(rows):
-    """key to component, of (key, text) rows."""
-    sets = {key: plain_shingles(text) for key, text in rows}
-    return smallest(list(sets), [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
 
-
-def test_edited_copies_leave_the_corpus(spark, small):
+def test_one_of_each_group_stays(spark, small):
     docs = queries.documents(spark, small)
-    want = plain_copies([(r.doc_id, r.text) for r in docs.collect()])
-    assert want[177] == 1 and want[145] == 6  # similarity 0.83, 11 and 7 bits of the SimHash
+    prints = {r.doc_id: plain_simhash(r.text) for r in docs.collect()}
+    want = plain_components(prints.items())
     got = corpus_pipeline.without_near_copies(spark, docs, small)
     assert got.columns == docs.columns
-    assert sorted(r.doc_id for r in got.collect()) == sorted(k for k, root in want.items() if k == root)
-    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == want
+    assert sorted(r.doc_id for r in got.collect()) == sorted(k for k, p in prints.items() if want[p] == k)
 
 
-def test_groups_of_near_copies_are_connected(spark):
-    base = [f"w{i}" for i in range(120)]
-    rows = [(i, " ".join([*base[: 7 * i % 115], f"new{i}", *base[7 * i % 115 + 1 :]])) for i in range(40)]
-    rows += [(100 + i, " ".join(base[:30] + [f"v{i}x{j}" for j in range(60)])) for i in range(20)] + [(200, None), (201, " "), (202, "a b"), (203, "A  b")]
+def test_edited_copies_of_long_texts_leave_the_corpus(spark):
+    """A word in a thousand changed moves few bits; the texts around them are left alone."""
+    words = [f"w{i * i % 7919}" for i in range(3_000)]
+    rows = [(i, " ".join([*words[: 70 * i], f"new{i}", *words[70 * i + 1 :]])) for i in range(20)]
+    rows += [(100 + i, " ".join(f"v{i}x{j}" for j in range(200))) for i in range(20)] + [(200, None), (201, " ")]
+    prints = {key: plain_simhash(text) for key, text in rows}
+    want = plain_components(prints.items())
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    want = plain_copies(rows)
-    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == want
-    assert sorted(r.doc_id for r in near_dedup.one_of_each(docs, grouped=near_copies.near_copies).collect()) == sorted(k for k, r in want.items() if k == r)
-
-
-def test_similarity():
-    assert near_copies.similarity("a b c d e f", "A b c d\ne g") == pytest.approx(1 / 3)
-    assert near_copies.similarity("", " ") == 1 and near_copies.similarity("", "a") == 0
+    kept = sorted(r.doc_id for r in near_dedup.one_of_each(docs).collect())
+    assert kept == sorted(k for k, p in prints.items() if want[p] == k)
+    assert len([k for k in kept if k < 20]) < 5 and set(range(100, 120)) < set(kept) and 201 not in kept
 
 
-@pytest.mark.parametrize("grouped", [None, near_copies.near_copies])
-def test_rows_that_share_a_key_are_judged_by_their_texts(spark, grouped):
+def test_rows_that_share_a_key_are_judged_by_their_texts(spark):
     a, b = "a stone bridge over the quiet river", "something else that is like no other text"
     docs = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id bigint, text string")
-    assert sorted((r.doc_id, r.text) for r in near_dedup.one_of_each(docs, grouped=grouped).collect()) == [(3, a), (5, b)]
+    assert sorted((r.doc_id, r.text) for r in near_dedup.one_of_each(docs).collect()) == [(3, a), (5, b)]
