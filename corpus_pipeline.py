@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm import byte_bpe, language_id, mixing, near_copies, near_dedup, secret_scan
+from pressroom.llm import byte_bpe, language_id, mixing, near_dedup, secret_scan
 from pressroom.session import cut_lineage
 
 
@@ -30,24 +30,35 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 or more of five-word shingles): the one with the smallest doc_id."""
-    return near_dedup.one_of_each(docs, grouped=near_copies.near_copies)
+    """One document of each group whose SimHash fingerprints are linked: the one with the smallest doc_id.
+
+    Rows that share a doc_id are judged each by its own text; repeated rows leave one. Rows without a doc_id all stay. Null
+    and empty texts have the same fingerprint, so one of them stays.
+    """
+    return near_dedup.one_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced and n_chars counted anew."""
+    """All documents, with secrets in their texts replaced and n_chars counted anew.
+
+    A null text stays null and has no count, an empty one stays empty; equal texts are treated alike, so repeated rows stay equal.
+    """
     clean = secret_scan.redacted(docs)
     n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
     return clean.withColumn("n_chars", n_chars)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which sources, languages and topics hold their target shares of the tokens."""
+    """A sample in which sources, languages and topics hold their target shares of the tokens.
+
+    Null sources and languages are values of their own. Texts without a token, null and empty ones, are never drawn. Rows
+    that share a doc_id are drawn together as far as their chances are the same.
+    """
     return mixing.sampled(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document: doc_id, lang, source, n_tokens and ids."""
+    """Token ids of every document: doc_id, lang, source, n_tokens and ids. Null and empty texts have none; every row gives one row."""
     rows = docs.select(F.struct("doc_id", "lang", "source").alias("kept"), "text")
     made = byte_bpe.encode_texts(rows, "byte_bpe_multi_50k.tiktoken", key="kept")
     return made.select("kept.*", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
