@@ -77,7 +77,8 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.license_scan(documents(spark, folder)).drop("spans")
+    written = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["edits"]))
+    return licenses.license_scan(documents(spark, folder)).withColumn("spans", F.array_join(written, ","))
 
 
 def op11_neighbours(spark: SparkSession, folder: str) -> DataFrame:
