@@ -2,9 +2,9 @@
 
 Vectors are scaled to length 1, so that the largest cosine is the smallest distance, and projected on ``DIMENSIONS`` Gaussian
 directions. The squared projected distance of two vectors, over their squared distance, is chi-square
-distributed with as many degrees of freedom. A search takes points in the order of their projected distance, verifies them on
-the original vectors, and stops when a point as near as the last one found would, with probability ``SURE``, have been
-projected nearer than the next one to come. Every true neighbour is missed with a chance of 1 - ``SURE`` at most.
+distributed with as many degrees of freedom. A search takes points in the order of their projected distance, a leaf of the tree at
+a time, verifies them on the original vectors, and stops when a point as near as the last one found would, with probability
+``SURE``, have been projected nearer than the next leaf. Every true neighbour is missed with a chance of 1 - ``SURE`` at most.
 
 Equal vectors are one point with its smallest ids. The upper levels of one kd-tree, fitted on a bounded sample of projections, deal
 all points to cells; a kd-tree over each cell is searched best first. A query visits its own cell, and then those
@@ -34,8 +34,8 @@ DIMENSIONS = 16
 SURE = 0.95
 SEED = 42
 #: Points per cell aimed at, the most cells, and projections read to lay them out.
-CELL, MOST_CELLS, SAMPLE = 1_024, 8_192, 65_536
-LEAF = 64
+CELL, MOST_CELLS, SAMPLE = 4_096, 8_192, 65_536
+LEAF = 256
 INDEX_ROWS, QUERY_ROWS = 16_384, 16_384
 
 
@@ -115,23 +115,29 @@ def laid_out(sample: np.ndarray, cells: int) -> Cells:
 
 
 class Tree:
-    """A kd-tree over projected points: halves where the points are widest, with the box of every node."""
+    """A kd-tree over projected points: halves where the points are widest, with the box of every node.
+
+    ``order`` has the points leaf by leaf; a leaf is the stretch ``spans[node]`` of it.
+    """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
-        self.low, self.high, self.children, self.rows = [], [], [], []
-        self.points = points
-        self.add(np.arange(len(points)), leaf)
-        self.low, self.high = np.array(self.low), np.array(self.high)
+        self.low, self.high, self.children, self.spans, parts = [], [], [], [], []
+        self.add(points, np.arange(len(points)), leaf, parts)
+        self.low, self.high, self.order = np.array(self.low), np.array(self.high), np.concatenate(parts)
 
-    def add(self, rows: np.ndarray, leaf: int) -> int:
-        number, inside = len(self.rows), self.points[rows]
+    def add(self, points: np.ndarray, rows: np.ndarray, leaf: int, parts: list[np.ndarray]) -> int:
+        number, inside = len(self.children), points[rows]
         low, high = inside.min(axis=0), inside.max(axis=0)
-        self.low.append(low), self.high.append(high), self.children.append(None), self.rows.append(rows)
+        self.low.append(low), self.high.append(high), self.children.append(None)
+        start = self.spans[-1][1] if self.spans else 0
+        self.spans.append((start, start))
         if len(rows) > leaf:
             order = rows[np.argsort(inside[:, int((high - low).argmax())], kind="stable")]
             half = len(order) // 2
-            self.children[number] = [self.add(order[:half], leaf), self.add(order[half:], leaf)]
-            self.rows[number] = None
+            self.children[number] = [self.add(points, part, leaf, parts) for part in (order[:half], order[half:])]
+        else:
+            parts.append(rows)
+            self.spans[number] = (start, start + len(rows))
         return number
 
     def away(self, nodes: list[int], point: np.ndarray) -> np.ndarray:
@@ -145,16 +151,22 @@ class Found:
     def __init__(self, most: int, limit: float) -> None:
         self.most, self.limit, self.best = most, limit, []
 
-    def add(self, scores: np.ndarray, ids: list, stretched: float) -> None:
-        floor = -self.best[-1][0] if len(self.best) == self.most else -np.inf
-        new = [(-score, i) for score, some in zip(scores.tolist(), ids) if score >= floor for i in some]
-        if new:
-            held: dict[int, float] = {}
-            for score, i in sorted(self.best + new):
-                held.setdefault(i, score)
-            self.best = [(score, i) for i, score in list(held.items())[: self.most]]
-            if len(self.best) == self.most:
-                self.limit = min(self.limit, (max(0.0, 2 + 2 * self.best[-1][0]) + 1e-9) * stretched)
+    def floor(self) -> float:
+        """The cosine that a point must reach to be among the best."""
+        return -self.best[-1][0] if len(self.best) == self.most else -np.inf
+
+    def add(self, scores: np.ndarray, ids: list[list[int]], stretched: float) -> None:
+        new = [(-score, i) for score, some in zip(scores.tolist(), ids) for i in some]
+        held: dict[int, float] = {}
+        for score, i in sorted(self.best + new):
+            held.setdefault(i, score)
+        self.best = [(score, i) for i, score in list(held.items())[: self.most]]
+        if len(self.best) == self.most:
+            self.limit = min(self.limit, (max(0.0, 2 + 2 * self.best[-1][0]) + 1e-9) * stretched)
+
+
+#: More than rounding can move a cosine.
+ROUNDING = 1e-9
 
 
 def searcher(width: int, dimensions: int = DIMENSIONS, sure: float = SURE, nearest: int = NEAREST) -> Build:
@@ -166,11 +178,14 @@ def searcher(width: int, dimensions: int = DIMENSIONS, sure: float = SURE, neare
 
     def build(index: Rows) -> Callable[[Rows], list[tuple]]:
         vectors = padded(index["v"], width)
-        sizes, ids = lengths(vectors), [list(i) for i in index["ids"]]
         tree = Tree(projected(vectors, dimensions))
+        vectors, ids = vectors[tree.order], [list(index["ids"][i]) for i in tree.order.tolist()]
+        sizes = lengths(vectors)
+        scaled = vectors / sizes[:, None]
 
         def search(vector: np.ndarray, point: np.ndarray, bound: float) -> list[tuple[float, int]]:
             size = float(np.sqrt((vector * vector).sum()))
+            asked = vector / size
             found = Found(nearest + 1, np.inf if np.isnan(bound) else bound)
             waiting = [(float(tree.away([0], point)[0]), 0)]
             while waiting:
@@ -182,10 +197,16 @@ def searcher(width: int, dimensions: int = DIMENSIONS, sure: float = SURE, neare
                         if there <= found.limit:
                             heapq.heappush(waiting, (there, child))
                     continue
-                rows = tree.rows[node]
-                rows = rows[((tree.points[rows] - point) ** 2).sum(axis=1) <= found.limit]
-                scores = (vectors[rows] * vector).sum(axis=1) / (sizes[rows] * size)
-                found.add(scores, [ids[i] for i in rows.tolist()], stretched)
+                low, high = tree.spans[node]
+                rough = scaled[low:high] @ asked
+                floor = found.floor()
+                if len(rough) > nearest + 1:  # no more than these of the leaf can be among the best
+                    floor = max(floor, float(np.partition(rough, -nearest - 1)[-nearest - 1]))
+                rows = low + np.flatnonzero(rough >= floor - ROUNDING)
+                if len(rows):
+                    # Summed along each row alone, so that a cosine is the same in any block.
+                    scores = (vectors[rows] * vector).sum(axis=1) / (sizes[rows] * size)
+                    found.add(scores, [ids[i] for i in rows.tolist()], stretched)
             return [(-score, i) for score, i in found.best]
 
         def answer(queries: Rows) -> list[tuple]:
