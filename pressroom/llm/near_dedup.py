@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pressroom.llm.components import components
 from pressroom.llm.rows import ascii_lowered, over_texts
-from pressroom.operators.skew import first_rows
+from pressroom.operators.skew import first_rows, skew_join
 from pressroom.session import cut_lineage
 
 RADIUS = 3
@@ -123,7 +123,8 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD, key: str = "doc_id", te
     groups = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     found = linked.join(groups, "root").select("fp", "component_id")
     every = nodes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    joined = prints.join(every, "fp", "left")
+    # A fingerprint may be that of a large share of all rows.
+    joined = skew_join(prints, every, ["fp"], [key], "left")
     component = F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id")
     return joined.select(key, "fp", component)
 
