@@ -18,8 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> Column:
-    """How many articles there are."""
-    return _table(spark, sf_dir, "documents").agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    """How many articles there are, counted from the files' footers rather than once per expression of the plan."""
+    return F.lit(max(1, _table(spark, sf_dir, "documents").count())).cast("bigint")
 
 
 def _article_id(k: Column, articles: Column, step: int = 0) -> Column:
