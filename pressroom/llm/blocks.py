@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pressroom.llm.rows import bound_batches
+from pressroom.session import cut_lineage
 
+#: Large blocks whose list is broadcast; a longer list is joined by a shuffle.
+MOST_LARGE = 500_000
 Rows = dict[str, list]
 #: Builds an index of its rows (columns as lists), which then answers queries (alike) with a list of result rows.
 Build = Callable[[Rows], Callable[[Rows], list[tuple]]]
@@ -71,12 +74,17 @@ def meet(
     counted = marked.groupBy(*keys).agg(F.sum("_i").alias("_held"), F.count(F.lit(1)).alias("_rows"))
     large = counted.where((F.col("_held") > index_rows) | (F.col("_rows") - F.col("_held") > query_rows))
     asked = F.col("_rows") - F.col("_held")
-    large = large.select(*keys, parts_of(F.col("_held"), index_rows).alias("_pieces"), parts_of(asked, query_rows).alias("_parts"))
+    large = cut_lineage(large.select(*keys, parts_of(F.col("_held"), index_rows).alias("_pieces"), parts_of(asked, query_rows).alias("_parts")))
+    blocks = large.count()  # one per ``index_rows`` or ``query_rows`` rows at most
+    one = F.lit(1).cast("bigint")
 
     def cut(rows: DataFrame, own: str, own_count: str, other: str, other_count: str, kind: int) -> DataFrame:
-        rows = rows.join(large, list(keys), "left").withColumn("_kind", F.lit(kind))
-        own_part = F.pmod(F.xxhash64(*spread), F.coalesce(own_count, F.lit(1).cast("bigint")))
-        every = F.sequence(F.lit(0).cast("bigint"), F.coalesce(other_count, F.lit(1).cast("bigint")) - 1)
+        rows = rows.withColumn("_kind", F.lit(kind))
+        if not blocks:
+            return rows.withColumn(own, one - 1).withColumn(other, one - 1)
+        rows = rows.join(F.broadcast(large) if blocks <= MOST_LARGE else large, list(keys), "left")
+        own_part = F.pmod(F.xxhash64(*spread), F.coalesce(own_count, one))
+        every = F.sequence(one - 1, F.coalesce(other_count, one) - 1)
         return rows.withColumn(own, own_part).withColumn(other, F.explode(every)).drop("_pieces", "_parts")
 
     dealt = cut(index, "_piece", "_pieces", "_part", "_parts", 0).unionByName(cut(queries, "_part", "_parts", "_piece", "_pieces", 1))
