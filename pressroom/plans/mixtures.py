@@ -14,14 +14,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressroom.session import cut_lineage
+
 #: Added to the diagonal of every covariance.
 FLOOR = 1e-6
 TINY = 10 * np.finfo(np.float64).eps
-#: Rows whose densities are made at once.
-CHUNK = 1_024
+#: Rows whose densities are made at once, and numbers of a row in one block of components: what a core's cache holds.
+CHUNK, BLOCK = 256, 600
 VALUES, HASH = "values", "hash"
 
 
@@ -61,15 +64,14 @@ class Mixture:
             self._whitening = inverse, constant
         return self._whitening
 
-    def log_parts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows less every mean (n, k, d), and their weighted log-densities (n, k)."""
+    def log_densities(self, rows: np.ndarray) -> np.ndarray:
+        """Weighted log-densities (n, k) of the rows by the components."""
         inverse, constant = self.whitening()
-        away = rows[:, None, :] - self.means
-        white = np.matmul(away.transpose(1, 0, 2), inverse)
-        return away, constant - 0.5 * (white * white).sum(axis=2).T
+        white = np.matmul((rows[:, None, :] - self.means).transpose(1, 0, 2), inverse)
+        return constant - 0.5 * (white * white).sum(axis=2).T
 
     def predict(self, rows: np.ndarray) -> np.ndarray:
-        labels = [self.log_parts(rows[i : i + CHUNK])[1].argmax(axis=1) for i in range(0, len(rows), CHUNK)]
+        labels = [self.log_densities(rows[i : i + CHUNK]).argmax(axis=1) for i in range(0, len(rows), CHUNK)]
         return np.concatenate(labels) if labels else np.zeros(0, dtype=np.int64)
 
 
@@ -77,68 +79,119 @@ def matrix(values: pd.Series, d: int) -> np.ndarray:
     return np.array(values.tolist(), dtype=np.float64).reshape(-1, d)
 
 
-def chunks(batches: Iterable[pd.DataFrame], d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def chunks(batches: Iterable[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
-        rows, hashes = matrix(batch[VALUES], d), batch[HASH].to_numpy(dtype=np.int64).view(np.uint64)
+        rows = batch.column(VALUES).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        hashes = batch.column(HASH).to_numpy(zero_copy_only=False).view(np.uint64)
         for low in range(0, len(rows), CHUNK):
             yield rows[low : low + CHUNK], hashes[low : low + CHUNK]
 
 
-def statistic_names(d: int) -> list[str]:
-    return ["n", "fit", *[f"s{i}" for i in range(d)], *[f"c{i}_{j}" for i in range(d) for j in range(i, d)]]
-
-
-Weigh = Callable[[Mixture, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-
-def soft(model: Mixture, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows less the means, the share of each component in each row, and each row's log-likelihood."""
-    away, logs = model.log_parts(rows)
-    top = logs.max(axis=1, keepdims=True)
-    shares = np.exp(logs - top)
-    total = shares.sum(axis=1, keepdims=True)
-    return away, shares / total, (top + np.log(total))[:, 0]
+@dataclass(frozen=True)
+class Stack:
+    """Many mixtures side by side, with their components numbered through. A pass then takes a few matrix products, whatever their number."""
 
-
-def hard(model: Mixture, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts: np.ndarray
+    sizes: np.ndarray
+    means: np.ndarray
+    #: About ``means.mean(axis=0)``: (d + 1, components * d), the last row for a column of ones. Not there for k-means.
+    whitening: np.ndarray | None = None
+    constants: np.ndarray | None = None
+
+    @staticmethod
+    def of(models: Sequence[Mixture], whitened: bool) -> Stack:
+        sizes = np.array([m.k for m in models])
+        means = np.concatenate([m.means for m in models])
+        starts = np.cumsum(sizes) - sizes
+        if not whitened:
+            return Stack(starts, sizes, means)
+        inverse = np.concatenate([m.whitening()[0] for m in models])
+        moved = np.einsum("kd,kde->ke", means - means.mean(axis=0), inverse)
+        k, d = means.shape
+        flat = np.concatenate([inverse.transpose(1, 0, 2).reshape(d, k * d), -moved.reshape(1, k * d)])
+        return Stack(starts, sizes, means, flat, np.concatenate([m.whitening()[1] for m in models]))
+
+    def squares(self, rows: np.ndarray) -> np.ndarray:
+        """Squared distances (n, components) from the means, in units of the covariances if these are there."""
+        (n, d), k = rows.shape, len(self.means)
+        found = np.empty((n, k))
+        ones = None if self.whitening is None else np.hstack([rows - self.means.mean(axis=0), np.ones((n, 1))])
+        step = max(1, BLOCK // d)
+        for low in range(0, k, step):
+            high = min(k, low + step)
+            if ones is None:
+                away = rows[:, None, :] - self.means[low:high]
+            else:
+                away = (ones @ self.whitening[:, low * d : high * d]).reshape(n, high - low, d)
+            found[:, low:high] = np.einsum("nkd,nkd->nk", away, away)
+        return found
+
+
+Weigh = Callable[[Stack, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def soft(stack: Stack, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of every component in each row (n, components), and the log-likelihood of the rows by each mixture."""
+    logs = stack.constants - 0.5 * stack.squares(rows)
+    top = np.maximum.reduceat(logs, stack.starts, axis=1)
+    shares = np.exp(logs - np.repeat(top, stack.sizes, axis=1))
+    total = np.add.reduceat(shares, stack.starts, axis=1)
+    return shares / np.repeat(total, stack.sizes, axis=1), (top + np.log(total)).sum(axis=0)
+
+
+def hard(stack: Stack, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As ``soft``, for k-means: each row belongs to the nearest mean; its fit is the squared distance, negative."""
-    away = rows[:, None, :] - model.means
-    squares = (away * away).sum(axis=2)
-    nearest = squares.argmin(axis=1)
+    squares = stack.squares(rows)
     shares = np.zeros(squares.shape)
-    shares[np.arange(len(rows)), nearest] = 1.0
-    return away, shares, -squares.min(axis=1)
+    for start, size in zip(stack.starts, stack.sizes):
+        shares[np.arange(len(rows)), start + squares[:, start : start + size].argmin(axis=1)] = 1.0
+    return shares, -np.minimum.reduceat(squares, stack.starts, axis=1).sum(axis=0)
 
 
 def one_pass(table: DataFrame, models: Sequence[Mixture], weigh: Weigh, d: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
     """Of every model: counts (k), sums (k, d) and cross products (k, d, d) about its means, and the total fit."""
-    names = statistic_names(d)
     upper = np.triu_indices(d)
-    starts = np.cumsum([0, *[m.k for m in models]])
+    width = 2 + d + len(upper[0])
+    stack = Stack.of(models, weigh is soft)
+    origin = stack.means.mean(axis=0)
+    parts = pa.schema([("fit", pa.int32()), ("sums", pa.list_(pa.float64()))])
 
-    def add(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((starts[-1], len(names)))
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(stack.means), width))
         for rows, _ in chunks(batches, d):
-            for model, start in zip(models, starts):
-                away, shares, fits = weigh(model, rows)
-                weighted = away * shares[:, :, None]
-                part = total[start : start + model.k]
-                part[:, 0] += shares.sum(axis=0)
-                part[0, 1] += fits.sum()
-                part[:, 2 : 2 + d] += weighted.sum(axis=0)
-                part[:, 2 + d :] += np.matmul(weighted.transpose(1, 2, 0), away.transpose(1, 0, 2))[:, upper[0], upper[1]]
-        yield pd.DataFrame(total, columns=names).assign(component=np.arange(len(total)))
-
-    schema = ", ".join(f"{c} double" for c in names) + ", component int"
-    summed = table.mapInPandas(add, schema).groupBy("component").agg(*[F.sum(c).alias(c) for c in names])
-    every = summed.toPandas().sort_values("component")[names].to_numpy()
+            shares, fits = weigh(stack, rows)
+            about = rows - origin
+            total[:, 0] += shares.sum(axis=0)
+            total[stack.starts, 1] += fits
+            total[:, 2:] += shares.T @ np.hstack([about, about[:, upper[0]] * about[:, upper[1]]])
+        cells = [total[start : start + size].ravel() for start, size in zip(stack.starts, stack.sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array(cells, parts.field(1).type)], schema=parts)
+
+    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for fit, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                cells = sums.values.to_numpy()
+                held[fit] = held[fit] + cells if fit in held else cells
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), parts.field(1).type)], schema=parts)
+
+    # A wide SQL aggregate of some hundred sums costs seconds of planning and compiling in every pass; these are arrays.
+    kind = "fit int, sums array<double>"
+    tasks = min(len(models), max(1, table.sparkSession.sparkContext.defaultParallelism))
+    summed = table.mapInArrow(add, kind).repartition(tasks, "fit").mapInArrow(merged, kind).toArrow()
+    by_fit = dict(zip(summed.column("fit").to_pylist(), summed.column("sums")))
+    every = np.concatenate([by_fit[i].values.to_numpy().reshape(-1, width) for i in range(len(models))])
     found = []
-    for model, start in zip(models, starts):
+    for model, start in zip(models, stack.starts):
         part = every[start : start + model.k]
-        products = np.zeros((model.k, d, d))
+        counts, sums, products = part[:, 0], part[:, 2 : 2 + d], np.zeros((model.k, d, d))
         products[:, upper[0], upper[1]] = part[:, 2 + d :]
         products[:, upper[1], upper[0]] = part[:, 2 + d :]
-        found.append((part[:, 0], part[:, 2 : 2 + d], products, float(part[0, 1])))
+        # From the common origin to the component's own mean.
+        move = model.means - origin
+        crossed = move[:, :, None] * sums[:, None, :]
+        products = products - crossed - crossed.transpose(0, 2, 1) + counts[:, None, None] * move[:, :, None] * move[:, None, :]
+        found.append((counts, sums - counts[:, None] * move, products, float(part[0, 1])))
     return found
 
 
@@ -172,7 +225,7 @@ def first_centres(table: DataFrame, seeds: Sequence[int], most: int, d: int) ->
     for turn in range(most):
         known = {seed: np.array(rows) for seed, rows in chosen.items()}
 
-        def race(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def race(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[int, tuple[float, list[float]]] = {}
             for rows, hashes in chunks(batches, d):
                 for seed, centres in known.items():
@@ -185,9 +238,10 @@ def first_centres(table: DataFrame, seeds: Sequence[int], most: int, d: int) ->
                     found = (float(times[first]), rows[first].tolist())
                     if np.isfinite(found[0]) and (seed not in best or found < best[seed]):
                         best[seed] = found
-            yield pd.DataFrame([(s, t, v) for s, (t, v) in best.items()], columns=["seed", "time", VALUES])
+            found = [{"seed": s, "time": t, VALUES: v} for s, (t, v) in best.items()]
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("seed", pa.int32()), ("time", pa.float64()), (VALUES, pa.list_(pa.float64()))]))
 
-        raced = table.mapInPandas(race, f"seed int, time double, {VALUES} array<double>")
+        raced = table.mapInArrow(race, f"seed int, time double, {VALUES} array<double>")
         firsts = raced.groupBy("seed").agg(F.min(F.struct("time", VALUES)).alias("first"))
         drawn = {r["seed"]: np.array(r["first"][VALUES]) for r in firsts.collect()}
         for seed, rows in chosen.items():
@@ -195,10 +249,15 @@ def first_centres(table: DataFrame, seeds: Sequence[int], most: int, d: int) ->
     return {seed: np.array(rows) for seed, rows in chosen.items()}
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """``table`` written once in as many parts as there are cores. A pass costs far more than its bytes, by which a scan would be split."""
+    return cut_lineage(table.repartition(max(1, table.sparkSession.sparkContext.defaultParallelism)))
+
+
 def fit_grid(
     table: DataFrame, settings: Sequence[tuple[int, int]], max_iter: int = 100, tolerance: float = 1e-3, lloyd: int = 10, floor: float = FLOOR
 ) -> dict[tuple[int, int], Mixture]:
-    """A mixture for each (k, seed). ``table`` has ``values`` and ``hash`` (see ``rows_for``) and is read once per pass.
+    """A mixture for each (k, seed). ``table`` has ``values`` and ``hash`` (see ``rows_for``); a copy of it is read once per pass.
 
     A fit has converged when its mean log-likelihood of a row moves by less than ``tolerance``; ``log_likelihood`` is that of
     the mixture returned. The draws of a seed are the same for every k, so fewer centres are the first of more.
@@ -206,7 +265,8 @@ def fit_grid(
     first = table.select(F.size(VALUES)).first()
     if first is None:
         raise ValueError("no rows to fit")
-    d, n = first[0], table.count()
+    d, table = first[0], dealt(table)
+    n = table.count()
     centres = first_centres(table, sorted({seed for _, seed in settings}), max(k for k, _ in settings), d)
     models = {(k, seed): Mixture(np.full(k, 1 / k), centres[seed][:k].copy(), np.zeros((k, d, d))) for k, seed in settings}
 

@@ -163,6 +163,34 @@ def test_reads_do_not_grow_with_the_grid(points_table, monkeypatch):
     assert max(reads) == 12 and len(reads) <= 11 + 6
 
 
+def test_passes_use_every_core(points_table, monkeypatch):
+    """A small table in one part is dealt out, as a pass costs far more than its bytes; a pass of a hundred columns makes no wide plan."""
+    _, table = points_table
+    seen = []
+    plain = mixtures.one_pass
+    monkeypatch.setattr(mixtures, "one_pass", lambda *a: seen.append(a[0].rdd.getNumPartitions()) or plain(*a))
+    mixtures.fit_grid(mixtures.rows_for(table.coalesce(1), F.col("values")), [(2, 1)], max_iter=2)
+    assert set(seen) == {table.sparkSession.sparkContext.defaultParallelism}
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_statistics_of_a_pass(points_table, parts):
+    """Counts, sums and cross products about each mean, far from zero as well."""
+    x, table = points_table
+    x = x + 500.0
+    moved = table.select(F.transform("values", lambda v: v + 500.0).alias("values")).repartition(parts)
+    rng = np.random.default_rng(3)
+    models = [mixtures.Mixture(np.full(k, 1 / k), x[rng.choice(len(x), k)], np.array([np.eye(3) * (i + 0.5) for i in range(k)])) for k in (1, 3, 4)]
+    found = mixtures.one_pass(mixtures.rows_for(moved, F.col("values")), models, mixtures.soft, 3)
+    for model, (counts, sums, products, fit) in zip(models, found):
+        dense = np.exp(model.log_densities(x))
+        share = dense / dense.sum(axis=1, keepdims=True)
+        away = x[:, None, :] - model.means
+        assert counts == pytest.approx(share.sum(axis=0)) and fit == pytest.approx(np.log(dense.sum(axis=1)).sum())
+        assert sums == pytest.approx(np.einsum("nk,nkd->kd", share, away), abs=1e-7)
+        assert products == pytest.approx(np.einsum("nk,nkd,nke->kde", share, away, away), abs=1e-6)
+
+
 def test_collapsed_components_keep_the_floor(spark):
     """Equal rows give a component without spread; more components than rows are fitted all the same."""
     rows = spark.createDataFrame([([1.0, 2.0],)] * 30 + [([float(i), -float(i)],) for i in range(3)], "values array<double>")
