@@ -160,16 +160,24 @@ def newton_sums(rows: DataFrame, weights: np.ndarray, values: Sequence[Column])
     return float(found[0]), found[1 : 1 + n], second + np.triu(second, 1).T
 
 
+#: Share of the loss by which its sum over many rows may be off: rounding grows with the rows, and the order of the tasks changes it.
+LOSS_NOISE = 1e-9
+
+
 def newton(
     rows: DataFrame, n: int, start: np.ndarray, reg_param: float, values: Sequence[Column], max_passes: int, tolerance: float = 1e-7
 ) -> tuple[np.ndarray, int]:
-    """Weights of the smallest mean loss plus half ``reg_param`` times the squared weights, without the intercept's."""
+    """Weights of the smallest mean loss plus half ``reg_param`` times the squared weights, without the intercept's.
+
+    A rise of the loss within its rounding does not count as too far a step. Near the smallest loss all steps look alike, and
+    halving them there would take every pass that is allowed, the more surely the more rows there are.
+    """
     penalty = np.append(np.full(len(start) - 1, reg_param), 0.0)
     here, before, least = start, start, math.inf
     for turn in range(1, max_passes + 1):
         loss, gradient, second = newton_sums(rows, here, values)
         total = loss / n + 0.5 * float((penalty * here * here).sum())
-        if total > least + 1e-12:
+        if total > least + LOSS_NOISE * abs(least) + 1e-12:
             here = (here + before) / 2  # too far: half the step
             continue
         step = np.linalg.lstsq(second / n + np.diag(penalty), gradient / n + penalty * here, rcond=1e-12)[0]
@@ -222,10 +230,10 @@ def fit_path(
 
     The path ends when ``patience`` settings in a row have not raised the best mean AUC. Of equal ones the earlier, more
     regularised state stays. Features are scaled by their deviation for the penalty; a constant feature has weight 0. Rows with a
-    null feature are left out of the fit and of the validation. Pass frames whose lineage is cut: ``rows`` is read once per Newton step.
+    null feature are left out of the fit and of the validation. What is fitted is written once, as it is read once per Newton step.
     """
     features = list(features)
-    known = rows.select("label", *[F.col(f).cast("double").alias(f) for f in features]).dropna()
+    known = cut_lineage(rows.select("label", *[F.col(f).cast("double").alias(f) for f in features]).dropna())
     moments = known.agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]
     ).first()

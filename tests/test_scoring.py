@@ -196,3 +196,25 @@ def test_path_bears_constant_features_and_separable_rows(spark):
     assert found.settings[0].weights[1:4] == (0.0, 0.0, 0.0) and found.settings[0].weights[0] > 0
     with pytest.raises(ValueError):
         ranker.fit_path(table.limit(0), one)
+
+
+def test_rounding_of_the_loss_costs_no_passes(spark, monkeypatch):
+    """The sum over many rows comes in another order each time; a loss that differs by that does not halve the step for ever."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 4))
+    y = (rng.random(400) < 1 / (1 + np.exp(-x @ np.array([1.0, 0.5, 0.0, -0.5])))).astype(int)
+    rows = [(i // 5, "validation", i % 5, int(l), *map(float, v)) for i, (v, l) in enumerate(zip(x, y))]
+    table = spark.createDataFrame(rows, "impression_id bigint, split string, pos int, label int, " + ", ".join(f"{f} double" for f in ranker.FEATURES))
+    calm = ranker.fit_path(table, table, reg_params=(1.0, 0.1, 0.0))
+    plain, calls = ranker.newton_sums, []
+
+    def rough(*a):
+        loss, gradient, second = plain(*a)
+        calls.append(1)
+        return loss * (1 + len(calls) * 3e-12), gradient, second  # each sum a little above the one before
+
+    monkeypatch.setattr(ranker, "newton_sums", rough)
+    found = ranker.fit_path(table, table, reg_params=(1.0, 0.1, 0.0))
+    assert [s.passes for s in found.settings] == [s.passes for s in calm.settings] and max(s.passes for s in found.settings) < 8
+    for s, t in zip(found.settings, calm.settings):
+        assert s.weights == pytest.approx(t.weights, abs=1e-9)
